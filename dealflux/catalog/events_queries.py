@@ -132,7 +132,7 @@ def _(t):
 
 @query("evt_session_stats", """SELECT session_id, count(*) AS events, count(DISTINCT event_type) AS event_types,
   CAST(min(event_time) AS VARCHAR) AS start_time, CAST(max(event_time) AS VARCHAR) AS end_time,
-  (epoch_us(max(event_time)) - epoch_us(min(event_time))) / 6e7 AS minutes FROM web_events GROUP BY 1""", r6="minutes")
+  (epoch_us(max(event_time)) - epoch_us(min(event_time))) / 6e7 AS minutes FROM web_events GROUP BY 1""", r4="minutes")
 def _(t):
     return S.session_stats(t.web_events)
 
@@ -356,7 +356,7 @@ def _(t):
     last_value(mean_duration IGNORE NULLS) OVER w AS mean_duration, last_value(mean_latency IGNORE NULLS) OVER w AS mean_latency,
     last_value(mean_sessions IGNORE NULLS) OVER w AS mean_sessions
   FROM cal LEFT JOIN b ON cal.h = b.h LEFT JOIN p ON cal.h = p.h WINDOW w AS (ORDER BY cal.h ROWS UNBOUNDED PRECEDING)""",
-       r4="mean_duration mean_latency mean_sessions")
+       r4="mean_duration", r7="mean_latency mean_sessions")
 def _(t):
     return A.hourly_metrics(t.web_events)
 
