@@ -87,7 +87,7 @@ MONTHS = "SELECT date_trunc('month', date) AS m, sum(coalesce(amount, 0)) AS amo
 
 
 @query("jn_exists_theta", f"""WITH mo AS ({MONTHS}) SELECT CAST(CAST(m AS DATE) AS VARCHAR) AS month, amount FROM mo
-  WHERE EXISTS (SELECT 1 FROM mo b WHERE b.m >= mo.m + INTERVAL 1 MONTH)""", r2="amount")
+  WHERE EXISTS (SELECT 1 FROM mo b WHERE b.m >= mo.m + INTERVAL 1 MONTH)""", r3="amount")
 def _(t):
     monthly = R.bucketed(t.deals, "date", "amount", fill=False).select(F.col("bucket").alias("month"), F.col("value").alias("amount"))
     return J.with_later_month(monthly).withColumn("month", F.to_date("month"))

@@ -156,7 +156,7 @@ def _(t):
 
 
 @query("agg_monthly_amount", """SELECT CAST(CAST(date_trunc('month', date) AS DATE) AS VARCHAR) AS month, sum(coalesce(amount, 0)) AS monthly_amount
-  FROM deals GROUP BY 1""", r2="monthly_amount")
+  FROM deals GROUP BY 1""", r3="monthly_amount")
 def _(t):
     s = R.bucketed(t.deals, "date", "amount", fill=False)
     return s.select(F.to_date("bucket").alias("month"), F.col("value").alias("monthly_amount"))
@@ -166,7 +166,7 @@ def _(t):
   WITH m AS (SELECT date_trunc('month', date) AS m, sum(amount) AS v, count(*) AS n FROM deals WHERE amount > 5e8 GROUP BY 1),
   cal AS (SELECT unnest(generate_series((SELECT min(m) FROM m), (SELECT max(m) FROM m), INTERVAL 1 MONTH)) AS m)
   SELECT CAST(CAST(cal.m AS DATE) AS VARCHAR) AS month, coalesce(v, 0) AS monthly_amount, coalesce(n, 0) AS n FROM cal LEFT JOIN m ON m.m = cal.m""",
-       r2="monthly_amount")
+       r3="monthly_amount")
 def _(t):
     s = R.bucketed(t.deals.where(F.col("amount") > 5e8), "date", "amount")
     return s.select(F.to_date("bucket").alias("month"), F.col("value").alias("monthly_amount"), "n")
