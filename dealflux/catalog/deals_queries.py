@@ -217,12 +217,12 @@ def _(t):
 def pivot_sql(column, values, source):
     cells = ", ".join(f"coalesce(sum(amount) FILTER ({column} = '{v}'), 0) / 1e6 AS \"{v}\"" for v in values)
     total = f"coalesce(sum(amount) FILTER ({column} IS NOT NULL), 0) / 1e6 AS total"
-    rounded = ", ".join(f"round(\"{v}\"::DOUBLE, 8) AS \"{v}\"" for v in [*values, "total"])
+    rounded = ", ".join(f"round(\"{v}\"::DOUBLE, 9) AS \"{v}\"" for v in [*values, "total"])
     return f"SELECT * REPLACE ({rounded}) FROM (SELECT {QUARTER} AS quarter, {cells}, {total} FROM {source} GROUP BY 1)"
 
 
 def rounded(df, names):
-    return df.select("quarter", *[F.round(f"`{n}`", 8).alias(n) for n in names])
+    return df.select("quarter", *[F.round(f"`{n}`", 9).alias(n) for n in names])
 
 
 @query("agg_quarter_round_pivot", pivot_sql("round_type", V.ROUND_ORDER, f"(SELECT * FROM deals WHERE round_type IN {tuple(V.ROUND_ORDER)})"))

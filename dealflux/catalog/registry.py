@@ -13,7 +13,7 @@ from dealflux.sources.adapters import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ["events", "profiles", "relational", "series", "deals"]
+MODULES = ["events", "profiles", "relational", "series", "deals", "learning", "io"]
 
 
 def plain(df: DataFrame, digits: dict[str, int]) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dealflux.functions import columns as C
 from dealflux.functions import vocab as V
 from dealflux.plans import kernels as K
+from dealflux.plans.ordered import chunk_of, neighbours
+from dealflux.session import cut
 
 
 def company_funding(companies: DataFrame, deals: DataFrame) -> DataFrame:
@@ -64,19 +67,22 @@ def label_index(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def impute(df: DataFrame, columns: Sequence[str], strategy: str = "median") -> DataFrame:
-    """Fill nulls with the column's median, mean or most frequent value."""
-    for c in columns:
-        if strategy == "mean":
-            fill = K.scalar(df, F.avg(c))
-        elif strategy == "median":
-            fill = K.exact_percentiles(df, [], c, {"m": 0.5}).scalar()
-        elif strategy == "most_frequent":
-            counts = K.present(df, c).groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-            fill = K.scalar(counts, F.min(F.struct(-F.col("_n"), c)).getField(c))
-        else:
-            raise ValueError(f"unknown strategy {strategy}")
-        df = df.withColumn(c, F.coalesce(F.col(c), fill))
-    return df
+    """Fill nulls with the column's median, mean or most frequent value, all taken from ``df``."""
+    columns = list(columns)
+    if strategy == "mean":
+        fills = df.agg(*[F.avg(c).alias(c) for c in columns])
+    elif strategy == "median":
+        long = K.unpivot(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), [], columns, "column_name", "fill")
+        found = K.exact_percentiles(long, ["column_name"], "fill", {"middle": 0.5})
+        fills = found.agg(*[F.max(F.when(F.col("column_name") == c, F.col("middle"))).alias(c) for c in columns])
+    elif strategy == "most_frequent":
+        long = K.unpivot(df.select(*[F.col(c).cast("string").alias(c) for c in columns]), [], columns, "column_name", "fill")
+        found = K.mode_by(long, ["column_name"], "fill")
+        fills = found.agg(*[F.max(F.when(F.col("column_name") == c, F.col("fill"))).cast(df.schema[c].dataType).alias(c) for c in columns])
+    else:
+        raise ValueError(f"unknown strategy {strategy}")
+    wide = df.withColumn("_f", fills.select(F.struct(*columns)).scalar())
+    return wide.withColumns({c: F.coalesce(F.col(c), F.col(f"_f.{c}")) for c in columns}).drop("_f")
 
 
 def standardize(df: DataFrame, columns: Sequence[str], suffix: str = "_z") -> DataFrame:
@@ -103,14 +109,13 @@ def winsor_bounds(df: DataFrame, columns: Sequence[str], factor: float = 1.5) ->
 
 def winsorize(df: DataFrame, bounds: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Clamp columns to fitted bounds; infinite values become null."""
+    ends = K.scalar(bounds, F.map_from_entries(F.collect_list(F.struct("column_name", F.struct("low", "high")))))
+    clamped = {}
     for c in columns:
-        ends = bounds.where(F.col("column_name") == c).select(F.struct("low", "high")).scalar()
-        v = F.col(c).cast("double")
+        v, b = F.col(c).cast("double"), F.try_element_at("_b", F.lit(c))
         finite = F.when(~v.isin(float("inf"), float("-inf")), v)
-        df = df.withColumn("_b", ends).withColumn(
-            c, F.when(finite.isNotNull(), F.least(F.greatest(finite, F.col("_b.low")), F.col("_b.high")))
-        ).drop("_b")
-    return df
+        clamped[c] = F.when(finite.isNotNull(), F.least(F.greatest(finite, b["low"]), b["high"]))
+    return df.withColumn("_b", ends).withColumns(clamped).drop("_b")
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test_fraction: float = 0.2, seed: int = 42) -> DataFrame:
@@ -124,22 +129,19 @@ def stratified_split(df: DataFrame, label: str, key: str, test_fraction: float =
 
 
 def round_table(deals: DataFrame, companies: DataFrame) -> DataFrame:
-    """Per company: latest ordered round, the round that would follow, ecosystem and sector."""
-    place = C.ordinal("round_type", V.ROUND_ORDER)
-    known = deals.withColumn("_o", place).where(F.col("_o").isNotNull())
+    """Per company: latest round, the round that follows it in order (else Unknown), place and sector."""
+    known = deals.where("round_type is not null")
     last = known.groupBy("company_id").agg(
-        F.max(F.struct("date", "id", "round_type", "_o")).alias("_l"), F.count(F.lit(1)).alias("rounds")
+        F.max(F.struct("date", "id", "round_type")).getField("round_type").alias("current_round"), F.count(F.lit(1)).alias("rounds")
     )
-    following = F.get(K.literal_array(V.ROUND_ORDER), F.col("_l._o"))
-    rows = last.select("company_id", F.col("_l.round_type").alias("current_round"), following.alias("next_round"), "rounds")
-    who = companies.select(F.col("id").alias("company_id"), "ecosystem_name", "primary_tag")
-    return rows.join(who, "company_id").where(F.col("next_round").isNotNull())
+    following = dict(zip(V.ROUND_ORDER, V.ROUND_ORDER[1:]))
+    rows = last.withColumn("next_round", C.lookup("current_round", following, V.UNKNOWN))
+    who = companies.select(F.col("id").alias("company_id"), "company_name", "ecosystem_name", "primary_tag")
+    return rows.join(who, "company_id")
 
 
 def next_round_examples(deals: DataFrame, companies: DataFrame) -> DataFrame:
     """One row per deal with the company's next deal amount as label and its history as features."""
-    from dealflux.plans.ordered import chunk_of, neighbours
-
     d = deals.where("amount is not null and round_type is not null")
     d = d.withColumn("round_ordinal", F.coalesce(C.ordinal("round_type", V.ROUND_ORDER), F.lit(0)))
     # One chunk per year: deals of a company spread over few chunks.
@@ -156,3 +158,44 @@ def next_round_examples(deals: DataFrame, companies: DataFrame) -> DataFrame:
         "ecosystem_name", F.split("primary_tag", "-")[0].alias("sector_group"),
         F.get("_next", 0).getField("amount").alias("next_amount"),
     )
+
+
+def smote(df: DataFrame, label: str, key: str, features: Sequence[str], *, k: int = 5, seed: int = 42) -> DataFrame:
+    """Rows plus synthetic minority rows that balance two classes exactly.
+
+    A synthetic row lies between a minority row and one of its neighbours: the k rows after it
+    along a seeded random direction of the scaled features (approximate neighbours), found by
+    ordered chunks, so that no pairs inside a class are enumerated. Synthetic rows have
+    ``is_synthetic`` = 1 and keep the key of the row they start from.
+    """
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    small = K.scalar(counts, F.min(F.struct("_n", label)))
+    large = K.scalar(counts, F.max("_n"))
+    rows = df.select(key, label, *features).withColumns({"_small": small, "_large": large})
+    minority = rows.where(F.col(label) == F.col(f"_small.{label}"))
+    scaled = standardize(minority, features, "_z")
+    rng = random.Random(seed)
+    direction = sum((F.lit(rng.gauss(0, 1)) * F.col(f"{f}_z") for f in features), F.lit(0.0))
+    placed = scaled.withColumn("_p", direction).drop(*[f"{f}_z" for f in features])
+    chunk = F.floor(F.col("_p") * 64).cast("bigint")
+    # Stored once: the ranks below and the copies both read it.
+    near = cut(neighbours(placed, [label], ["_p", key], list(features), n=k, chunk=chunk, out="_after"))
+
+    # Every minority row makes the same number of copies; the remainder goes to the first rows in hash order.
+    hashed = near.withColumn("_h", F.struct(F.xxhash64(F.lit(seed), key).alias("h"), F.col(key).alias("k")))
+    order = K.prefix_rank(hashed, "_h", F.shiftright(F.col("_h.h"), 50), "_rank")
+    missing = F.col("_large") - F.col("_small._n")
+    each = F.expr("(_large - _small._n) div _small._n")
+    extra = F.when(F.col("_rank") < missing - each * F.col("_small._n"), 1).otherwise(0)
+    grown = hashed.join(order, "_h").withColumn("_copies", each + extra).where(F.col("_copies") > 0)
+    grown = grown.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    pick = F.pmod(F.xxhash64(F.lit(seed + 1), key, "_c"), F.greatest(F.size("_after"), F.lit(1)))
+    grown = grown.withColumn("_near", F.get("_after", pick.cast("int"))).withColumn(
+        "_u", F.pmod(F.xxhash64(F.lit(seed + 2), key, "_c"), F.lit(1 << 20)) / float(1 << 20)
+    )
+    mixed = [
+        (F.col(f) + F.col("_u") * (F.coalesce(F.col(f"_near.{f}"), F.col(f)) - F.col(f))).cast("double").alias(f) for f in features
+    ]
+    made = grown.select(key, label, *mixed, F.lit(1).alias("is_synthetic"))
+    kept = df.select(key, label, *[F.col(f).cast("double").alias(f) for f in features], F.lit(0).alias("is_synthetic"))
+    return kept.unionByName(made)
