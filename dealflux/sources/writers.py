@@ -5,20 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Spark writes milliseconds to text files unless told otherwise.
+MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
 
 def write_csv_chunks(df: DataFrame, path: str, *, rows_per_file: int = 100_000) -> None:
     """CSV with header, at most ``rows_per_file`` rows a file, no index column."""
-    df.write.mode("overwrite").option("header", True).option("maxRecordsPerFile", rows_per_file).csv(path)
+    writer = df.write.mode("overwrite").option("header", True).option("maxRecordsPerFile", rows_per_file)
+    writer.option("timestampFormat", MICROS).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
     """JSON lines, null fields kept."""
-    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    df.write.mode("overwrite").option("ignoreNullFields", False).option("timestampFormat", MICROS).json(path)
 
 
 def as_documents(df: DataFrame, out: str = "document") -> DataFrame:
     """Each row as one JSON text."""
-    return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias(out))
+    return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false", "timestampFormat": MICROS}).alias(out))
 
 
 def store(df: DataFrame, path: str) -> DataFrame:
