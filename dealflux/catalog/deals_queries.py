@@ -33,7 +33,8 @@ def closed(t):
 
 
 def rolled(t, company_keys, deal_keys=()):
-    return D.rollup(closed(t), t.companies, company_keys, deal_keys)
+    """Deal sums, kept: the queries below read the small table several times."""
+    return D.rollup(closed(t), t.companies, company_keys, deal_keys).persist()
 
 
 # Companies.
@@ -107,41 +108,48 @@ CELLS = """top_s AS (SELECT primary_tag FROM companies GROUP BY 1 ORDER BY count
     AND f.primary_tag = g.primary_tag GROUP BY 1, 2),
   cells AS (SELECT *, 100.0::DOUBLE * n / sum(n) OVER (PARTITION BY {0}) AS share FROM n)"""
 CELLS = CELLS.replace("companies WHERE primary_tag IN (SELECT primary_tag FROM top_s) GROUP BY 1", "companies GROUP BY 1")
+
+
+def sectors(t):
+    """Sector and ecosystem of each company."""
+    return t.companies.select("id", "primary_tag", "ecosystem_name")
+
+
 BY_ECO = CELLS.replace("{0}", "ecosystem_name")
 BY_SEC = CELLS.replace("{0}", "primary_tag")
 
 
 @query("agg_sector_ecosystem_row_share", f"WITH {BY_ECO} SELECT * FROM cells", r6="share")
 def _(t):
-    return P.sector_ecosystem(t.companies)
+    return P.sector_ecosystem(sectors(t))
 
 
 @query("agg_sector_ecosystem_row_leaders", f"""WITH {BY_ECO} SELECT ecosystem_name, primary_tag AS top_sector, share FROM cells
   QUALIFY row_number() OVER (PARTITION BY ecosystem_name ORDER BY share DESC, primary_tag) = 1""", r6="share")
 def _(t):
-    return P.leaders(P.sector_ecosystem(t.companies), "ecosystem_name", "primary_tag", "top_sector")
+    return P.leaders(P.sector_ecosystem(sectors(t)), "ecosystem_name", "primary_tag", "top_sector")
 
 
 @query("agg_ecosystem_diversity", f"WITH {BY_ECO} SELECT ecosystem_name, 100 - stddev_samp(share) AS diversity FROM cells GROUP BY 1", r6="diversity")
 def _(t):
-    return P.diversity(P.sector_ecosystem(t.companies))
+    return P.diversity(P.sector_ecosystem(sectors(t)))
 
 
 @query("agg_sector_ecosystem_col_share", f"WITH {BY_SEC} SELECT * FROM cells", r6="share")
 def _(t):
-    return P.sector_ecosystem(t.companies, "primary_tag")
+    return P.sector_ecosystem(sectors(t), "primary_tag")
 
 
 @query("agg_sector_ecosystem_col_leaders", f"""WITH {BY_SEC} SELECT primary_tag, ecosystem_name AS top_ecosystem, share FROM cells
   QUALIFY row_number() OVER (PARTITION BY primary_tag ORDER BY share DESC, ecosystem_name) = 1""", r6="share")
 def _(t):
-    return P.leaders(P.sector_ecosystem(t.companies, "primary_tag"), "primary_tag", "ecosystem_name", "top_ecosystem")
+    return P.leaders(P.sector_ecosystem(sectors(t), "primary_tag"), "primary_tag", "ecosystem_name", "top_ecosystem")
 
 
 @query("agg_sector_concentration", f"""WITH {BY_SEC}, r AS (SELECT *, row_number() OVER (PARTITION BY primary_tag ORDER BY share DESC, ecosystem_name) AS rn FROM cells)
   SELECT primary_tag, sum(share) AS top_share FROM r WHERE rn <= 3 GROUP BY 1""", r6="top_share")
 def _(t):
-    return P.sector_concentration(P.sector_ecosystem(t.companies, "primary_tag"))
+    return P.sector_concentration(P.sector_ecosystem(sectors(t), "primary_tag"))
 
 
 # Trends.
@@ -151,7 +159,7 @@ YEARLY = """y AS (SELECT year, count(id) AS deals, sum(coalesce(amount, 0)) AS a
 
 
 @query("agg_yearly_trends", f"""WITH {YEARLY} SELECT *, 100 * (amount_sum - lag(amount_sum) OVER (ORDER BY year)) / lag(amount_sum) OVER (ORDER BY year) AS yoy_growth FROM y""",
-       r0="amount_sum", r2="amount_mean amount_std amount_median", r6="yoy_growth")
+       r0="amount_sum amount_mean amount_std amount_median", r6="yoy_growth")
 def _(t):
     return D.yearly_trends(closed(t))
 
@@ -160,13 +168,13 @@ def _(t):
     FROM y WINDOW w AS (ORDER BY year))
   SELECT year, amount_sum, amount_mean, deals, amount_std, 100 * (amount_sum - s) / s AS amount_sum_change, 100 * (amount_mean - m) / m AS amount_mean_change,
     100.0::DOUBLE * (deals - d) / d AS deals_change, 100 * (amount_std - v) / v AS amount_std_change FROM l ORDER BY year DESC LIMIT 1""",
-       r0="amount_sum", r2="amount_mean amount_std", r6="amount_sum_change amount_mean_change deals_change amount_std_change")
+       r0="amount_sum amount_mean amount_std", r6="amount_sum_change amount_mean_change deals_change amount_std_change")
 def _(t):
     return D.kpi_changes(D.yearly_trends(closed(t)))
 
 
 @query("agg_quarterly_trends", """SELECT year, CAST(quarter(date) AS INTEGER) AS quarter, count(id) AS deals, sum(coalesce(amount, 0)) AS amount_sum,
-  avg(amount) AS amount_mean FROM deals WHERE year < 2001 GROUP BY 1, 2""", r0="amount_sum", r2="amount_mean")
+  avg(amount) AS amount_mean FROM deals WHERE year < 2001 GROUP BY 1, 2""", r0="amount_sum amount_mean")
 def _(t):
     return D.quarterly_trends(closed(t))
 
@@ -177,7 +185,7 @@ SIZES = f"""d AS (SELECT *, {BINS} AS deal_size FROM deals WHERE year < 2001),
 
 
 @query("agg_deal_size_trends", f"""WITH {SIZES} SELECT g.year, g.deal_size, count(d.id) AS deals, coalesce(sum(d.amount), 0) AS amount_sum, avg(d.amount) AS amount_mean
-  FROM g LEFT JOIN d ON d.year = g.year AND d.deal_size = g.deal_size GROUP BY 1, 2""", r3="amount_sum", r2="amount_mean")
+  FROM g LEFT JOIN d ON d.year = g.year AND d.deal_size = g.deal_size GROUP BY 1, 2""", r3="amount_sum", r0="amount_mean")
 def _(t):
     return D.size_trends(closed(t))
 
@@ -189,13 +197,13 @@ def _(t):
 
 
 @query("agg_stage_analysis", """SELECT round_type, count(id) AS deals, avg(amount) AS amount_mean, quantile_cont(amount, 0.5) AS amount_median,
-  sum(coalesce(amount, 0)) AS amount_sum FROM deals WHERE round_type IS NOT NULL GROUP BY 1""", r2="amount_mean amount_median", r0="amount_sum")
+  sum(coalesce(amount, 0)) AS amount_sum FROM deals WHERE round_type IS NOT NULL GROUP BY 1""", r0="amount_mean amount_median amount_sum")
 def _(t):
     return D.round_analysis(t.deals)
 
 
 @query("agg_stage_evolution", """SELECT year, round_type, count(id) AS deals, avg(amount) AS amount_mean, sum(coalesce(amount, 0)) AS amount_sum
-  FROM deals WHERE round_type IS NOT NULL GROUP BY 1, 2""", r3="amount_sum", r2="amount_mean")
+  FROM deals WHERE round_type IS NOT NULL GROUP BY 1, 2""", r3="amount_sum", r0="amount_mean")
 def _(t):
     return D.round_evolution(t.deals)
 
@@ -263,9 +271,9 @@ def _(t):
 @query("agg_ecosystem_shares", """
   WITH e AS (SELECT ecosystem_name, count(*) AS deals, sum(coalesce(amount, 0)) AS amount, avg(amount) AS mean_amount FROM deal_company GROUP BY 1)
   SELECT *, 100.0::DOUBLE * deals / sum(deals) OVER () AS deal_share, 100 * amount / sum(amount) OVER () AS investment_share FROM e""",
-       r0="amount", r2="mean_amount", r6="deal_share investment_share")
+       r0="amount mean_amount", r6="deal_share investment_share")
 def _(t):
-    return P.ecosystem_shares(D.rollup(t.deals, t.companies, ["ecosystem_name"]))
+    return P.ecosystem_shares(D.rollup(t.deals, t.companies, ["ecosystem_name"]).persist())
 
 
 @query("agg_ecosystem_concentration", """
@@ -273,7 +281,7 @@ def _(t):
   r AS (SELECT s, row_number() OVER (ORDER BY s DESC, ecosystem_name) AS rn FROM e)
   SELECT sum(s) FILTER (rn <= 3) AS top_3, sum(s) FILTER (rn <= 5) AS top_5 FROM r""", r6="top_3 top_5")
 def _(t):
-    return P.concentration(P.ecosystem_shares(D.rollup(t.deals, t.companies, ["ecosystem_name"])), "deal_share")
+    return P.concentration(P.ecosystem_shares(D.rollup(t.deals, t.companies, ["ecosystem_name"]).persist()), "deal_share")
 
 
 @query("agg_ecosystem_funding_share", """
@@ -282,7 +290,7 @@ def _(t):
   SELECT *, CAST(row_number() OVER w AS INTEGER) AS rank, sum(share) OVER w AS running_share FROM s
   WINDOW w AS (ORDER BY amount DESC, ecosystem_name ROWS UNBOUNDED PRECEDING)""", r4="amount", r6="share running_share")
 def _(t):
-    return P.ecosystem_funding_share(D.rollup(t.deals, t.companies, ["ecosystem_name"]))
+    return P.ecosystem_funding_share(D.rollup(t.deals, t.companies, ["ecosystem_name"]).persist())
 
 
 SHARE = """WITH {dc}, top AS (SELECT primary_tag FROM dc GROUP BY 1 ORDER BY {rank} DESC, primary_tag LIMIT 5),
@@ -391,7 +399,7 @@ def _(t):
   WITH c AS (SELECT primary_tag, ecosystem_name, sum(coalesce(amount, 0)) AS amount, avg(amount) AS mean_amount, count(amount) AS priced FROM deal_company
     GROUP BY GROUPING SETS ((primary_tag, ecosystem_name), (primary_tag), (ecosystem_name)))
   SELECT coalesce(primary_tag, 'all') AS primary_tag, coalesce(ecosystem_name, 'all') AS ecosystem_name, amount, mean_amount, priced FROM c""",
-       r0="amount", r2="mean_amount")
+       r0="amount mean_amount")
 def _(t):
     return P.sector_region_amounts(D.rollup(t.deals, t.companies, ["primary_tag", "ecosystem_name"]))
 
@@ -435,7 +443,7 @@ SECTOR_AGE = f"""WITH {AGED}, g AS (SELECT primary_tag, b AS age_band FROM (SELE
     FROM g LEFT JOIN ag ON ag.primary_tag = g.primary_tag AND ag.age_band = g.age_band GROUP BY 1, 2)"""
 
 
-@query("agg_sector_age_stats", SECTOR_AGE + " SELECT * FROM sa", r3="amount", r2="mean_amount")
+@query("agg_sector_age_stats", SECTOR_AGE + " SELECT * FROM sa", r3="amount", r0="mean_amount")
 def _(t):
     return G.sector_ages(G.deals_with_age(t.deals, t.companies))
 
@@ -443,11 +451,11 @@ def _(t):
 @query("agg_sector_age_matrix", SECTOR_AGE + """ SELECT primary_tag, age_band, deals FROM sa WHERE primary_tag IN
   (SELECT primary_tag FROM sa GROUP BY 1 ORDER BY sum(deals) DESC, primary_tag LIMIT 10)""")
 def _(t):
-    return G.sector_age_matrix(G.sector_ages(G.deals_with_age(t.deals, t.companies)))
+    return G.sector_age_matrix(G.sector_ages(G.deals_with_age(t.deals, t.companies)).persist())
 
 
 @query("agg_sector_age_totals", SECTOR_AGE + """ SELECT primary_tag, CAST(sum(deals) AS BIGINT) AS deals, sum(amount) AS amount, avg(mean_amount) AS mean_of_means
-  FROM sa GROUP BY 1 ORDER BY deals DESC, primary_tag LIMIT 10""", r0="amount", r2="mean_of_means")
+  FROM sa GROUP BY 1 ORDER BY deals DESC, primary_tag LIMIT 10""", r0="amount mean_of_means")
 def _(t):
     return G.sector_age_totals(G.sector_ages(G.deals_with_age(t.deals, t.companies)))
 
@@ -486,7 +494,7 @@ EM = f"""WITH em AS (SELECT ecosystem_name, avg(amount) AS avg_deal_size, stddev
   quantile_cont(amount, 0.5) AS median_deal_size, sum(amount) / 1e6 / avg(age) AS funding_per_year FROM deal_company GROUP BY 1)"""
 
 
-@query("agg_ecosystem_metrics", EM + " SELECT * FROM em", r2="avg_deal_size deal_size_std median_deal_size",
+@query("agg_ecosystem_metrics", EM + " SELECT * FROM em", r0="avg_deal_size deal_size_std median_deal_size",
        r4="total_funding funding_per_year", r6="avg_company_age early_stage_ratio late_stage_ratio")
 def _(t):
     return P.ecosystem_metrics(t.deals, t.companies_aged)
@@ -507,7 +515,7 @@ def _(t):
     f" SELECT '{m}' AS metric, avg({m}) AS mean, quantile_cont({m}, 0.5)::DOUBLE AS median, stddev_samp({m}) AS std FROM em"
     for m in [*METRICS, "early_stage_ratio", "late_stage_ratio"]), r2="mean median std")
 def _(t):
-    return P.ecosystem_metric_summary(P.ecosystem_metrics(t.deals, t.companies_aged))
+    return P.ecosystem_metric_summary(P.ecosystem_metrics(t.deals, t.companies_aged).persist())
 
 
 @query("agg_ecosystem_series_share", """
@@ -516,7 +524,7 @@ def _(t):
   f AS (SELECT g.*, coalesce(n, 0) AS deals FROM g LEFT JOIN c USING (ecosystem_name, round_type))
   SELECT *, 100.0::DOUBLE * deals / sum(deals) OVER (PARTITION BY ecosystem_name) AS share FROM f""", r6="share")
 def _(t):
-    return P.ecosystem_round_share(D.rollup(t.deals, t.companies, ["ecosystem_name"], ["round_type"]))
+    return P.ecosystem_round_share(D.rollup(t.deals, t.companies, ["ecosystem_name"], ["round_type"]).persist())
 
 
 # Investors.
@@ -603,7 +611,7 @@ RS = f"""WITH r AS (SELECT {REGION} AS region, primary_tag, deal_id, amount FROM
 
 
 def region_cells(t):
-    return I.region_sector(t.deal_investor, t.deals, t.companies)
+    return I.region_sector(I.region_sector_sums(t.deal_investor, t.deals, t.companies).persist()).persist()
 
 
 @query("agg_region_sector", RS + " SELECT * FROM rs", r4="amount", r6="region_share sector_share")
@@ -612,7 +620,7 @@ def _(t):
 
 
 @query("agg_region_totals", RS + """, t AS (SELECT region, CAST(sum(deals) AS BIGINT) AS deals, sum(amount) AS amount FROM rs GROUP BY 1)
-  SELECT *, 100.0::DOUBLE * deals / sum(deals) OVER () AS deal_share, 100 * amount / sum(amount) OVER () AS amount_share FROM t""", r2="amount", r6="deal_share amount_share")
+  SELECT *, 100.0::DOUBLE * deals / sum(deals) OVER () AS deal_share, 100 * amount / sum(amount) OVER () AS amount_share FROM t""", r0="amount", r6="deal_share amount_share")
 def _(t):
     return I.region_totals(region_cells(t))
 
@@ -651,7 +659,7 @@ def _(t):
 
 @query("agg_stage_growth_summary", GROW + """ SELECT stage, avg(growth_rate_amount) AS growth_rate_amount, avg(growth_rate_deals) AS growth_rate_deals,
   avg(growth_probability) AS growth_probability, sum(total_amount_last_quarter) AS total_amount, CAST(sum(deal_count_last_quarter) AS BIGINT) AS deal_count FROM gr GROUP BY 1""",
-       r2="total_amount", r4="growth_rate_amount growth_rate_deals growth_probability")
+       r3="total_amount", r4="growth_rate_amount growth_rate_deals growth_probability")
 def _(t):
     return O.stage_summary(O.sector_stage_growth(t.deals, t.companies))
 

@@ -103,7 +103,7 @@ def _(t):
 SUMS = "SELECT year, count(id) AS deals, avg(amount) AS amount_mean FROM deals WHERE year < 2001 GROUP BY 1"
 
 
-@query("src_json_results", SUMS, r2="amount_mean")
+@query("src_json_results", SUMS, r0="amount_mean")
 def _(t):
     path = folder(t, "document")
     yearly = D.quarterly_trends(t.deals.where("year < 2001")).groupBy("year").agg(

@@ -89,8 +89,8 @@ def investor_round_amounts(pairs: DataFrame, deals: DataFrame, top: int = 10) ->
     return K.crosstab(kept, "investor", "round_type", K.values_array(kept, "round_type"), F.sum("amount"), "amount")
 
 
-def region_sector(deal_investor: DataFrame, deals: DataFrame, companies: DataFrame, top: int = 10) -> DataFrame:
-    """Region x top sectors: deals, amount (millions), shares within region and within sector.
+def region_sector_sums(deal_investor: DataFrame, deals: DataFrame, companies: DataFrame) -> DataFrame:
+    """Investments and their deals' amount by (region, sector).
 
     Investments are counted per (deal, region) first, so a deal joins its company once per region.
     """
@@ -98,7 +98,11 @@ def region_sector(deal_investor: DataFrame, deals: DataFrame, companies: DataFra
     d = deals.select(F.col("id").alias("deal_id"), "company_id", "amount")
     who = companies.select(F.col("id").alias("company_id"), "primary_tag")
     rows = per_deal.join(d, "deal_id").join(who, "company_id")
-    sums = K.aggregate_by(rows, ["region", "primary_tag"], deals=F.sum("k"), amount=C.total(F.col("amount") * F.col("k")))
+    return K.aggregate_by(rows, ["region", "primary_tag"], deals=F.sum("k"), amount=C.total(F.col("amount") * F.col("k")))
+
+
+def region_sector(sums: DataFrame, top: int = 10) -> DataFrame:
+    """Region x top sectors: deals, amount (millions), shares within region and within sector."""
     kept = K.keep_keys(sums, K.top_keys(sums, "primary_tag", F.sum("amount"), top))
     full = K.grid_fill(kept, kept.select("region"), "primary_tag", K.values_array(kept, "primary_tag"), {"deals": 0, "amount": 0.0})
     full = full.withColumn("amount", F.col("amount") / 1e6)
