@@ -265,7 +265,7 @@ def _(t):
 
 def coded_segments(t):
     coded = X.label_index(t.web_events, ["event_type"])
-    return H.segments(coded, "event_type_index").persist()
+    return H.segments(coded, "event_type_index", seconds=86400).persist()
 
 
 @query("ml_hmm_em")

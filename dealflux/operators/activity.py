@@ -15,11 +15,16 @@ from dealflux.plans import kernels as K
 TS = "event_time"
 
 
-def overview(df: DataFrame) -> DataFrame:
-    """Rows, distinct users, sessions, types, countries and cities, time range, events per user."""
+def overview(df: DataFrame, *, approx: bool = False) -> DataFrame:
+    """Rows, distinct users, sessions, types, countries and cities, time range, events per user.
+
+    Exact distinct counts expand each row once per counted column before the partial
+    aggregation; ``approx`` uses one small sketch per column in a single pass.
+    """
+    distinct = F.approx_count_distinct if approx else F.count_distinct
     whole = df.agg(
         F.count(F.lit(1)).alias("events"),
-        *[F.count_distinct(c).alias(n) for n, c in [
+        *[distinct(c).alias(n) for n, c in [
             ("users", "user_id"), ("sessions", "session_id"), ("event_types", "event_type"),
             ("countries", "country"), ("cities", "city")]],
         F.min(TS).alias("first_time"), F.max(TS).alias("last_time"),

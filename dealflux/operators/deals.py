@@ -51,7 +51,7 @@ def yearly_trends(deals: DataFrame) -> DataFrame:
     base = K.aggregate_by(
         deals, ["year"], deals=F.count("id"), amount_sum=C.total("amount"), amount_mean=F.avg("amount"), amount_std=F.stddev_samp("amount")
     )
-    medians = K.exact_percentiles(deals, ["year"], "amount", {"amount_median": 0.5})
+    medians = K.exact_percentiles(deals, ["year"], "amount", {"amount_median": 0.5}, bounded=True)
     return K.growth(base.join(medians, "year", "left"), [], "year", "amount_sum", "yoy_growth")
 
 

@@ -73,7 +73,7 @@ def impute(df: DataFrame, columns: Sequence[str], strategy: str = "median") -> D
         fills = df.agg(*[F.avg(c).alias(c) for c in columns])
     elif strategy == "median":
         long = K.unpivot(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), [], columns, "column_name", "fill")
-        found = K.exact_percentiles(long, ["column_name"], "fill", {"middle": 0.5})
+        found = K.exact_percentiles(long, ["column_name"], "fill", {"middle": 0.5}, bounded=True)
         fills = found.agg(*[F.max(F.when(F.col("column_name") == c, F.col("middle"))).alias(c) for c in columns])
     elif strategy == "most_frequent":
         long = K.unpivot(df.select(*[F.col(c).cast("string").alias(c) for c in columns]), [], columns, "column_name", "fill")
@@ -102,7 +102,7 @@ def winsor_bounds(df: DataFrame, columns: Sequence[str], factor: float = 1.5) ->
     """Fitted clamp bounds, one row per column, from finite values."""
     finite = df.select(*[F.when(~F.col(c).cast("double").isin(float("inf"), float("-inf")), F.col(c).cast("double")).alias(c) for c in columns])
     long = K.unpivot(finite, [], list(columns), "column_name", "value")
-    q = K.exact_percentiles(long, ["column_name"], "value", {"q1": 0.25, "q3": 0.75})
+    q = K.exact_percentiles(long, ["column_name"], "value", {"q1": 0.25, "q3": 0.75}, bounded=True)
     spread = factor * (F.col("q3") - F.col("q1"))
     return q.select("column_name", (F.col("q1") - spread).alias("low"), (F.col("q3") + spread).alias("high"))
 
@@ -144,11 +144,9 @@ def next_round_examples(deals: DataFrame, companies: DataFrame) -> DataFrame:
     """One row per deal with the company's next deal amount as label and its history as features."""
     d = deals.where("amount is not null and round_type is not null")
     d = d.withColumn("round_ordinal", F.coalesce(C.ordinal("round_type", V.ROUND_ORDER), F.lit(0)))
-    # One chunk per year: deals of a company spread over few chunks.
-    wide = neighbours(d, ["company_id"], ["date", "id"], ["amount"], n=1, chunk=chunk_of("date", 366 * 86400), out="_next")
-    wide = neighbours(
-        wide, ["company_id"], ["date", "id"], ["amount"], n=1, backwards=True, chunk=chunk_of("date", 366 * 86400), out="_prev"
-    )
+    week = chunk_of("date", 7 * 86400)
+    wide = neighbours(d, ["company_id"], ["date", "id"], ["amount"], n=1, chunk=week, out="_next")
+    wide = neighbours(wide, ["company_id"], ["date", "id"], ["amount"], n=1, backwards=True, chunk=week, out="_prev")
     who = companies.select(F.col("id").alias("company_id"), "ecosystem_name", "primary_tag", "date_founded")
     return wide.join(who, "company_id").select(
         "id", "company_id", "round_ordinal", "amount",

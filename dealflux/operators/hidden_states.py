@@ -13,13 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dealflux.plans.ordered import chunk_of
 
 FLOOR = 1e-3
-SEGMENT = "session_id string, chunk long, ids array<long>, obs array<double>, first boolean, segments long"
 
 
 @dataclass
@@ -33,12 +32,19 @@ class Hidden:
     loglik: list[float]
 
 
-def segments(df: DataFrame, code: str, session: str = "session_id", seconds: float = 86400.0) -> DataFrame:
-    """One row per (session, time chunk) with its ordered event ids and codes."""
+def segments(df: DataFrame, code: str, session: str = "session_id", seconds: float = 3600.0, longest: int = 65_536) -> DataFrame:
+    """One row per (session, time chunk, part) with its ordered event ids and codes.
+
+    Chunks holding more than ``longest`` events are cut by position, so that an array stays
+    small however many events a session has. ``chunk`` numbers the segments in order.
+    """
+    inside = Window.partitionBy(session, "_chunk").orderBy("event_time", "event_id")
     item = F.struct("event_time", "event_id", F.col(code).cast("double").alias("code"))
+    part = F.floor((F.row_number().over(inside) - 1) / longest)
     rows = (
         df.where(F.col(session).isNotNull())
-        .withColumn("chunk", chunk_of("event_time", seconds))
+        .withColumn("_chunk", chunk_of("event_time", seconds))
+        .withColumn("chunk", (F.col("_chunk") * (1 << 24) + part).cast("bigint"))
         .groupBy(F.col(session).alias("session_id"), "chunk")
         .agg(F.sort_array(F.collect_list(item)).alias("_i"))
     )

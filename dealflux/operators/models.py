@@ -89,7 +89,7 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
     successor's value and the rows are scored again.
     """
     order = df.select(key, label, *features).withColumn("_h", F.xxhash64(F.lit(seed), key)).withColumn("_all", F.lit(1))
-    wide = neighbours(order, ["_all"], ["_h", key], list(features), n=1, chunk=F.shiftright("_h", 54), out="_next")
+    wide = neighbours(order, ["_all"], ["_h", key], list(features), n=1, chunk=F.shiftright("_h", 48), out="_next")
     wide = wide.withColumn("_other", F.coalesce(F.get("_next", 0), F.struct(*features)))
     base = model.transform(wide.select(key, label, *features)).agg(F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("base_accuracy"))
     result = None

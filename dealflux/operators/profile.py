@@ -121,17 +121,18 @@ def imbalance(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def numeric_describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """describe() of every numeric column."""
     cols = list(columns or columns_of(df, NUMBER_TYPES))
-    return K.describe(K.unpivot(as_double(df, cols), [], cols, "column_name", "value"), ["column_name"], "value")
+    return K.describe(K.unpivot(as_double(df, cols), [], cols, "column_name", "value"), ["column_name"], "value", bounded=True)
 
 
 def iqr_outliers(df: DataFrame, columns: Sequence[str], *, factor: float = 1.5) -> DataFrame:
     """Rows outside Q1 - f IQR .. Q3 + f IQR per numeric column."""
     cols = list(columns)
     long = K.unpivot(as_double(df, cols), [], cols, "column_name", "value").where(F.col("value").isNotNull())
-    q = K.exact_percentiles(long, ["column_name"], "value", {"q1": 0.25, "q3": 0.75})
+    q = K.exact_percentiles(long, ["column_name"], "value", {"q1": 0.25, "q3": 0.75}, bounded=True)
     iqr = F.col("q3") - F.col("q1")
     out = (F.col("value") < F.col("q1") - factor * iqr) | (F.col("value") > F.col("q3") + factor * iqr)
-    return long.join(q, "column_name").groupBy("column_name").agg(
+    # One row per listed column.
+    return long.join(F.broadcast(q), "column_name").groupBy("column_name").agg(
         F.count_if(out).alias("outliers"), C.percent(F.count_if(out), F.count(F.lit(1))).alias("outlier_percent")
     )
 

@@ -50,7 +50,7 @@ def stats_summary(df: DataFrame, session: str = "session_id", ts: str = TS) -> D
         stats.select(F.col("events").cast("double").alias("events"), (F.col("seconds") / 60.0).alias("minutes")),
         [], ["events", "minutes"], "measure", "value",
     )
-    return K.describe(long, ["measure"], "value")
+    return K.describe(long, ["measure"], "value", bounded=True)
 
 
 def first_last(df: DataFrame, session: str = "session_id", order: Sequence[str] = ORDER) -> DataFrame:
@@ -86,7 +86,7 @@ def activity_describe(df: DataFrame, session: str = "session_id", user: str = "u
         .unionByName(named(per_user, "events_per_user", "events"))
         .unionByName(named(per_user, "sessions_per_user", "sessions"))
     )
-    return K.describe(long, ["measure"], "value")
+    return K.describe(long, ["measure"], "value", bounded=True)
 
 
 def duration_by_start(df: DataFrame, session: str = "session_id", ts: str = TS) -> DataFrame:

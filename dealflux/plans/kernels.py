@@ -116,12 +116,18 @@ def exact_percentiles(
     value: str,
     probs: Mapping[str, float],
     accuracy: int = 10_000,
+    *,
+    bounded: bool = False,
 ) -> DataFrame:
     """Exact linearly interpolated percentiles per group, without gathering a group in one task.
 
     A mergeable sketch brackets each wanted rank; a second pass counts what lies below the
     bracket and keeps only the distinct values inside it, so that the final ordered step sees a
     small, proven fraction of a large group (and a small group whole).
+
+    ``bounded`` says that the schema or the calendar bounds the number of groups (column names,
+    years). The brackets, a few numbers per group, are then broadcast and raw rows never shuffled;
+    otherwise Spark picks the join by measured size.
     """
     keys = list(keys)
     rows = present(df.select(*keys, F.col(value).cast("double").alias("_v")), *keys, "_v")
@@ -134,7 +140,8 @@ def exact_percentiles(
         F.percentile_approx("_v", cuts, accuracy).alias("_cuts"),
     ]
     if keys:
-        marked = rows.join(rows.groupBy(*keys).agg(*measures), keys)
+        sketch = rows.groupBy(*keys).agg(*measures)
+        marked = rows.join(F.broadcast(sketch) if bounded else sketch, keys)
     else:
         marked = rows.withColumn("_s", rows.agg(*measures).select(F.struct("*")).scalar()).select("_v", "_s.*")
     small = F.col("_n") <= accuracy
@@ -173,7 +180,7 @@ def exact_percentiles(
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
-def describe(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def describe(df: DataFrame, keys: Sequence[str], value: str, *, bounded: bool = False) -> DataFrame:
     """count, mean, std, min, quartiles, max of one column per group (one row without keys)."""
     keys = list(keys)
     rows = present(df, *keys)
@@ -184,7 +191,7 @@ def describe(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
         F.min(value).cast("double").alias("min"),
         F.max(value).cast("double").alias("max"),
     ]
-    points = exact_percentiles(rows, keys, value, QUARTILES)
+    points = exact_percentiles(rows, keys, value, QUARTILES, bounded=bounded)
     if keys:
         return rows.groupBy(*keys).agg(*basics).join(points, keys, "left")
     packed = points.select(F.struct(*QUARTILES)).scalar()

@@ -32,12 +32,13 @@ def store(df: DataFrame, path: str) -> DataFrame:
 
 
 def write_events(df: DataFrame, path: str) -> None:
-    """Cleaned events as Parquet partitioned by day, one shuffle by day and session.
+    """Cleaned events as Parquet partitioned by day, one shuffle by day and (session, hour).
 
-    Sessions of a day are spread over several files, so a busy day is not one task.
+    A day is spread over several files, and a session of many events over the hours of the day,
+    so neither a busy day nor a busy session is one task.
     """
     day = df.withColumn("event_date", F.to_date("event_time"))
-    spread = F.pmod(F.xxhash64("session_id"), F.lit(32))
+    spread = F.pmod(F.xxhash64("session_id", F.hour("event_time")), F.lit(32))
     day.repartition("event_date", spread).write.mode("overwrite").partitionBy("event_date").parquet(path)
 
 

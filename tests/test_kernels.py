@@ -59,6 +59,8 @@ def test_exact_percentiles(spark, accuracy):
     for name, p in probs.items():
         want = pdf.groupby("g").v.quantile(p)
         assert np.allclose(got[name].sort_index(), want.sort_index())
+        near = K.exact_percentiles(df, ["g"], "v", {name: p}, accuracy, bounded=True).toPandas().set_index("g")
+        assert np.allclose(near[name].sort_index(), want.sort_index())
     whole = K.exact_percentiles(df, [], "v", probs, accuracy).first()
     assert np.allclose([whole[n] for n in probs], [pdf.v.quantile(p) for p in probs.values()])
 

@@ -29,13 +29,14 @@ def chains(spark):
 
 def test_hidden_states_do_not_depend_on_segments(spark, chains):
     fits, paths = [], []
-    for seconds in (1800, 10**7):
-        segs = H.segments(chains, "code", seconds=seconds).persist()
+    for seconds, longest in ((1800, 65_536), (10**7, 65_536), (10**7, 7)):
+        segs = H.segments(chains, "code", seconds=seconds, longest=longest).persist()
+        assert segs.agg(F.max(F.size("obs"))).first()[0] <= longest
         h = H.fit(segs, states=2, max_iter=6, tol=0)
         fits.append(np.concatenate([h.start, h.trans.ravel(), h.mean, h.var, h.loglik]))
         paths.append({r.event_id: r.state for r in H.decode(segs, h).collect()})
-    assert np.allclose(fits[0], fits[1], rtol=1e-6)
-    assert paths[0] == paths[1] and len(paths[0]) == chains.count()
+    assert np.allclose(fits[0], fits[1], rtol=1e-6) and np.allclose(fits[0], fits[2], rtol=1e-6)
+    assert paths[0] == paths[1] == paths[2] and len(paths[0]) == chains.count()
     assert all(b >= a - 1e-6 for a, b in zip(h.loglik, h.loglik[1:]))
     assert np.allclose(h.mean, [0, 5], atol=0.3) and np.allclose(np.diag(h.trans), 0.8, atol=0.08)
     truth = {r.event_id: r.truth for r in chains.collect()}
@@ -180,3 +181,10 @@ def test_saved_model_scores_the_same(spark, tmp_path):
     M.save(model, str(tmp_path / "m"))
     assert M.score(M.load(str(tmp_path / "m")), df).exceptAll(M.score(model, df)).count() == 0
     assert sum(r.importance for r in M.feature_importance(model, ["a"], spark).collect()) == pytest.approx(1)
+
+
+def test_p_value_of_known_t(make):
+    from dealflux.operators.sessions import ttest_p_values
+
+    rows = ttest_p_values(make([(1.959964,), (0.0,), (-2.575829,)], "t double")).collect()
+    assert [r.p_value for r in rows] == pytest.approx([0.05, 1.0, 0.01], abs=1e-6)
