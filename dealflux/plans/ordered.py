@@ -46,21 +46,26 @@ def neighbours(
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*[turn(c) for c in order])
     item = F.struct(*payload)
     base = base.withColumn("_rn", F.row_number().over(inside))
-    near = [F.lead(item, i).over(inside) for i in range(1, n + 1)]
-    base = base.withColumn("_near", F.array_compact(F.array(*near)))
-
-    heads = (
-        base.where(F.col("_rn") <= n)
-        .groupBy(*keys, "_chunk")
-        .agg(F.sort_array(F.collect_list(F.struct("_rn", item.alias("_item")))).alias("_heads"))
-    )
-    across = Window.partitionBy(*keys).orderBy(turn("_chunk")).rowsBetween(1, n)
-    later = F.flatten(F.collect_list(F.col("_heads._item")).over(across))
-    carry = heads.select(*keys, "_chunk", F.slice(later, 1, n).alias("_carry"))
-
+    across = Window.partitionBy(*keys).orderBy(turn("_chunk"))
+    if n == 1:
+        base = base.withColumn("_near", F.lead(item, 1).over(inside))
+        heads = base.where(F.col("_rn") == 1).select(*keys, "_chunk", item.alias("_head"))
+        carry = heads.select(*keys, "_chunk", F.lead("_head", 1).over(across).alias("_carry"))
+        found = F.array_compact(F.array(F.coalesce("_near", "_carry")))
+    else:
+        near = [F.lead(item, i).over(inside) for i in range(1, n + 1)]
+        base = base.withColumn("_near", F.array_compact(F.array(*near)))
+        heads = (
+            base.where(F.col("_rn") <= n)
+            .groupBy(*keys, "_chunk")
+            .agg(F.sort_array(F.collect_list(F.struct("_rn", item.alias("_item")))).alias("_heads"))
+        )
+        later = F.flatten(F.collect_list(F.col("_heads._item")).over(across.rowsBetween(1, n)))
+        carry = heads.select(*keys, "_chunk", F.slice(later, 1, n).alias("_carry"))
+        none = F.array().cast(carry.schema["_carry"].dataType)
+        found = F.slice(F.concat("_near", F.coalesce("_carry", none)), 1, n)
     joined = base.join(carry, [*keys, "_chunk"], "left")
-    both = F.concat(F.col("_near"), F.coalesce(F.col("_carry"), F.array().cast(carry.schema["_carry"].dataType)))
-    return joined.withColumn(out, F.slice(both, 1, n)).drop("_chunk", "_rn", "_near", "_carry")
+    return joined.withColumn(out, found).drop("_chunk", "_rn", "_near", "_carry")
 
 
 def following(df: DataFrame, keys: Sequence[str], order: Sequence[str], payload: Sequence[str], **kw) -> DataFrame:
