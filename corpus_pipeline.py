@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealflux.llm import compression_quality, mixing, packing
+from dealflux.llm import compression_quality, mixing, ngram_join, packing, repeats
 from dealflux.llm.common import staged, table, word_count
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -16,14 +16,25 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on all labels, accepts."""
     model = compression_quality.fit(docs, table(spark, sf_dir, "labels"))
-    return docs.where(compression_quality.score(F.col("text"), model) >= 0.5)
+    return docs.where(compression_quality.score(F.col("text"), model) >= 0.5).select(*COLUMNS)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, and all without words."""
+    return ngram_join.one_each(docs).select(*COLUMNS)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages of 400 bytes and more that stand elsewhere too."""
+    return repeats.removed(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; the one that a budget cuts stays if half of it or more fits."""
-    taken = mixing.mix(docs).select("doc_id", "source", (F.col("epochs") + (2 * F.col("part") >= F.greatest("size", F.lit(1))).cast("int")).alias("times"))
-    rows = docs.join(taken.groupBy("doc_id").agg(F.max("times").alias("times")), "doc_id")
-    return rows.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    times = F.col("epochs") + (2 * F.col("part") >= F.greatest("size", F.lit(1))).cast("int")
+    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max(times).cast("int").alias("_times")).where("_times > 0")
+    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]))
+    return rows.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,6 +44,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality", quality),
+    ("near_copies", near_copies),
+    ("passages", passages),
     ("mixing", mixed),
     ("packing", packed),
 ]

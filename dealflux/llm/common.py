@@ -87,10 +87,11 @@ def shingle_set(hashes: np.ndarray, width: int = 5) -> np.ndarray:
     return np.unique(shingles(hashes, width))
 
 
-def slices(sizes: list[int], most: int):
+def slices(sizes: list[int | None], most: int):
     """Consecutive (start, end) of rows with about ``most`` units each; a larger row stands alone."""
     start = total = 0
     for i, n in enumerate(sizes):
+        n = n or 0
         if i > start and total + n > most:
             yield start, i
             start, total = i, 0

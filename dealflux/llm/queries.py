@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealflux.llm import compression_quality, mixing, packing, sketches, token_store
+from dealflux.llm import compression_quality, mixing, ngram_join, packing, repeats, sketches, token_store
 from dealflux.llm.common import table, word_count
 from dealflux.session import checkpoint_dir
 
@@ -32,12 +32,23 @@ def op4_scaled_sketches(spark: SparkSession, folder: str) -> DataFrame:
     return sketches.edited_likeness(table(spark, folder, "documents"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose sets of five-word shingles are 80 % alike."""
+    return ngram_join.join(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Words that the mix takes from every document."""
     mixed = mixing.mix(table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", (F.round("target", 3) + F.lit(0.0)).alias("target"), "taken")
 
 
+def op7_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every document outside strings of 400 bytes that also start elsewhere."""
+    cut = repeats.removed(table(spark, folder, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_compression_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Scores of every text from labels of two folds of three."""
     docs = table(spark, folder, "documents")
@@ -52,7 +63,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_scaled_sketches": op4_scaled_sketches,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_source_mixing": op6_source_mixing,
+    "op7_suffix_repeats": op7_suffix_repeats,
     "op10_compression_quality": op10_compression_quality,
 }
 ORACLES: dict[str, str] = {"op6_source_mixing": mixing.ORACLE}
