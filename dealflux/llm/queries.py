@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealflux.llm import compression_quality, mixing, ngram_join, packing, repeats, sketches, token_store
+from dealflux.llm import backoff_lm, compression_quality, mixing, ngram_join, packing, repeats, sketches, token_store
 from dealflux.llm.common import table, word_count
 from dealflux.session import checkpoint_dir
 
@@ -21,6 +21,14 @@ def op1_token_store(spark: SparkSession, folder: str) -> DataFrame:
     return token_store.positions(token_store.checksums(token_store.read(spark, path)))
 
 
+def op2_backoff_lm(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of every text under a model of nine folds of ten."""
+    docs = table(spark, folder, "documents")
+    held = F.coalesce(compression_quality.fold(F.col("doc_id"), 10) == 0, F.lit(False))
+    scored = backoff_lm.score(docs, ~held)
+    return scored.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of every document in bins of 4,096 words; equal texts are one cluster."""
     docs = table(spark, folder, "documents")
@@ -61,6 +69,7 @@ def op10_compression_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
+    "op2_backoff_lm": op2_backoff_lm,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_scaled_sketches": op4_scaled_sketches,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
