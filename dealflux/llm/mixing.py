@@ -17,7 +17,7 @@ from dealflux.llm.common import prefix_sums, word_count
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
 #: Documents in one range of the key space, about.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
