@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealflux.llm import backoff_lm, compression_quality, mixing, ngram_join, packing, repeats, sketches, token_store
+from dealflux.llm import backoff_lm, compression_quality, embedding_dups, mixing, ngram_join, packing, repeats, sketches, token_store
 from dealflux.llm.common import table, word_count
 from dealflux.session import checkpoint_dir
 
@@ -57,6 +57,11 @@ def op7_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of vectors of one label."""
+    return embedding_dups.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def op10_compression_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Scores of every text from labels of two folds of three."""
     docs = table(spark, folder, "documents")
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_source_mixing": op6_source_mixing,
     "op7_suffix_repeats": op7_suffix_repeats,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op10_compression_quality": op10_compression_quality,
 }
-ORACLES: dict[str, str] = {"op6_source_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op6_source_mixing": mixing.ORACLE, "op8_embedding_near_dedup": embedding_dups.ORACLE}
