@@ -81,18 +81,23 @@ def next_rows(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text_hash", "chars", F.col("_next.doc_id").alias("next_id"), F.col("_next.text_hash").alias("next_hash"))
 
 
-def _sketched(docs: DataFrame, scale: int) -> DataFrame:
+def _beginnings(rows: DataFrame, scale: int) -> DataFrame:
+    """``taken``, the first ``k`` characters of the text, and the sketch of all of it."""
+
     def run(batches):
         cache = WordHashes()
         for batch in batches:
-            sizes = pa.compute.binary_length(batch.column("text")).to_pylist()
-            for a, b in slices(sizes, 2_000_000):
+            for a, b in slices(pa.compute.binary_length(batch.column("text")).to_pylist(), 2_000_000):
                 part = batch.slice(a, b - a)
-                got = [sketch(shingle_set(cache.of(words(t))), scale).tobytes() for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.binary())], names=[*part.schema.names, "sketch"])
+                texts = part.column("text").to_pylist()
+                got = [sketch(shingle_set(cache.of(words(t))), scale).tobytes() for t in texts]
+                taken = [t[:k] for t, k in zip(texts, part.column("k").to_pylist())]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("to"), part.column("to_hash"), part.column("k"), pa.array(taken, pa.string()), pa.array(got, pa.binary())],
+                    names=["to", "to_hash", "k", "taken", "next_sketch"],
+                )
 
-    schema = docs.withColumn("sketch", F.lit(b"")).schema
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, "to long, to_hash long, k int, taken string, next_sketch binary")
 
 
 def edited_likeness(docs: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -106,13 +111,18 @@ def edited_likeness(docs: DataFrame, scale: int = SCALE) -> DataFrame:
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     follow = next_rows(texts)
-    full = _sketched(texts, scale)
-    need = follow.select(F.col("doc_id").alias("to_id"), F.col("text_hash").alias("to_hash"), (F.col("chars") / 4).cast("long").cast("int").alias("k"), "next_id", "next_hash")
-    given = full.join(need, full["doc_id"].eqNullSafe(need["next_id"]) & (full["text_hash"] == need["next_hash"])).select(
-        "to_id", "to_hash", "k", F.expr("substring(text, 1, k)").alias("taken"), F.col("sketch").alias("next_sketch")
-    ).dropDuplicates(["to_id", "to_hash"])
-    rows = full.join(given, full["doc_id"].eqNullSafe(given["to_id"]) & (full["text_hash"] == given["to_hash"]))
-    rows = rows.select("doc_id", "text", "k", "taken", "sketch", "next_sketch")
+    # Both joins are on (key, text_hash) and read the same columns, so texts are dealt out once.
+    texts = texts.withColumn("key", F.xxhash64("doc_id", "text_hash"))
+    need = follow.select(
+        F.xxhash64("doc_id", "text_hash").alias("to"),
+        F.col("text_hash").alias("to_hash"),
+        F.floor(F.col("chars") / 4).cast("int").alias("k"),
+        F.xxhash64("next_id", "next_hash").alias("key"),
+        F.col("next_hash").alias("text_hash"),
+    )
+    given = texts.join(need, ["key", "text_hash"]).select("doc_id", "text", "to", "to_hash", "k")
+    given = _beginnings(given, scale).withColumnsRenamed({"to": "key", "to_hash": "text_hash"}).dropDuplicates(["key", "text_hash"])
+    rows = texts.join(given, ["key", "text_hash"]).select("doc_id", "text", "k", "taken", "next_sketch")
 
     def run(batches):
         cache = WordHashes()
@@ -121,9 +131,9 @@ def edited_likeness(docs: DataFrame, scale: int = SCALE) -> DataFrame:
             for a, b in slices(sizes, 2_000_000):
                 part = batch.slice(a, b - a).to_pydict()
                 out = {c: [] for c in ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")}
-                for text, k, taken, own, after in zip(part["text"], part["k"], part["taken"], part["sketch"], part["next_sketch"]):
+                for text, k, taken, after in zip(part["text"], part["k"], part["taken"], part["next_sketch"]):
                     edited = text[: len(text) - k] + taken
-                    mine, other = np.frombuffer(own, np.uint64), np.frombuffer(after, np.uint64)
+                    mine, other = sketch(shingle_set(cache.of(words(text))), scale), np.frombuffer(after, np.uint64)
                     changed = sketch(shingle_set(cache.of(words(edited))), scale)
                     out["n_chars"].append(len(text))
                     out["edited_sha256"].append(hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest())
