@@ -7,9 +7,10 @@ sorted, so the page index lets a reader fetch the pages of an id range, or metad
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from dealflux.llm.common import prefix_sums
+from dealflux.llm.common import prefix_sums, staged
 
 #: Rows of a page, bytes of a page and of a row group.
 FORMAT = {
@@ -33,59 +34,93 @@ FORMAT = {
 }
 #: Characters of text in one file, about: the range partitions follow from it.
 FILE_CHARS = 24_000_000
-#: A space before white space or the end: such a text isn't cut at its spaces.
-_UNEVEN = regex.compile(r" (?=\s|$)")
+_PIECE = regex.compile(public_tokenizers.PATTERN)
 
 
-def _pieces(text: str) -> list[str] | None:
-    """The text cut before each space; None if cutting there could split a piece."""
-    if "\0" in text or _UNEVEN.search(text):
-        return None
-    return text.replace(" ", "\0 ").split("\0")
+def _cuts(text: str) -> list[str]:
+    """The text cut before each space; a text with the cutting mark itself is one cut that nobody knows."""
+    return ["\0"] if "\0" in text else text.replace(" ", "\0 ").split("\0")
 
 
 class PieceIds:
     """Token ids of pieces that the tokenizer's own pre-splitter never joins.
 
-    Texts are cut at single spaces, which always begin a piece; an uneven text goes to the tokenizer
-    whole. Ids of a piece are remembered as little-endian 32-bit bytes in two generations of bounded
-    size, so that frequent pieces stay.
+    Texts are cut before each space. Unless white space follows, a piece begins there; a text with a space
+    before white space or at its end goes to the tokenizer whole. A cut that is new is split into the
+    pre-splitter's pieces, and pieces that are new are encoded. Ids are remembered as little-endian 32-bit
+    bytes in two generations of bounded size, so that frequent cuts stay.
     """
 
     def __init__(self, path: str, end: int, limit: int = 250_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.end = np.array([end], "<u4").tobytes()
         self.limit = limit
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # of each id: its byte-level form has a character a byte
+        for token, i in vocabulary.items():
+            self.bytes[i] = len(token)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _learn(self, pieces: set[str]) -> None:
-        left = iter(pieces)
-        while some := list(islice(left, 5000)):
-            for piece, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.young[piece] = np.array(got.ids, "<u4").tobytes()
+    def _learn(self, missing: set[str]) -> None:
+        """Ids of cuts; none for those that can't stand alone."""
+        known, new, composed = self.old, set(), []
+        for cut in missing:
+            if (ids := known.get(cut)) is not None:
+                self.young[cut] = ids
+            elif cut[1:].isalpha() and (cut[0] == " " or cut[0].isalpha()):
+                new.add(cut)
+            elif cut not in (" ", "\0") and not (cut[0] == " " and cut[1].isspace()):
+                pieces = _PIECE.findall(cut)
+                composed.append((cut, pieces))
+                for p in pieces:
+                    if p not in self.young:
+                        if (ids := known.get(p)) is not None:
+                            self.young[p] = ids
+                        else:
+                            new.add(p)
+        for lead in (" ", "\n"):
+            words = [p for p in new if (p[0] == " ") == (lead == " ") and p.removeprefix(" ").isalpha()]
+            new.difference_update(words)
+            for i in range(0, len(words), 5000):
+                self._encode_words(words[i : i + 5000], "" if lead == " " else lead)
+        rest = list(new)
+        for i in range(0, len(rest), 5000):
+            for piece, got in zip(rest[i : i + 5000], self.tokenizer.encode_batch_fast(rest[i : i + 5000], add_special_tokens=False)):
+                self.young[piece] = array("I", got.ids).tobytes()
+        for cut, pieces in composed:
+            self.young[cut] = b"".join(map(self.young.__getitem__, pieces))
+
+    def _encode_words(self, words: list[str], lead: str) -> None:
+        """Ids of words in one call: each begins a piece by its space, or after a line end that is a piece."""
+        text = "".join([lead + w for w in words])
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        own = np.fromiter((len(w.encode("utf-8", "surrogatepass")) for w in words), np.int64, len(words)) + len(lead)
+        ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(own)) + 1
+        data, at = ids.tobytes(), 0
+        for w, end in zip(words, (4 * ends).tolist()):
+            self.young[w] = data[at + 4 * len(lead) : end]
+            at = end
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every text as bytes, the end id last."""
-        cut = [_pieces(t or "") for t in texts]
-        missing = set()
-        for pieces in cut:
-            for p in set(pieces or ()):
-                if p not in self.young:
-                    known = self.old.get(p)
-                    if known is None:
-                        missing.add(p)
-                    else:
-                        self.young[p] = known
+        get = self.young.get
+        cuts = [_cuts(text) if text else [] for text in texts]
+        found = [[*map(get, c)] for c in cuts]
+        short = [i for i, f in enumerate(found) if None in f]
+        missing: set[str] = set()
+        for i in short:
+            missing.update(c for c, f in zip(cuts[i], found[i]) if f is None and c)
         self._learn(missing)
-        out = []
-        for text, pieces in zip(texts, cut):
-            if pieces is None:
-                ids = np.array(self.tokenizer.encode_batch_fast([text or ""], add_special_tokens=False)[0].ids, "<u4").tobytes()
-            else:
-                ids = b"".join(map(self.young.__getitem__, pieces))
-            out.append(ids + self.end)
+        for i in short:
+            if cuts[i][0] == "":
+                cuts[i] = cuts[i][1:]
+            found[i] = [*map(get, cuts[i])]
+            if None in found[i]:
+                found[i] = [array("I", self.tokenizer.encode_batch_fast([texts[i]], add_special_tokens=False)[0].ids).tobytes()]
+        out = [b"".join(f) + self.end for f in found]
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
         return out
@@ -162,7 +197,7 @@ def checksums(stored: DataFrame) -> DataFrame:
 
 def positions(sums: DataFrame) -> DataFrame:
     """``start``: ids of all documents before each one, by shard and id; ties in order of their checksum."""
-    keyed = sums.withColumn("_all", F.lit(0))
+    keyed = staged(sums.withColumn("_all", F.lit(0)), "sums")
     order = [F.col("doc_id").asc_nulls_first(), "ids_crc32", "n_tokens"]
     return prefix_sums(keyed, "_all", "shard", order, "n_tokens", "start").select("doc_id", "start", "n_tokens", "ids_crc32")
 
