@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -23,11 +24,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet below the shared checkpoint folder and read back.
 
-    Lineage ends here: a lost executor costs a re-read of files every other one can see.
+    Lineage ends here: a lost executor costs a re-read of files every other one can see. Shuffle files
+    behind it serve nobody any more; Spark deletes them once the driver has collected its garbage.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -24,7 +24,7 @@ from dealflux.llm.common import WordHashes, shingle_set, slices, staged, words
 from dealflux.llm.components import components
 
 #: Shingle groups: the dimensions of a point.
-GROUPS = 64
+GROUPS = 128
 #: Jaccard threshold in percent.
 PERCENT = 80
 #: Points of a leaf, children of an inner node.
@@ -185,7 +185,7 @@ def _tree_join(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _verify(pairs: DataFrame, points: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, points: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
     """The (a, b) of ``pairs`` whose sets reach the threshold: bound first, then the sets themselves."""
 
     def bounded(batches):
@@ -213,9 +213,13 @@ def _verify(pairs: DataFrame, points: DataFrame, texts: DataFrame, width: int, p
     one = points.select(F.col("node").alias("a"), "n", "vec")
     two = points.select(F.col("node").alias("b"), F.col("n").alias("_n"), F.col("vec").alias("_vec"))
     close = pairs.join(one, "a").join(two, "b").select("a", "b", "n", "_n", "vec", "_vec").mapInArrow(bounded, "a long, b long")
-    # The side with fewer texts, the hubs, comes second: each other text then travels once.
-    full = close.join(texts.select(F.col("node").alias("b"), F.col("text").alias("_text")), "b")
-    full = full.join(texts.select(F.col("node").alias("a"), "text"), "a").select("a", "b", "text", "_text")
+    close = staged(close, "close")
+    # Only texts of surviving pairs are dealt out by their node.
+    wanted = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
+    wanted = points.join(wanted, "node").select("node", F.xxhash64("doc_id", "text_hash").alias("_key"), "text_hash")
+    own = rows.withColumn("_key", F.xxhash64("doc_id", "text_hash")).join(wanted, ["_key", "text_hash"]).select("node", "text")
+    full = close.join(own.select(F.col("node").alias("b"), F.col("text").alias("_text")), "b")
+    full = full.join(own.select(F.col("node").alias("a"), "text"), "a").select("a", "b", "text", "_text")
     return full.mapInArrow(linked, "a long, b long").distinct()
 
 
@@ -233,16 +237,11 @@ def join(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
     some = feats.where("n > 0")
     points = some.groupBy("node").agg(F.min("n").alias("n"), F.min("vec").alias("vec"), F.min(F.struct("doc_id", "text_hash")).alias("first"))
     points = staged(points.select("node", "n", "vec", "first.doc_id", "first.text_hash"), "points")
-    texts = (
-        rows.alias("r")
-        .join(points.select("node", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
-        .select("node", "text")
-    )
     postings = some.select(F.explode("sig").alias("sig"), "node")
     hubs = postings.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("_top")).where("hub < _top").drop("_top")
     shared = staged(postings.join(hubs, "sig").distinct(), "shared")
     star = staged(shared.where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "star")
-    links = staged(_verify(star, points, texts, width, percent), "links")
+    links = staged(_verify(star, points, rows, width, percent), "links")
 
     label = components(links, "a", "b")
     # Buckets in which the star left more than one component.
@@ -266,7 +265,7 @@ def join(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
     more = _tree_join(left, percent)
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = staged(more.join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = staged(links.unionByName(_verify(more, points, texts, width, percent)), "links")
+    links = staged(links.unionByName(_verify(more, points, rows, width, percent)), "links")
     label = components(links, "a", "b")
 
     member = some.select("doc_id", "node").join(label, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
