@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealflux.llm import backoff_lm, compression_quality, embedding_dups, mixing, ngram_join, packing, repeats, sketches, token_store
+from dealflux.llm import backoff_lm, compression_quality, embedding_dups, html_text, mixing, ngram_join, packing, repeats, sketches, token_store
 from dealflux.llm.common import table, word_count
 from dealflux.session import checkpoint_dir
 
@@ -62,6 +62,11 @@ def op8_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dups.near_duplicates(table(spark, folder, "embeddings"))
 
 
+def op9_html_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.main_text(table(spark, folder, "pages"))
+
+
 def op10_compression_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Scores of every text from labels of two folds of three."""
     docs = table(spark, folder, "documents")
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_source_mixing": op6_source_mixing,
     "op7_suffix_repeats": op7_suffix_repeats,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
+    "op9_html_main_text": op9_html_main_text,
     "op10_compression_quality": op10_compression_quality,
 }
 ORACLES: dict[str, str] = {"op6_source_mixing": mixing.ORACLE, "op8_embedding_near_dedup": embedding_dups.ORACLE}
