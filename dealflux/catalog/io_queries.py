@@ -19,30 +19,37 @@ from dealflux.sources import readers as R
 from dealflux.sources import writers as W
 from dealflux.streaming import events as E
 
-EVENT_COLS = ["event_id", "event_type", "event_time", "user_id", "session_id", "country", "region", "city"]
-EVENT_SQL = """SELECT event_id, event_type, CAST(event_time AS VARCHAR) AS event_time, CAST(user_id AS VARCHAR) AS user_id, session_id, country, region, city
+EVENT_COLS = ["event_id", "event_type", "event_time", "user_id", "session_id", "country", "region", "city", "event_properties"]
+# JSON text with quotes, commas and a backslash, as exports have it.
+PROPERTIES = """concat('{"said": "a, \\\\"b\\\\"", "type": "', coalesce(event_type, ''), '", "n": ', cast(event_id AS string), '}')"""
+EVENT_SQL = """SELECT event_id, event_type, CAST(event_time AS VARCHAR) AS event_time, CAST(user_id AS VARCHAR) AS user_id, session_id, country, region, city,
+  concat('{"said": "a, \\"b\\"", "type": "', coalesce(event_type, ''), '", "n": ', CAST(event_id AS VARCHAR), '}') AS event_properties
   FROM web_events"""
 
 
+def web_events(t):
+    return t.web_events.withColumn("event_properties", F.expr(PROPERTIES))
+
+
 def folder(t, name):
     return f"{checkpoint_dir(t.spark)}/files/{name}-{uuid.uuid4().hex}"
 
 
 def event_csv(t):
     path = folder(t, "events")
-    W.write_csv_chunks(t.web_events.select(*EVENT_COLS), path, rows_per_file=2000)
+    W.write_csv_chunks(web_events(t).select(*EVENT_COLS), path, rows_per_file=2000)
     return path
 
 
-@query("src_csv_chunks", EVENT_SQL.replace("country, region, city", "CASE WHEN user_id % 2 = 0 THEN country END AS country, CASE WHEN user_id % 2 = 1 THEN city END AS city")
-       + " WHERE user_id IS NOT NULL")
+@query("src_csv_chunks", EVENT_SQL.replace("country, region, city", "CASE WHEN coalesce(user_id % 2, 0) = 0 THEN country END AS country, CASE WHEN user_id % 2 = 1 THEN city END AS city")
+)
 def _(t):
-    e = t.web_events.where("user_id is not null")
+    e = web_events(t)
     names = [c for c in EVENT_COLS if c not in ("region", "city")], [c for c in EVENT_COLS if c not in ("region", "country")]
     paths = []
     for i, cols in enumerate(names):
         paths.append(folder(t, f"chunk{i}"))
-        W.write_csv_chunks(e.where(F.col("user_id") % 2 == i).select(*cols), paths[-1])
+        W.write_csv_chunks(e.where(F.coalesce(F.col("user_id") % 2, F.lit(0)) == i).select(*cols), paths[-1])
     return R.read_chunks(t.spark, paths, [R.event_schema(c) for c in names])
 
 
@@ -62,13 +69,15 @@ def _(t):
     return scan.where(F.col("event_type") != "error")
 
 
-@query("src_json_array_to_csv", "SELECT event_id, event_type, city FROM web_events")
+@query("src_json_array_to_csv", EVENT_SQL.replace("CAST(event_time AS VARCHAR) AS event_time, CAST(user_id AS VARCHAR) AS user_id, session_id, country, region, city,", "city,"))
 def _(t):
+    # An array with an object a line, as the export comes.
     source, target = folder(t, "json"), folder(t, "csv")
-    W.write_json(t.web_events.select("event_id", "event_type", "city", "language"), source)
-    schema = R.event_schema(["event_id", "event_type", "city", "language"])
-    R.convert_export(t.spark, source, target, schema, ["event_id", "event_type", "city"], rows_per_file=3000)
-    return R.read_csv(t.spark, target, R.event_schema(["event_id", "event_type", "city"]))
+    kept = ["event_id", "event_type", "city", "event_properties"]
+    objects = web_events(t).select(F.concat(F.to_json(F.struct(*kept, "language")), F.lit(",")).alias("value"))
+    objects.unionByName(t.spark.createDataFrame([("[",), ("]",)], "value string")).write.text(source)
+    R.convert_export(t.spark, source, target, R.event_schema([*kept, "language"]), kept, form="array_lines", rows_per_file=3000)
+    return R.read_csv(t.spark, target, R.event_schema(kept))
 
 
 @query("src_star_tables", """
@@ -100,15 +109,15 @@ def _(t):
     return tables["deals"].agg(F.count(F.lit(1)).alias("rows")).select("rows", missing.alias("_m")).select("_m.*", "rows")
 
 
-SUMS = "SELECT year, count(id) AS deals, avg(amount) AS amount_mean FROM deals WHERE year < 2001 GROUP BY 1"
+SUMS = "SELECT year, count(id) AS deals, avg(amount) AS amount_mean FROM deals GROUP BY 1"
 
 
 @query("src_json_results", SUMS, r0="amount_mean")
 def _(t):
     path = folder(t, "document")
-    yearly = D.quarterly_trends(t.deals.where("year < 2001")).groupBy("year").agg(
+    yearly = D.quarterly_trends(t.deals).groupBy("year").agg(
         F.sum("deals").alias("deals"), (F.sum("amount_sum")).alias("amount_sum"))
-    counts = t.deals.where("year < 2001").groupBy("year").agg(F.count("amount").alias("priced"))
+    counts = t.deals.groupBy("year").agg(F.count("amount").alias("priced"))
     rows = yearly.join(counts, "year").select("year", "deals", (F.col("amount_sum") / F.col("priced")).alias("amount_mean"))
     W.write_json(rows.agg(F.collect_list(F.struct("year", "deals", "amount_mean")).alias("yearly_trends")), path)
     return R.read_results(t.spark, path, "yearly_trends", "year int, deals bigint, amount_mean double")
@@ -170,20 +179,17 @@ def stream(t):
 @query("stm_ingest", "SELECT event_id, event_type, user_id FROM events")
 def _(t):
     twice = stream(t).unionByName(stream(t))
-    out = E.ingest(twice)
-    return E.run_available(out, folder(t, "ingest"), folder(t, "state")).select("event_id", "event_type", "user_id")
+    return E.ingest(twice, folder(t, "ingest"), folder(t, "state")).select("event_id", "event_type", "user_id")
 
 
 @query("stm_hourly_counts", """
-  SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS hour_start, event_type, count(*) AS n FROM events
-  WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1, 2""")
+  SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS hour_start, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
 def _(t):
     return E.run_available(E.hourly_counts(stream(t)), folder(t, "hourly"), folder(t, "state"))
 
 
 @query("stm_sessions", """
   WITH s AS (SELECT user_id, session_no, min(ts) AS a, max(ts) AS b, count(*) AS events FROM sessioned GROUP BY 1, 2)
-  SELECT user_id, CAST(a AS VARCHAR) AS start_time, CAST(b AS VARCHAR) AS end_time, events FROM s
-  WHERE b + INTERVAL 12 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+  SELECT user_id, CAST(a AS VARCHAR) AS start_time, CAST(b AS VARCHAR) AS end_time, events FROM s""")
 def _(t):
     return E.run_available(E.sessions(stream(t)), folder(t, "sessions"), folder(t, "state"))

@@ -30,12 +30,15 @@ def local_session(cores: int | str = "*", app: str = "dealflux", shuffle: int =
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for cut lineage: the one the cluster names, else a new local one."""
+    """Folder for cut lineage: the one the cluster names; a new local one for local sessions only."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get()
-    named = spark.conf.get("spark.checkpoint.dir", "")
-    folder = named or tempfile.mkdtemp(prefix="dealflux-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="dealflux-checkpoint-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 

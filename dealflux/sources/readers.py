@@ -24,9 +24,9 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType |
     """Typed CSV scan that checks the header against the schema and keeps the named columns.
 
     A schema in another order than the file fails on the header instead of binding columns by
-    position. Quoted line breaks are not expected, so files stay splittable.
+    position. A quote inside a field is doubled. Quoted line breaks are not expected, so files stay splittable.
     """
-    df = spark.read.option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").schema(schema).csv(path)
+    df = spark.read.option("header", True).option("escape", '"').option("enforceSchema", False).option("mode", "FAILFAST").schema(schema).csv(path)
     return df.select(*columns) if columns else df
 
 
@@ -35,7 +35,7 @@ def read_csv_by_name(spark: SparkSession, path: str | list[str], schema: T.Struc
 
     One line is read for the header; every file of the glob must share it.
     """
-    header = spark.read.option("header", True).csv(path).columns
+    header = spark.read.option("header", True).option("escape", '"').csv(path).columns
     raw = T.StructType([T.StructField(c, T.StringType()) for c in header])
     df = read_csv(spark, path, raw)
     wanted = [f for f in schema.fields if columns is None or f.name in columns]
@@ -59,12 +59,26 @@ def read_json_export(spark: SparkSession, path: str, schema: T.StructType | str,
     return df.select(*[f"`{c}`" for c in columns]) if columns else df
 
 
+def read_json_array_lines(spark: SparkSession, path: str, schema: T.StructType | str, columns: Sequence[str] | None = None) -> DataFrame:
+    """Event export as one JSON array with an object a line; such a file is split like any text file.
+
+    Brackets and commas between objects are cut off each line; a line that holds no object gives no row.
+    """
+    line = F.trim(F.regexp_replace(F.trim("value"), r"^\[|(?<=\})\s*\]?\s*,?\s*$|^\]$", ""))
+    df = spark.read.text(path).select(line.alias("_l")).where("_l <> ''").select(F.from_json("_l", schema, {"mode": "FAILFAST"}).alias("_o")).select("_o.*")
+    return df.select(*[f"`{c}`" for c in columns]) if columns else df
+
+
 def convert_export(spark: SparkSession, source: str, target: str, schema: T.StructType, keep: Sequence[str] = EVENT_COLUMNS,
-                   *, lines: bool = True, rows_per_file: int = 100_000) -> None:
-    """JSON export to CSV files of bounded length holding the kept columns."""
+                   *, form: str = "lines", rows_per_file: int = 100_000) -> None:
+    """JSON export (``lines``, ``array`` or ``array_lines``) to CSV files of bounded length holding the kept columns."""
     from dealflux.sources.writers import write_csv_chunks
 
-    write_csv_chunks(read_json_export(spark, source, schema, keep, lines=lines), target, rows_per_file=rows_per_file)
+    if form == "array_lines":
+        rows = read_json_array_lines(spark, source, schema, keep)
+    else:
+        rows = read_json_export(spark, source, schema, keep, lines=form == "lines")
+    write_csv_chunks(rows, target, rows_per_file=rows_per_file)
 
 
 class Star(NamedTuple):
@@ -116,7 +130,7 @@ def load_star(spark: SparkSession, folder: str) -> Star:
     """The five star tables from CSV, with dates and numbers coerced and columns checked."""
     tables = {}
     for name in Star._fields:
-        df = spark.read.option("header", True).csv(f"{folder}/{name}")
+        df = spark.read.option("header", True).option("escape", '"').csv(f"{folder}/{name}")
         tables[name] = coerce(df, DATES.get(name, ()), NUMBERS.get(name))
     check_columns(tables)
     return Star(**tables)

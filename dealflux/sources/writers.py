@@ -10,8 +10,8 @@ MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
 def write_csv_chunks(df: DataFrame, path: str, *, rows_per_file: int = 100_000) -> None:
-    """CSV with header, at most ``rows_per_file`` rows a file, no index column."""
-    writer = df.write.mode("overwrite").option("header", True).option("maxRecordsPerFile", rows_per_file)
+    """CSV with header, at most ``rows_per_file`` rows a file, no index column; quotes in fields are doubled."""
+    writer = df.write.mode("overwrite").option("header", True).option("escape", '"').option("maxRecordsPerFile", rows_per_file)
     writer.option("timestampFormat", MICROS).csv(path)
 
 

@@ -53,6 +53,28 @@ def test_filters_and_columns_reach_the_scan(spark, tables, tmp_path):
 def test_stream_equals_batch_over_several_batches(spark, tables, tmp_path):
     base = tables.base("events").orderBy("ts")
     base.repartitionByRange(4, "ts").write.parquet(str(tmp_path / "in"))
+    late = base.withColumn("ts", F.col("ts") - F.expr("interval 30 days")).withColumn("event_id", F.col("event_id") + 10_000_000)
     stream = E.read_events(spark, str(tmp_path / "in"), base.schema, files_per_batch=1)
-    out = E.run_available(E.ingest(stream.unionByName(stream), delay="40 days"), str(tmp_path / "out"), str(tmp_path / "cp"))
+    out = E.ingest(stream.unionByName(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert out.count() == base.count() and out.select("event_id").distinct().count() == base.count()
+    late.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out = E.ingest(stream, str(tmp_path / "out"), str(tmp_path / "cp2"))
+    assert out.count() == 2 * base.count()
+    hours = E.run_available(E.hourly_counts(stream), str(tmp_path / "hours"), str(tmp_path / "cp3"))
+    assert hours.agg(F.sum("n")).first()[0] == 2 * base.count()
+    found = E.run_available(E.sessions(stream), str(tmp_path / "sessions"), str(tmp_path / "cp4"))
+    assert found.agg(F.sum("events")).first()[0] == 2 * base.count()
+
+
+def test_csv_fields_with_quotes_commas_and_json(spark, tmp_path):
+    rows = [(i, text) for i, text in enumerate(['{"a": "1, \\"2\\""}', 'Acme "The, Best" Co', '"', None, "\\", 'x\\"y'])]
+    W.write_csv_chunks(spark.createDataFrame(rows, "event_id long, event_properties string"), str(tmp_path / "c"))
+    schema = R.event_schema(["event_id", "event_properties"])
+    for read in (R.read_csv, R.read_csv_by_name):
+        assert sorted(map(tuple, read(spark, str(tmp_path / "c"), schema).collect())) == rows
+
+
+def test_json_array_with_an_object_a_line(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"event_id": 1, "city": "x],"},\n{"event_id": 2},\n {"event_id": 3, "city": "}"}]\n')
+    got = R.read_json_array_lines(spark, str(tmp_path / "a.json"), R.event_schema(["event_id", "city"]))
+    assert sorted(map(tuple, got.collect())) == [(1, "x],"), (2, None), (3, "}")]
