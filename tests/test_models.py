@@ -130,7 +130,7 @@ def test_autoregression_is_recovered(spark):
     fit = Y.ar_fit(s).first()
     assert fit.d == 0 and fit.p >= 1
     assert Y.stationarity(s).first().d == 0
-    assert Y.arma(np.array(x), 1, 0)[1][0] == pytest.approx(0.7, abs=0.06)
+    assert Y.ar_fit(s, max_p=1, max_q=0).first().ar[0] == pytest.approx(0.7, abs=0.06)
     acf = {r.lag: r.acf for r in Y.acf(s).collect()}
     assert acf[0] == pytest.approx(1) and acf[1] == pytest.approx(0.7, abs=0.08) and max(acf) == 40
     order = Y.orders(Y.acf(s)).where("lag = 1").first()
@@ -145,7 +145,12 @@ def test_autoregression_is_recovered(spark):
 
 def test_constant_and_short_series(spark):
     assert Y.ar_forecast(series_of(spark, [3.0] * 40), horizon=2, step="day").first().yhat == pytest.approx(3.0)
-    assert Y.ar_fit(series_of(spark, [1.0, 2.0])).count() == 0
+    short = Y.ar_fit(series_of(spark, [1.0, 2.0])).first()
+    assert short.reason == Y.SHORT and short.ar == []
+    ahead = Y.ar_forecast(series_of(spark, [4.0]), horizon=2, step="day").collect()
+    assert [(r.h, r.yhat, r.reason) for r in ahead] == [(1, 4.0, Y.SHORT), (2, 4.0, Y.SHORT)]
+    line = Y.seasonal_trend(series_of(spark, [1.0, 2.0, 3.0], "h"), horizon=1)
+    assert line.where("kind = 'forecast'").first().yhat == pytest.approx(4.0, abs=0.1)
 
 
 @pytest.mark.parametrize("mode", ["additive", "multiplicative"])
