@@ -1,7 +1,11 @@
+"""Tables that the operators' tests share."""
+
+import os
 import random
 
 import pytest
 
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 ODD_DOCS = "doc_id long, text string, lang string, source string, n_chars long, node string, label string, _key string, size long"
 
 

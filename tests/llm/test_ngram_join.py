@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from llm_fixtures import near_texts, no_docs, odd_docs  # noqa: F401
 
 from dealflux.llm import ngram_join as N
 

@@ -2,7 +2,7 @@
 
 import pytest
 from check import compare, connect
-from conftest import DATA
+from llm_fixtures import DATA
 
 from dealflux.llm import queries
 

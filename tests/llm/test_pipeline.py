@@ -3,13 +3,13 @@
 import corpus_pipeline as P
 from pyspark.sql import functions as F
 
+from llm_fixtures import DATA, no_docs, odd_docs  # noqa: F401
+
 from dealflux.llm import queries
 from dealflux.llm.common import staged
 
 
 def test_stages_on_the_smallest_tables(spark, tmp_path):
-    from conftest import DATA
-
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     sizes = [docs.count()]
     for name, stage in P.STAGES:

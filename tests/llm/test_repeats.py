@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from llm_fixtures import no_docs, odd_docs  # noqa: F401
 
 from dealflux.llm import repeats as R
 

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from llm_fixtures import no_docs, odd_docs  # noqa: F401
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -79,7 +80,8 @@ def test_scores_equal_the_formula(spark, odd_docs, order, monkeypatch):
         own = range(order - 1, len(t))
         want.append((r.doc_id or -1, len(own), sum(grams[t[i],] > 0 for i in own), total, round(sum(math.log10(p((), t[i])) for i in own), 6), round(sum(math.log10(p(tuple(t[i - order + 1 : i]), t[i])) for i in own), 6)))
     got = backoff_lm.score(docs, F.col("doc_id") % 3 != 0, order=order).collect()
-    assert sorted((r.doc_id or -1, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == pytest.approx(sorted(want))
+    mine = sorted((r.doc_id or -1, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got)
+    assert np.allclose(np.array(mine, float), np.array(sorted(want), float), rtol=0, atol=1e-5)
 
 
 def test_no_training_rows_and_no_rows(odd_docs, no_docs):
@@ -126,7 +128,7 @@ def test_mix_hits_targets(spark, odd_docs, no_docs):
     got = mixing.mix(odd_docs, range_rows=2).collect()
     per = {}
     for r in got:
-        assert 0 <= r.taken <= 3 * r.size and r.size == len(words(r.doc_id and r.text if False else "")) or True
+        assert 0 <= r.taken <= 3 * r.size
         s = per.setdefault(r.source, [0, 0, r.target, r.source_size])
         s[0] += r.taken
         s[1] += r.size
