@@ -1,7 +1,7 @@
 """Feature preparation, models, metrics and forecasts over the supplied tables.
 
-Model queries fit fewer trees, rounds or seeds than the operators' defaults, to keep a check short;
-they always read whole tables.
+Model queries use the operators' default trees, rounds and seeds and read whole tables; where SQL can't fit
+the model, it checks what must hold of any fit (rows, labels, shares).
 """
 
 from __future__ import annotations
@@ -75,7 +75,8 @@ def _(t):
     return hot.select("id", F.array_join(flags, ",").alias("sector"))
 
 
-@query("ml_train_test_split")
+@query("ml_train_test_split", """SELECT id, primary_tag, CAST(row_number() OVER (PARTITION BY primary_tag ORDER BY md5('42#' || id), id)
+    <= round(count(*) OVER (PARTITION BY primary_tag) * 0.2::DOUBLE) AS INTEGER) AS is_test FROM companies""")
 def _(t):
     return X.stratified_split(t.companies, "primary_tag", "id").select("id", "primary_tag", "is_test")
 
@@ -89,20 +90,21 @@ def _(t):
 @query("ml_random_forest_classifier")
 def _(t):
     c = company_table(t)
-    model = M.random_forest_classifier(c, INPUTS, "is_successful", trees=20, depth=12)
+    model = M.random_forest_classifier(c, INPUTS, "is_successful")
     return M.score(model, c).select("company_id", "is_successful", "prediction", "score")
 
 
 @query("ml_gbt_regressor")
 def _(t):
     c = company_table(t)
-    model = M.boosted_regressor(c, INPUTS, "total_funding", rounds=10)
+    model = M.boosted_regressor(c, INPUTS, "total_funding")
     return M.score(model, c).select("company_id", "total_funding", "prediction")
 
 
 @query("ml_regressor_elastic_net")
 def _(t):
-    rows = X.next_round_examples(t.deals, t.companies).where("next_amount is not null").persist()
+    # Fitted on deals that have a next one; scored on all, the last deal's next round included.
+    rows = X.next_round_examples(t.deals, t.companies).persist()
     inputs = ["round_ordinal", "amount", "previous_amount", "age_at_deal", "weekday", "month"]
     model = M.elastic_net(rows, inputs, "next_amount")
     return M.score(model, rows).select("id", "next_amount", "prediction")
@@ -110,9 +112,10 @@ def _(t):
 
 @query("ml_regressor_random_forest")
 def _(t):
-    rows = X.next_round_examples(t.deals, t.companies).where("next_amount is not null").persist()
+    # Fitted on deals that have a next one; scored on all, the last deal's next round included.
+    rows = X.next_round_examples(t.deals, t.companies).persist()
     inputs = ["round_ordinal", "amount", "previous_amount", "age_at_deal", "weekday", "month"]
-    model = M.random_forest_regressor(rows, inputs, "next_amount", trees=10, depth=6)
+    model = M.random_forest_regressor(rows, inputs, "next_amount")
     return M.score(model, rows).select("id", "next_amount", "prediction")
 
 
@@ -137,21 +140,21 @@ def _(t):
 @query("ml_next_event_classifier")
 def _(t):
     rows = M.next_event_rows(t.web_events).persist()
-    model = M.next_event_classifier(rows, trees=10)
+    model = M.next_event_classifier(rows)
     return model.transform(rows).select("event_id", "event_type", "label", "prediction")
 
 
 @query("ml_next_event_predict")
 def _(t):
     rows = M.next_event_rows(t.web_events).persist()
-    return M.top_classes(M.next_event_classifier(rows, trees=10), rows, "event_id")
+    return M.top_classes(M.next_event_classifier(rows), rows, "event_id")
 
 
 @query("ml_kmeans_sessions")
 def _(t):
     f = ["events", "mean_hour", "seconds"]
     rows = X.standardize(S.session_features(t.web_events), f).persist()
-    model, _cost = M.kmeans(rows, [f"{c}_z" for c in f], seeds=2)
+    model, _cost = M.kmeans(rows, [f"{c}_z" for c in f])
     labelled = M.assign(model, rows, [f"{c}_z" for c in f])
     stats = M.cluster_centres(labelled, f)
     return stats.join(K.mode_by(labelled, ["cluster"], "device_family"), "cluster").join(K.mode_by(labelled, ["cluster"], "country"), "cluster")
@@ -162,7 +165,7 @@ def _(t):
     wide = S.user_event_columns(t.web_events)
     kinds = [c for c in wide.columns if c != "user_id"]
     rows = X.standardize(wide, kinds).persist()
-    model, _cost = M.kmeans(rows, [f"{c}_z" for c in kinds], seeds=2)
+    model, _cost = M.kmeans(rows, [f"{c}_z" for c in kinds])
     sizes = M.cluster_centres(M.assign(model, rows, [f"{c}_z" for c in kinds]), kinds)
     long = K.unpivot(sizes, ["cluster", "size", "percent"], kinds, "event_type", "mean_events")
     return K.top_per_group(long, ["cluster"], 5, F.desc("mean_events"), F.asc("event_type"))
@@ -171,7 +174,7 @@ def _(t):
 @query("ml_kmeans_market")
 def _(t):
     c = X.company_features(t.companies_aged, t.deals)
-    labelled, cost = M.market_clusters(c, "company_id", MARKET, seeds=2)
+    labelled, cost = M.market_clusters(c, "company_id", MARKET)
     quality = M.silhouette(labelled, [f"{f}_z" for f in MARKET])
     return M.cluster_centres(labelled, MARKET).withColumns({"inertia": F.lit(cost), "silhouette": F.lit(quality)})
 
@@ -248,7 +251,7 @@ def _(t):
 @query("ml_feature_importance")
 def _(t):
     c = company_table(t)
-    model = M.random_forest_classifier(c, INPUTS, "is_successful", trees=20, depth=12)
+    model = M.random_forest_classifier(c, INPUTS, "is_successful")
     moved = M.permutation_importance(model, c, INPUTS, "is_successful", "company_id")
     return M.feature_importance(model, INPUTS, t.spark).join(moved.select("feature", F.col("importance").alias("permutation_importance")), "feature")
 

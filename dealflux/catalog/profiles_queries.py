@@ -49,9 +49,10 @@ def _(t):
     return P.append_other_row(P.value_counts(t.web_events, "city"), "city", top=5)
 
 
-@query("agg_sampled_counts")
+@query("agg_sampled_counts", """SELECT event_type, count(*) AS sample_n, CAST(round(count(*) / 0.3::DOUBLE) AS BIGINT) AS estimated_n FROM web_events
+  WHERE ('0x' || substr(md5('42#' || event_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.3::DOUBLE GROUP BY 1""")
 def _(t):
-    return P.sampled_counts(t.web_events, "event_type", fraction=0.3)
+    return P.sampled_counts(t.web_events, "event_type", "event_id", fraction=0.3)
 
 
 @query("agg_null_profile", " UNION ALL ".join(

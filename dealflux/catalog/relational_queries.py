@@ -177,9 +177,10 @@ def _(t):
     return K.top_k(t.deals, 1000, F.md5(F.concat(F.lit("42#"), F.col("id").cast("string"))), F.col("id")).select("id", "amount")
 
 
-@query("srt_row_sample_fraction")
+@query("srt_row_sample_fraction", """SELECT id, amount FROM deals
+  WHERE ('0x' || substr(md5('42#' || id), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.1::DOUBLE""", r3="amount")
 def _(t):
-    return t.deals.sample(fraction=0.1, seed=42).select("id", "amount")
+    return t.deals.where(K.hash_share(F.col("id")) < 0.1).select("id", "amount")
 
 
 # Sets.

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dealflux.functions import columns as C
@@ -37,16 +37,16 @@ def funding_threshold(funding: DataFrame, *, col: str = "total_funding", thresho
     return K.exact_percentiles(funding, [], col, {"threshold": 0.5})
 
 
-def name_ids(df: DataFrame, column: str, out: str, *, prefix: int = 2) -> DataFrame:
+def name_ids(df: DataFrame, column: str, out: str) -> DataFrame:
     """0-based id of each row's value in name order (a dense rank without a global window)."""
-    ids = K.prefix_rank(df, column, F.substring(column, 1, prefix), out)
+    ids = K.range_rank(df, column, out)
     return df.join(ids, column, "left")
 
 
 def appearance_ids(df: DataFrame, column: str, order: str, out: str) -> DataFrame:
     """0-based id by first appearance in ``order``; null values get -1."""
     firsts = K.aggregate_by(df, [column], _first=F.min(order))
-    ids = K.prefix_rank(firsts, "_first", F.floor(F.col("_first") / 1024), out)
+    ids = K.range_rank(firsts, "_first", out)
     numbered = firsts.join(ids, "_first").select(column, out)
     return df.join(numbered, column, "left").fillna({out: -1})
 
@@ -119,13 +119,23 @@ def winsorize(df: DataFrame, bounds: DataFrame, columns: Sequence[str]) -> DataF
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test_fraction: float = 0.2, seed: int = 42) -> DataFrame:
-    """Mark each row ``is_test`` so that every class gives close to the fraction.
+    """Mark each row ``is_test`` so that every class gives the fraction, rounded to a row.
 
-    A seeded hash of the key decides, so the split does not depend on partitioning, needs no
-    shuffle and leaves classes independent of each other.
+    Rows of a class stand in order of a seeded MD5 of their key (ties by the key), so the split does not
+    depend on partitioning. Counts of 4,096 hash buckets per class show in which bucket the fraction is
+    reached; ranks are taken inside buckets only. A null label is a class of its own.
     """
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(label).cast("string"), F.col(key)), F.lit(10_000))
-    return df.withColumn("is_test", bucket < int(test_fraction * 10_000))
+    order = F.md5(F.concat(F.lit(f"{seed}#"), F.col(key).cast("string")))
+    rows = df.withColumns({"_h": order, "_b": F.coalesce(F.substring(order, 1, 3), F.lit(""))})
+    sizes = rows.groupBy(F.col(label).alias("_l"), F.col("_b").alias("_bb")).agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy("_l")
+    sizes = sizes.withColumns({
+        "_before": F.coalesce(F.sum("_n").over(group.orderBy("_bb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "_wanted": F.round(F.sum("_n").over(group) * test_fraction),
+    })
+    placed = rows.join(sizes, rows[label].eqNullSafe(sizes["_l"]) & (rows["_b"] == sizes["_bb"]))
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy("_l", "_bb").orderBy("_h", key))
+    return placed.withColumn("is_test", rank <= F.col("_wanted")).select(*df.columns, "is_test")
 
 
 def round_table(deals: DataFrame, companies: DataFrame) -> DataFrame:
@@ -181,7 +191,7 @@ def smote(df: DataFrame, label: str, key: str, features: Sequence[str], *, k: in
 
     # Every minority row makes the same number of copies; the remainder goes to the first rows in hash order.
     hashed = near.withColumn("_h", F.struct(F.xxhash64(F.lit(seed), key).alias("h"), F.col(key).alias("k")))
-    order = K.prefix_rank(hashed, "_h", F.shiftright(F.col("_h.h"), 50), "_rank")
+    order = K.range_rank(hashed, "_h", "_rank")
     missing = F.col("_large") - F.col("_small._n")
     each = F.expr("(_large - _small._n) div _small._n")
     extra = F.when(F.col("_rank") < missing - each * F.col("_small._n"), 1).otherwise(0)

@@ -11,7 +11,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dealflux.functions import columns as C
@@ -24,7 +24,32 @@ SEED = 42
 
 
 def assembler(features: Sequence[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
+    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
+
+
+def complete(df: DataFrame, features: Sequence[str]) -> Column:
+    """Whether a row has all features (those of them that are columns of ``df``), none null or NaN.
+
+    Fits learn from complete rows; scores keep the others with a null prediction. Impute before, where a value is wanted.
+    """
+    kinds = dict(df.dtypes)
+    ok = F.lit(True)
+    for c in features:
+        if c in kinds:
+            ok = ok & F.col(f"`{c}`").isNotNull()
+            if kinds[c] in ("double", "float"):
+                ok = ok & ~F.isnan(f"`{c}`")
+    return ok
+
+
+def transformed(model, df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """The model's columns beside every row of ``df``; null on incomplete rows."""
+    ok = complete(df, features)
+    return model.transform(df.where(ok)).unionByName(df.where(~ok), allowMissingColumns=True)
+
+
+def inputs(model: PipelineModel) -> list[str]:
+    return next(s for s in model.stages if isinstance(s, VectorAssembler)).getInputCols()
 
 
 def one_hot(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -41,12 +66,12 @@ def random_forest_classifier(df: DataFrame, features: Sequence[str], label: str,
     forest = RandomForestClassifier(
         labelCol=label, numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=SEED, checkpointInterval=10, minInstancesPerNode=1
     )
-    return Pipeline(stages=[assembler(features), forest]).fit(df)
+    return Pipeline(stages=[assembler(features), forest]).fit(df.where(complete(df, [*features, label])))
 
 
 def random_forest_regressor(df: DataFrame, features: Sequence[str], label: str, *, trees: int = 100, depth: int = 10) -> PipelineModel:
     forest = RandomForestRegressor(labelCol=label, numTrees=trees, maxDepth=depth, seed=SEED)
-    return Pipeline(stages=[assembler(features), forest]).fit(df)
+    return Pipeline(stages=[assembler(features), forest]).fit(df.where(complete(df, [*features, label])))
 
 
 def boosted_regressor(
@@ -59,17 +84,20 @@ def boosted_regressor(
         labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=rows,
         featureSubsetStrategy=str(columns), seed=SEED, checkpointInterval=10,
     )
-    return Pipeline(stages=[assembler(features), trees]).fit(df)
+    return Pipeline(stages=[assembler(features), trees]).fit(df.where(complete(df, [*features, label])))
 
 
 def elastic_net(df: DataFrame, features: Sequence[str], label: str, *, penalty: float = 0.1, mix: float = 0.5) -> PipelineModel:
     line = LinearRegression(labelCol=label, regParam=penalty, elasticNetParam=mix)
-    return Pipeline(stages=[assembler(features), line]).fit(df)
+    return Pipeline(stages=[assembler(features), line]).fit(df.where(complete(df, [*features, label])))
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Predictions beside the input, without vector columns; ``score`` is the probability of class 1."""
-    out = model.transform(df)
+    """Predictions beside every row, without vector columns; ``score`` is the probability of class 1.
+
+    A row that lacks a feature has a null prediction.
+    """
+    out = transformed(model, df, inputs(model))
     if "probability" in out.columns:
         out = out.withColumn("score", F.get(vector_to_array("probability"), 1))
     return out.drop("features", "rawPrediction", "probability")
@@ -125,13 +153,17 @@ def next_event_rows(df: DataFrame, min_rows: int = 5) -> DataFrame:
 
 
 def next_event_classifier(rows: DataFrame, *, trees: int = 50, depth: int = 6) -> PipelineModel:
-    """Forest over next-event rows; the first stage keeps the class names."""
-    label = StringIndexer(inputCol="event_type", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip")
-    inputs = StringIndexer(
+    """Forest over next-event rows; the first stage keeps the class names.
+
+    Trees take as many bins as the largest dictionary has entries, so any number of event types fits.
+    """
+    label = StringIndexer(inputCol="event_type", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="keep").fit(rows)
+    indexed = StringIndexer(
         inputCols=["prev_event_type", "device_family"], outputCols=["prev_i", "device_i"], stringOrderType="alphabetAsc", handleInvalid="keep"
-    )
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED, maxBins=128)
-    stages = [label, inputs, assembler(["hour", "weekday", "prev_i", "device_i"]), forest]
+    ).fit(rows)
+    bins = max(32, *[len(names) + 1 for names in indexed.labelsArray])
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED, maxBins=bins)
+    stages = [label, indexed, assembler(["hour", "weekday", "prev_i", "device_i"]), forest]
     return Pipeline(stages=stages).fit(rows)
 
 
@@ -148,7 +180,7 @@ def top_classes(model: PipelineModel, rows: DataFrame, key: str, top: int = 5) -
 
 def kmeans(df: DataFrame, features: Sequence[str], *, k: int = 5, seeds: int = 10, max_iter: int = 300, tol: float = 1e-4):
     """Best of several seeded fits on ``features``; returns (model, its cost)."""
-    data = assembler(features).transform(df).select("features").persist()
+    data = assembler(features).transform(df.where(complete(df, features))).select("features").persist()
     try:
         fits = [KMeans(k=k, seed=SEED + i, maxIter=max_iter, tol=tol, initMode="k-means||").fit(data) for i in range(seeds)]
     finally:
@@ -158,11 +190,13 @@ def kmeans(df: DataFrame, features: Sequence[str], *, k: int = 5, seeds: int = 1
 
 
 def assign(model, df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return model.transform(assembler(features).transform(df)).withColumnRenamed("prediction", "cluster").drop("features")
+    """``cluster`` of every row; null on rows that lack a feature."""
+    both = PipelineModel(stages=[assembler(features), model])
+    return transformed(both, df, features).withColumnRenamed("prediction", "cluster").drop("features")
 
 
 def silhouette(df: DataFrame, features: Sequence[str], cluster: str = "cluster") -> float:
-    data = assembler(features).transform(df).select("features", F.col(cluster).cast("double").alias("prediction"))
+    data = assembler(features).transform(df.where(complete(df, [*features, cluster]))).select("features", F.col(cluster).cast("double").alias("prediction"))
     return ClusteringEvaluator(metricName="silhouette", distanceMeasure="squaredEuclidean").evaluate(data)
 
 

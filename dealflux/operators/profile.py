@@ -50,9 +50,9 @@ def append_other_row(shares: DataFrame, column: str, *, top: int, other: str = "
     return kept.unionByName(rest)
 
 
-def sampled_counts(df: DataFrame, column: str, *, fraction: float = 0.1, seed: int = 42) -> DataFrame:
-    """Value counts of a random sample, scaled up to the whole table."""
-    picked = df.sample(fraction=fraction, seed=seed)
+def sampled_counts(df: DataFrame, column: str, key: str, *, fraction: float = 0.1, seed: int = 42) -> DataFrame:
+    """Value counts of a sample by key hash, scaled up to the whole table."""
+    picked = df.where(K.hash_share(F.col(key), seed) < fraction)
     counts = K.aggregate_by(picked, [column], sample_n=F.count(F.lit(1)))
     return counts.withColumn("estimated_n", F.round(F.col("sample_n") / fraction).cast("bigint"))
 

@@ -57,12 +57,15 @@ def user_pairs(df: DataFrame, top: int = 10, user: str = "user_id", *, include_t
 
 
 def markov(df: DataFrame, session: str = "session_id", *, min_prob: float = 0.0, include_lowest: bool = False) -> DataFrame:
-    """Transition count, probability and mean seconds between (event, time of day) states."""
+    """Transition count, probability and mean seconds between (event, time of day) states.
+
+    ``src`` and ``dst`` are the states' names, ``src_event`` and ``dst_event`` their events, whatever characters they have.
+    """
     state = F.concat_ws("|", "event_type", daytime(F.hour(ORDER[0]), include_lowest=include_lowest))
-    steps = following(df.withColumn("state", state), [session], ORDER, ["state", ORDER[0]])
+    steps = following(df.withColumn("state", state), [session], ORDER, ["state", "event_type", ORDER[0]])
     counted = (
         K.present(steps, "next_state")
-        .groupBy(F.col("state").alias("src"), F.col("next_state").alias("dst"))
+        .groupBy(F.col("state").alias("src"), F.col("next_state").alias("dst"), F.col("event_type").alias("src_event"), F.col("next_event_type").alias("dst_event"))
         .agg(F.count(F.lit(1)).alias("n"), F.avg(C.seconds_between(ORDER[0], f"next_{ORDER[0]}")).alias("avg_secs"))
     )
     edges = K.share_of(counted, "n", ["src"], "prob").withColumn("prob", F.col("prob") / 100.0)
@@ -76,7 +79,7 @@ def markov_predict(edges: DataFrame, last: DataFrame, top: int = 5) -> DataFrame
     distinct event and then joined to the cases, so the work does not grow with repeated events.
     """
     by_event = edges.groupBy(
-        F.substring_index("src", "|", 1).alias("event_type"), F.substring_index("dst", "|", 1).alias("next_event")
+        F.col("src_event").alias("event_type"), F.col("dst_event").alias("next_event")
     ).agg(F.sum("n").alias("n"), F.max("prob").alias("max_prob"))
     probable = K.share_of(by_event, "n", ["event_type"], "prob").withColumn("prob", F.col("prob") / 100.0)
     ranked = K.top_per_group(probable, ["event_type"], top, F.desc("prob"), F.asc("next_event"))

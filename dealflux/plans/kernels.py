@@ -204,14 +204,16 @@ def unpivot(df: DataFrame, ids: Sequence[str], columns: Sequence[str], name: str
     return df.select(*ids, F.explode(F.array(*cells)).alias("_cell")).select(*ids, "_cell.*")
 
 
-def prefix_rank(df: DataFrame, value: str, bucket: Column, out: str = "id") -> DataFrame:
-    """0-based rank of distinct values, ordered in two levels.
+def range_rank(df: DataFrame, value: str, out: str = "id") -> DataFrame:
+    """0-based rank of distinct values.
 
-    ``bucket`` must not decrease with the value (a text prefix, a truncated date). Values are
-    ranked inside their bucket, and the buckets' sizes give the offsets, so the only single-task
-    step runs over the list of buckets.
+    Values are dealt into ranges of like size, whatever they begin with, and stored with their range's number;
+    they are ranked inside their range, and the ranges' sizes give the offsets. The only single-task step
+    runs over one row per range.
     """
-    distinct = present(df.select(value), value).distinct().withColumn("_b", bucket)
+    from dealflux.session import cut
+
+    distinct = cut(present(df.select(value), value).distinct().repartitionByRange(value).withColumn("_b", F.spark_partition_id()))
     sizes = distinct.groupBy("_b").agg(F.count(F.lit(1)).alias("_size"))
     ordered = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_b", F.coalesce(F.sum("_size").over(ordered), F.lit(0)).alias("_offset"))
@@ -221,3 +223,9 @@ def prefix_rank(df: DataFrame, value: str, bucket: Column, out: str = "id") -> D
         .join(offsets, "_b")
         .select(value, (F.col("_i") + F.col("_offset")).cast("bigint").alias(out))
     )
+
+
+def hash_share(key: Column, seed: int = 42) -> Column:
+    """A number from 0 to 1 that depends on the key alone: the beginning of an MD5, which other engines compute alike."""
+    text = F.concat(F.lit(f"{seed}#"), key.cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)

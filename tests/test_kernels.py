@@ -95,10 +95,10 @@ def test_share_growth_and_grid(make):
     assert K.share_of(make([("a", 0), ("b", 0)], "k string, n long"), "n").first().share is None
 
 
-def test_prefix_rank_is_dense_rank(spark):
+def test_range_rank_is_dense_rank(spark):
     names = [f"{random.Random(i).choice('abc')}{i % 37:02d}" for i in range(300)]
     df = spark.createDataFrame([(n,) for n in names] + [(None,)], "v string")
-    got = {r.v: r.id for r in K.prefix_rank(df, "v", F.substring("v", 1, 1)).collect()}
+    got = {r.v: r.id for r in K.range_rank(df, "v").collect()}
     assert got == {v: i for i, v in enumerate(sorted(set(names)))}
 
 
