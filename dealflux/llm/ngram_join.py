@@ -5,9 +5,9 @@ Two sets share at most the sum of the smaller coordinates, so a pair, or a pair
 bound misses what the threshold asks for is dropped unseen; what survives is verified on the sets.
 
 Where points meet follows from the threshold alone: a set's own least hashes, one more than the shingles
-it may lack, and any two linked sets share one of them. Sets that meet in the least hash of a bucket are
-joined first (star pairs); R-trees then look in each bucket for pairs that the stars left in different
-components. So a large group of copies costs one pair per member, and no link is lost.
+it may lack, and any two linked sets share one of them. All sets that have a hash meet its hub, the least of
+them. Members are first joined with their hubs; R-trees then look among a hub's members for pairs that this
+left in different components. So a large group of copies costs one pair per member, and no link is lost.
 """
 
 from __future__ import annotations
@@ -23,13 +23,13 @@ from pyspark.sql import functions as F
 from dealflux.llm.common import WordHashes, shingle_set, slices, staged, words
 from dealflux.llm.components import components
 
-#: Shingle groups: the dimensions of a point.
-GROUPS = 128
+#: Shingle groups: the dimensions of a point; their sums over COARSE of them are bounded first.
+GROUPS, COARSE = 128, 32
 #: Jaccard threshold in percent.
 PERCENT = 80
 #: Points of a leaf, children of an inner node.
 LEAF, FANOUT = 16, 8
-#: Points of one bucket that meet in one task; larger buckets are cut into blocks, and pairs of blocks meet.
+#: Members of one hub that meet in one task; more are cut into blocks, and pairs of blocks meet.
 BLOCK_POINTS = 4096
 
 
@@ -73,48 +73,75 @@ def _bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum(a, b).sum(axis=-1, dtype=np.int64)
 
 
+def near_sizes(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of so many shingles can reach the threshold at all."""
+    return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+
+
+def coarse(vec: np.ndarray) -> np.ndarray:
+    return vec.reshape(len(vec), COARSE, -1).sum(axis=2, dtype=vec.dtype)
+
+
+def passing(x: np.ndarray, y: np.ndarray, rows: dict[str, np.ndarray], percent: int, step: int = 100_000):
+    """Those of the pairs (x, y) in different components whose sizes and bounds reach the threshold."""
+    kept = [], []
+    for i in range(0, len(x), step):
+        a, b = x[i : i + step], y[i : i + step]
+        ok = (rows["label"][a] != rows["label"][b]) & near_sizes(rows["n"][a], rows["n"][b], percent)
+        for of in ("coarse", "vec"):
+            a, b = a[ok], b[ok]
+            ok = enough(_bound(rows[of][a], rows[of][b]), rows["n"][a] + rows["n"][b], percent)
+        kept[0].append(a[ok])
+        kept[1].append(b[ok])
+    return tuple(np.concatenate(k) if k else np.zeros(0, int) for k in kept)
+
+
 class RTree:
-    """Bulk-loaded R-tree over count vectors; a box keeps its greatest coordinates and its least set size."""
+    """Bulk-loaded R-tree over count vectors; a box keeps its greatest coordinates, its sizes' range and its component, if one."""
 
-    def __init__(self, vec: np.ndarray, n: np.ndarray):
-        # Sort, tile, recurse: slabs of like size, inside a slab by the coordinate that varies most.
+    def __init__(self, rows: dict[str, np.ndarray]):
+        # Sort, tile: slabs of like size, inside a slab by component.
+        n = rows["n"]
         order = np.argsort(n, kind="stable")
         slab = max(LEAF, int(np.sqrt(len(n) * LEAF)))
-        widest = int(np.argmax(vec.std(axis=0))) if len(n) else 0
-        self.order = np.concatenate([s[np.argsort(vec[s, widest], kind="stable")] for s in (order[i : i + slab] for i in range(0, len(n), slab))]) if len(n) else order
-        self.vec, self.n = vec[self.order], n[self.order]
+        self.order = np.concatenate([s[np.argsort(rows["label"][s], kind="stable")] for s in (order[i : i + slab] for i in range(0, len(n), slab))])
+        self.rows = {c: rows[c][self.order] for c in ("vec", "coarse", "n", "label")}
+        high, low, most, first, last, fan = self.rows["vec"], self.rows["n"], self.rows["n"], self.rows["label"], self.rows["label"], LEAF
         self.levels = []
-        high, low, fan = self.vec, self.n, LEAF
         while True:
             cut = np.arange(0, len(low), fan)
-            high, low = np.maximum.reduceat(high, cut, axis=0), np.minimum.reduceat(low, cut)
-            self.levels.append((high, low))
+            high, low, most = np.maximum.reduceat(high, cut, axis=0), np.minimum.reduceat(low, cut), np.maximum.reduceat(most, cut)
+            first, last = np.minimum.reduceat(first, cut), np.maximum.reduceat(last, cut)
+            self.levels.append((high, low, most, first, last))
             if len(low) <= FANOUT:
                 break
             fan = FANOUT
 
+    def _open(self, level: int, q: np.ndarray, node: np.ndarray, percent: int) -> np.ndarray:
+        """Whether leaf ``q`` and box ``node`` can hold a pair: sizes, components, then the bound."""
+        high, low, most, first, last = self.levels[level]
+        qhigh, qlow, qmost, qfirst, qlast = self.levels[0]
+        ok = (100 * most[node] >= percent * qlow[q]) & (100 * qmost[q] >= percent * low[node])
+        ok &= ~((qfirst[q] == qlast[q]) & (first[node] == last[node]) & (qfirst[q] == first[node]))
+        ok[ok] = enough(_bound(qhigh[q[ok]], high[node[ok]]), qlow[q[ok]] + low[node[ok]], percent)
+        return ok
+
     def pairs(self, percent: int, step: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
-        """Positions (in the caller's order) of all point pairs whose bound reaches the threshold."""
-        leaf_high, leaf_low = self.levels[0]
-        top = len(self.levels[-1][1])
-        q = np.repeat(np.arange(len(leaf_low)), top)
-        node = np.tile(np.arange(top), len(leaf_low))
+        """Positions (in the caller's order) of all pairs in different components whose bound reaches the threshold."""
+        leaves, top = len(self.levels[0][1]), len(self.levels[-1][1])
+        q, node = np.repeat(np.arange(leaves), top), np.tile(np.arange(top), leaves)
         for level in range(len(self.levels) - 1, -1, -1):
-            high, low = self.levels[level]
-            keep = np.concatenate([enough(_bound(leaf_high[q[i : i + step]], high[node[i : i + step]]), leaf_low[q[i : i + step]] + low[node[i : i + step]], percent) for i in range(0, len(q), step)] or [np.zeros(0, bool)])
-            q, node = q[keep], node[keep]
+            ok = np.concatenate([self._open(level, q[i : i + step], node[i : i + step], percent) for i in range(0, len(q), step)] or [np.zeros(0, bool)])
+            q, node = q[ok], node[ok]
             if level:
                 q, node = _expand(q, node, FANOUT, len(self.levels[level - 1][1]))
         q, node = q[q <= node], node[q <= node]
-        out = [], []
-        for i in range(0, len(q), max(1, step // LEAF**2)):
-            a, b = _expand(node[i : i + max(1, step // LEAF**2)], q[i : i + max(1, step // LEAF**2)], LEAF, len(self.n))
-            b, a = _expand(b, a, LEAF, len(self.n))
-            a, b = a[a > b], b[a > b]
-            ok = enough(_bound(self.vec[a], self.vec[b]), self.n[a] + self.n[b], percent)
-            out[0].append(self.order[a[ok]])
-            out[1].append(self.order[b[ok]])
-        return tuple(np.concatenate(x) if x else np.zeros(0, int) for x in out)
+        found = []
+        for i in range(0, len(q), 512):
+            a, b = _expand(node[i : i + 512], q[i : i + 512], LEAF, len(self.order))
+            b, a = _expand(b, a, LEAF, len(self.order))
+            found.append(passing(a[a > b], b[a > b], self.rows, percent))
+        return tuple(self.order[np.concatenate([f[k] for f in found])] if found else np.zeros(0, int) for k in (0, 1))
 
 
 def _expand(keep: np.ndarray, parent: np.ndarray, fan: int, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,58 +156,52 @@ def _small(starts: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
     return (starts[:, None] + i).ravel(), (starts[:, None] + j).ravel()
 
 
-def _bucket_pairs(rows: dict[str, np.ndarray], percent: int, step: int = 50_000):
-    """Pairs of nodes in different components whose bound reaches the threshold, bucket by bucket.
+def _hub_pairs(rows: dict[str, np.ndarray], percent: int):
+    """Pairs of nodes in different components whose bound reaches the threshold, hub by hub.
 
-    One leaf's worth of points needs no tree: its pairs are bounded at once with those of other small buckets.
+    A leaf's worth of members needs no tree: such hubs' pairs are bounded together.
     """
-    cut = np.flatnonzero(np.r_[True, (rows["sig"][1:] != rows["sig"][:-1]) | (rows["cell"][1:] != rows["cell"][:-1])])
-    sizes = np.diff(np.r_[cut, len(rows["sig"])])
+    cut = np.flatnonzero(np.r_[True, (rows["hub"][1:] != rows["hub"][:-1]) | (rows["cell"][1:] != rows["cell"][:-1])])
+    sizes = np.diff(np.r_[cut, len(rows["hub"])])
+    if rows["vec"].max(initial=0) < 1 << 16 and rows["n"].max(initial=0) < 1 << 16:
+        rows["vec"] = rows["vec"].astype(np.uint16)
+    rows["coarse"] = coarse(rows["vec"])
     found = []
     for m in np.unique(sizes):
         starts = cut[sizes == m]
         if m <= LEAF:
-            a, b = _small(starts, int(m))
-            found.append((a, b, False))
+            found.append(passing(*_small(starts, int(m)), rows, percent))
         else:
             for s in starts:
-                a, b = RTree(rows["vec"][s : s + m], rows["n"][s : s + m]).pairs(percent)
-                found.append((a + s, b + s, True))
-    for a, b, bounded in found:
-        for i in range(0, len(a), step):
-            x, y = a[i : i + step], b[i : i + step]
-            ok = rows["label"][x] != rows["label"][y]
-            x, y = x[ok], y[ok]
-            if not bounded:
-                ok = enough(_bound(rows["vec"][x], rows["vec"][y]), rows["n"][x] + rows["n"][y], percent)
-                x, y = x[ok], y[ok]
-            lo, hi = np.minimum(rows["node"][x], rows["node"][y]), np.maximum(rows["node"][x], rows["node"][y])
-            if len(lo):
-                yield np.unique(np.stack([lo, hi], 1), axis=0)
+                a, b = RTree({c: rows[c][s : s + m] for c in ("vec", "coarse", "n", "label")}).pairs(percent)
+                found.append((a + s, b + s))
+    node = rows["node"]
+    both = np.concatenate([np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], 1) for a, b in found]) if found else np.zeros((0, 2), np.int64)
+    return np.unique(both, axis=0)
 
 
 def _tree_join(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b) pairs from rows (sig, cell, node, label, n, vec) sorted by bucket."""
+    """(a, b) pairs from rows (hub, cell, node, label, n, vec) sorted by hub and cell."""
 
     def run(batches):
         held = None
-        names = ["sig", "cell", "node", "label", "n"]
+        names = ["hub", "cell", "node", "label", "n"]
         for batch in batches:
             new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
             new["vec"] = np.frombuffer(b"".join(batch.column("vec").to_pylist()), "<u4").reshape(-1, GROUPS)
             if held is not None:
                 new = {c: np.concatenate([held[c], new[c]]) for c in new}
-            last = np.flatnonzero((new["sig"] != new["sig"][-1]) | (new["cell"] != new["cell"][-1]))
+            last = np.flatnonzero((new["hub"] != new["hub"][-1]) | (new["cell"] != new["cell"][-1]))
             end = last[-1] + 1 if len(last) else 0
             held = {c: v[end:] for c, v in new.items()}
             if end:
-                yield from emit({c: v[:end] for c, v in new.items()})
-        if held is not None and len(held["sig"]):
-            yield from emit(held)
+                yield emit({c: v[:end] for c, v in new.items()})
+        if held is not None and len(held["hub"]):
+            yield emit(held)
 
     def emit(rows):
-        for pairs in _bucket_pairs(rows, percent):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        pairs = _hub_pairs(rows, percent)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
@@ -239,29 +260,31 @@ def join(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
     points = staged(points.select("node", "n", "vec", "first.doc_id", "first.text_hash"), "points")
     postings = some.select(F.explode("sig").alias("sig"), "node")
     hubs = postings.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("_top")).where("hub < _top").drop("_top")
-    shared = staged(postings.join(hubs, "sig").distinct(), "shared")
-    star = staged(shared.where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "star")
+    meets = postings.join(hubs, "sig").where("node != hub")
+    star = staged(meets.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "star")
     links = staged(_verify(star, points, rows, width, percent), "links")
 
     label = components(links, "a", "b")
-    # Buckets in which the star left more than one component.
-    known = shared.select("sig", "node").join(label, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
-    split = known.groupBy("sig").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count("*").alias("_rows")).where("_lo < _hi")
+    # Hubs whose members are still in more than one component.
+    members = star.select(F.col("b").alias("hub"), F.col("a").alias("node"))
+    members = members.unionByName(star.select(F.col("b").alias("hub"), F.col("b").alias("node")).distinct())
+    known = members.join(label, "node", "left").select("hub", "node", F.coalesce("label", "node").alias("label"))
+    split = known.groupBy("hub").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count("*").alias("_rows")).where("_lo < _hi")
+    # Blocks of a hub's members meet pair by pair: block i stands in the cells (i, j) and (j, i) of all j.
     blocks = F.ceil(F.col("_rows") / BLOCK_POINTS).cast("int")
-    # Blocks of a bucket meet pair by pair: row block i stands in cells (i, j) and (j, i) of all j.
     mine = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
     cells = F.transform(
         F.sequence(F.lit(0), F.col("_blocks") - 1),
         lambda j: F.least(j, F.col("_mine")).cast("long") * F.col("_blocks") + F.greatest(j, F.col("_mine")),
     )
     left = (
-        known.join(split, "sig")
+        known.join(split, "hub")
         .withColumn("_blocks", blocks)
         .withColumn("_mine", mine)
-        .select("sig", "node", "label", F.explode(cells).alias("cell"))
+        .select("hub", "node", "label", F.explode(cells).alias("cell"))
         .join(points.select("node", "n", "vec"), "node")
     )
-    left = left.repartition("sig", "cell").sortWithinPartitions("sig", "cell").select("sig", "cell", "node", "label", "n", "vec")
+    left = left.repartition("hub", "cell").sortWithinPartitions("hub", "cell").select("hub", "cell", "node", "label", "n", "vec")
     more = _tree_join(left, percent)
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = staged(more.join(tried, ["a", "b"], "left_anti"), "pairs")

@@ -63,7 +63,8 @@ def test_tree_finds_every_pair_within_the_bound(n):
     base = rng.poisson(2, (max(1, n // 4), N.GROUPS))
     vec = np.maximum(base[rng.integers(0, len(base), n)] + rng.integers(-1, 2, (n, N.GROUPS)) * (rng.random((n, N.GROUPS)) < 0.1), 0).astype("<u4")
     size = vec.sum(axis=1).astype(np.int64)
-    a, b = N.RTree(vec, size).pairs(80)
+    label = rng.integers(0, max(2, n // 3), n)
+    a, b = N.RTree({"vec": vec, "coarse": N.coarse(vec), "n": size, "label": label}).pairs(80)
     i, j = np.triu_indices(n, 1)
-    ok = N.enough(N._bound(vec[i], vec[j]), size[i] + size[j], 80)
+    ok = N.enough(N._bound(vec[i], vec[j]), size[i] + size[j], 80) & (label[i] != label[j]) & N.near_sizes(size[i], size[j], 80)
     assert {frozenset(p) for p in zip(a.tolist(), b.tolist())} == {frozenset(p) for p in zip(i[ok].tolist(), j[ok].tolist())}
