@@ -13,6 +13,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,15 +82,34 @@ def next_rows(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text_hash", "chars", F.col("_next.doc_id").alias("next_id"), F.col("_next.text_hash").alias("next_hash"))
 
 
+def _packed(texts: DataFrame) -> DataFrame:
+    """Texts as zstandard frames: they cross the network once and stand in shuffle files for both joins."""
+
+    def run(batches):
+        coder = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            for a, b in slices(pa.compute.binary_length(batch.column("text")).to_pylist(), 4_000_000):
+                part = batch.slice(a, b - a)
+                packed = [coder.compress(t.encode("utf-8", "surrogatepass")) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), part.column("key"), pa.array(packed, pa.binary())], names=["doc_id", "text_hash", "key", "packed"])
+
+    return texts.select("doc_id", "text_hash", "key", "text").mapInArrow(run, "doc_id long, text_hash long, key long, packed binary")
+
+
+def _texts(packed: list[bytes]) -> list[str]:
+    coder = zstandard.ZstdDecompressor()
+    return [coder.decompress(p).decode("utf-8", "surrogatepass") for p in packed]
+
+
 def _beginnings(rows: DataFrame, scale: int) -> DataFrame:
     """``taken``, the first ``k`` characters of the text, and the sketch of all of it."""
 
     def run(batches):
         cache = WordHashes()
         for batch in batches:
-            for a, b in slices(pa.compute.binary_length(batch.column("text")).to_pylist(), 2_000_000):
+            for a, b in slices(pa.compute.binary_length(batch.column("packed")).to_pylist(), 1_000_000):
                 part = batch.slice(a, b - a)
-                texts = part.column("text").to_pylist()
+                texts = _texts(part.column("packed").to_pylist())
                 got = [sketch(shingle_set(cache.of(words(t))), scale).tobytes() for t in texts]
                 taken = [t[:k] for t, k in zip(texts, part.column("k").to_pylist())]
                 yield pa.RecordBatch.from_arrays(
@@ -112,7 +132,7 @@ def edited_likeness(docs: DataFrame, scale: int = SCALE) -> DataFrame:
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     follow = next_rows(texts)
     # Both joins are on (key, text_hash) and read the same columns, so texts are dealt out once.
-    texts = texts.withColumn("key", F.xxhash64("doc_id", "text_hash"))
+    texts = _packed(texts.withColumn("key", F.xxhash64("doc_id", "text_hash")))
     need = follow.select(
         F.xxhash64("doc_id", "text_hash").alias("to"),
         F.col("text_hash").alias("to_hash"),
@@ -120,18 +140,17 @@ def edited_likeness(docs: DataFrame, scale: int = SCALE) -> DataFrame:
         F.xxhash64("next_id", "next_hash").alias("key"),
         F.col("next_hash").alias("text_hash"),
     )
-    given = texts.join(need, ["key", "text_hash"]).select("doc_id", "text", "to", "to_hash", "k")
+    given = texts.join(need, ["key", "text_hash"]).select("doc_id", "packed", "to", "to_hash", "k")
     given = _beginnings(given, scale).withColumnsRenamed({"to": "key", "to_hash": "text_hash"}).dropDuplicates(["key", "text_hash"])
-    rows = texts.join(given, ["key", "text_hash"]).select("doc_id", "text", "k", "taken", "next_sketch")
+    rows = texts.join(given, ["key", "text_hash"]).select("doc_id", "packed", "k", "taken", "next_sketch")
 
     def run(batches):
         cache = WordHashes()
         for batch in batches:
-            sizes = pa.compute.binary_length(batch.column("text")).to_pylist()
-            for a, b in slices(sizes, 2_000_000):
+            for a, b in slices(pa.compute.binary_length(batch.column("packed")).to_pylist(), 1_000_000):
                 part = batch.slice(a, b - a).to_pydict()
                 out = {c: [] for c in ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")}
-                for text, k, taken, after in zip(part["text"], part["k"], part["taken"], part["next_sketch"]):
+                for text, k, taken, after in zip(_texts(part["packed"]), part["k"], part["taken"], part["next_sketch"]):
                     edited = text[: len(text) - k] + taken
                     mine, other = sketch(shingle_set(cache.of(words(text))), scale), np.frombuffer(after, np.uint64)
                     changed = sketch(shingle_set(cache.of(words(edited))), scale)
