@@ -90,7 +90,7 @@ def _(t):
 
 @query("agg_province_counts", """SELECT province, count(*) AS companies FROM companies c JOIN ecosystems e ON c.ecosystem_name = e.ecosystem_name GROUP BY 1""")
 def _(t):
-    return P.province_counts(P.geo_distribution(t.companies, t.ecosystems))
+    return P.province_counts(t.companies, t.ecosystems)
 
 
 @query("agg_ecosystem_sector_list", """

@@ -513,12 +513,15 @@ def _(t):
 
 @query("agg_ttest_by_group", """
   WITH r AS (SELECT language, seconds FROM web_events e JOIN sessions s ON e.session_id = s.session_id),
-  m AS (SELECT language, count(*) AS n, avg(seconds) AS mu, var_samp(seconds) AS v FROM r GROUP BY 1)
-  SELECT 'English' AS reference, o.language, CAST(o.n + f.n - 2 AS BIGINT) AS df,
+  m AS (SELECT language, count(*) AS n, avg(seconds) AS mu, var_samp(seconds) AS v FROM r GROUP BY 1),
+  tt AS (SELECT 'English' AS reference, o.language, CAST(o.n + f.n - 2 AS BIGINT) AS df,
     (f.mu - o.mu) / sqrt(((o.n - 1) * o.v + (f.n - 1) * f.v) / (o.n + f.n - 2) * (1.0::DOUBLE / o.n + 1.0::DOUBLE / f.n)) AS t
-  FROM m o JOIN m f ON f.language = 'English' WHERE o.language <> 'English'""", r6="t")
+  FROM m o JOIN m f ON f.language = 'English' WHERE o.language <> 'English'),
+  z AS (SELECT *, abs(t) / sqrt(2.0::DOUBLE) AS z, 1.0::DOUBLE / (1.0::DOUBLE + 0.3275911::DOUBLE * abs(t) / sqrt(2.0::DOUBLE)) AS k FROM tt)
+  SELECT reference, language, df, t, (0.254829592::DOUBLE * k - 0.284496736::DOUBLE * k ** 2 + 1.421413741::DOUBLE * k ** 3
+    - 1.453152027::DOUBLE * k ** 4 + 1.061405429::DOUBLE * k ** 5) * exp(-z * z) AS p_value FROM z""", r6="t p_value")
 def _(t):
-    return S.duration_ttest(t.web_events)
+    return S.ttest_p_values(S.duration_ttest(t.web_events))
 
 
 @query("agg_latency_by_geo", """

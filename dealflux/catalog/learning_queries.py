@@ -27,6 +27,7 @@ from dealflux.session import checkpoint_dir
 FUND = """fu AS (SELECT c.id AS company_id, age, ecosystem_name, primary_tag, coalesce(sum(amount), 0) AS total_funding, count(amount) AS deal_count,
   coalesce(avg(amount), 0) AS avg_deal_size FROM companies c LEFT JOIN deals d ON c.id = d.company_id GROUP BY 1, 2, 3, 4)"""
 INPUTS = ["age", "ecosystem_id", "primary_tag_id"]
+ROUND_INPUTS = ["round_ordinal", "amount", "previous_amount", "age_at_deal", "weekday", "month"]
 MARKET = ["age", "total_funding", "deal_count", "avg_deal_size"]
 
 
@@ -105,8 +106,7 @@ def _(t):
 def _(t):
     # Fitted on deals that have a next one; scored on all, the last deal's next round included.
     rows = X.next_round_examples(t.deals, t.companies).persist()
-    inputs = ["round_ordinal", "amount", "previous_amount", "age_at_deal", "weekday", "month"]
-    model = M.elastic_net(rows, inputs, "next_amount")
+    model = M.elastic_net(rows, ROUND_INPUTS, "next_amount")
     return M.score(model, rows).select("id", "next_amount", "prediction")
 
 
@@ -114,11 +114,32 @@ def _(t):
 def _(t):
     # Fitted on deals that have a next one; scored on all, the last deal's next round included.
     rows = X.next_round_examples(t.deals, t.companies).persist()
-    inputs = ["round_ordinal", "amount", "previous_amount", "age_at_deal", "weekday", "month"]
-    model = M.random_forest_regressor(rows, inputs, "next_amount")
+    model = M.random_forest_regressor(rows, ROUND_INPUTS, "next_amount")
     return M.score(model, rows).select("id", "next_amount", "prediction")
 
 
+@query("ml_next_round_forecast", """
+  WITH d AS (SELECT id, company_id, date FROM deals WHERE amount IS NOT NULL AND round_type IS NOT NULL)
+  SELECT d.company_id, d.id AS last_deal, 1 AS scored FROM d JOIN companies c ON c.id = d.company_id
+  QUALIFY row_number() OVER (PARTITION BY d.company_id ORDER BY date DESC, d.id DESC) = 1""")
+def _(t):
+    # The amount of each company's next round, from its latest deal; SQL checks which deal that is and that it has a number.
+    rows = X.next_round_examples(t.deals, t.companies)
+    made = M.score(M.elastic_net(rows, ROUND_INPUTS, "next_amount"), rows.where("next_amount is null"))
+    return made.select("company_id", F.col("id").alias("last_deal"), (F.isnotnull("prediction") & ~F.isnan("prediction")).cast("int").alias("scored"))
+
+
+@query("ml_regressor_cross_validation", """
+  WITH d AS (SELECT id, company_id, lead(amount) OVER (PARTITION BY company_id ORDER BY date, id) AS y FROM deals WHERE amount IS NOT NULL AND round_type IS NOT NULL)
+  SELECT CAST(floor(('0x' || substr(md5('42#' || d.id), 1, 8))::BIGINT / 4294967296.0::DOUBLE * 5) AS INTEGER) AS fold, count(*) AS held_out, 1 AS finite
+  FROM d JOIN companies c ON c.id = d.company_id WHERE y IS NOT NULL GROUP BY 1""")
+def _(t):
+    # Five folds by key hash: fitted on four, measured on the fifth; SQL checks the folds.
+    rows = X.next_round_examples(t.deals, t.companies).where("next_amount is not null")
+    folds = M.cross_validated(rows, "next_amount", "id", lambda part: M.elastic_net(part, ROUND_INPUTS, "next_amount"))
+    return folds.select("fold", "held_out", (F.isnotnull("r2") & ~F.isnan("r2")).cast("int").alias("finite"))
+
+
 @query("ml_next_round_rows", """
   WITH l AS (SELECT company_id, round_type AS current_round, count(*) OVER (PARTITION BY company_id) AS rounds FROM deals WHERE round_type IS NOT NULL
     QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY date DESC, id DESC) = 1)
@@ -210,9 +231,14 @@ def _(t):
   p AS (SELECT a.cluster, max((da.s + db.s) / sqrt((a.m1 - b.m1) ** 2 + (a.m2 - b.m2) ** 2)) AS r FROM c a JOIN c b ON a.cluster <> b.cluster
     JOIN d da ON da.cluster = a.cluster JOIN d db ON db.cluster = b.cluster GROUP BY 1)
   SELECT (SELECT sum(w) FROM d) AS inertia, (SELECT sum(n * (m1 * m1 + m2 * m2)) / 4 FROM c) / ((SELECT sum(w) FROM d) / ((SELECT count(*) FROM z) - 5)) AS calinski_harabasz,
-    (SELECT avg(r) FROM p) AS davies_bouldin""", r4="inertia calinski_harabasz davies_bouldin")
-def _(t):
-    return M.cluster_quality(given_clusters(t), ["f1", "f2"])
+    (SELECT avg(r) FROM p) AS davies_bouldin,
+    (SELECT avg((b - a) / greatest(a, b)) FROM (SELECT i, max(CASE WHEN own THEN q END) AS a, min(CASE WHEN NOT own THEN q END) AS b FROM (
+      SELECT z.i, z.cluster = c.cluster AS own, (f1 * f1 + f2 * f2 - 2 * (f1 * m1 + f2 * m2) + sq) * CASE WHEN z.cluster = c.cluster THEN n / (n - 1.0::DOUBLE) ELSE 1 END AS q
+      FROM (SELECT *, row_number() OVER () AS i FROM z) z CROSS JOIN (SELECT cluster, count(*) AS n, avg(f1) AS m1, avg(f2) AS m2, avg(f1 * f1 + f2 * f2) AS sq FROM z GROUP BY 1) c)
+      GROUP BY 1)) AS silhouette""", r4="inertia calinski_harabasz davies_bouldin silhouette")
+def _(t):
+    labelled, f = given_clusters(t), ["f1", "f2"]
+    return M.cluster_quality(labelled, f).withColumn("silhouette", F.lit(M.silhouette(labelled, f)))
 
 
 SCORED = """sc AS (SELECT id, CASE WHEN amount > 1e6 THEN 1 ELSE 0 END AS label, (id * 37 % 101) / 101.0::DOUBLE + (CASE WHEN amount > 1e6 THEN 0.2::DOUBLE ELSE 0 END) AS score FROM deals)"""

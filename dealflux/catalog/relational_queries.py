@@ -301,14 +301,13 @@ def _(t):
 
 
 @query("scl_map", """
-  SELECT id, CASE country WHEN 'Canada' THEN 'CA' WHEN 'USA' THEN 'US' END AS code, (SELECT count(*) FROM investors j WHERE j.country = i.country) AS same
+  SELECT id, CASE country WHEN 'Canada' THEN 'CA' WHEN 'USA' THEN 'US' END AS code, nullif((SELECT count(*) FROM investors j WHERE j.country = i.country), 0) AS same
   FROM investors i""")
 def _(t):
-    # A dictionary of counts over a dictionary-like column.
-    counts = t.investors.groupBy("country").agg(F.count(F.lit(1)).alias("n"))
-    lookup = K.scalar(counts, F.map_from_entries(F.collect_list(F.struct("country", "n"))))
-    return t.investors.withColumn("_m", lookup).select(
-        "id", C.lookup("country", {"Canada": "CA", "USA": "US"}).alias("code"), F.try_element_at("_m", "country").alias("same"))
+    # Listed values by a literal map, an open dictionary by its key.
+    counts = K.present(t.investors, "country").groupBy("country").agg(F.count(F.lit(1)).alias("same"))
+    return t.investors.join(counts, "country", "left").select(
+        "id", C.lookup("country", {"Canada": "CA", "USA": "US"}).alias("code"), "same")
 
 
 # Lambdas of the source system, as native expressions and grouped functions.

@@ -312,5 +312,25 @@ def regression_metrics(df: DataFrame, label: str = "label", prediction: str = "p
     return sums.select("mse", F.sqrt("mse").alias("rmse"), "mae", (1 - C.ratio("mse", "_v")).alias("r2"), "mape")
 
 
+def cross_validated(df: DataFrame, label: str, key: str, fit, folds: int = 5, seed: int = SEED) -> DataFrame:
+    """Errors of each fold under a model fitted on the others: fold, held_out, mse, rmse, mae, r2, mape.
+
+    Folds follow a hash of the key. Their mean and spread are the usual cross-validated figures (``spread_of``).
+    """
+    placed = df.withColumn("fold", F.floor(K.hash_share(F.col(key), seed) * folds).cast("int"))
+    out = None
+    for i in range(folds):
+        held = score(fit(placed.where(F.col("fold") != i)), placed.where(F.col("fold") == i))
+        row = regression_metrics(held, label).withColumn("fold", F.lit(i))
+        row = row.join(held.agg(F.count(F.lit(1)).alias("held_out")).withColumn("fold", F.lit(i)), "fold")
+        out = row if out is None else out.unionByName(row)
+    return out.where("held_out > 0")
+
+
+def spread_of(folds: DataFrame, measure: str = "r2") -> DataFrame:
+    """Mean and standard deviation of a measure over folds."""
+    return folds.agg(F.avg(measure).alias("mean"), F.stddev_pop(measure).alias("std"))
+
+
 def confusion_matrix(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     return K.aggregate_by(df, [actual, predicted], n=F.count(F.lit(1)))

@@ -57,21 +57,25 @@ def geo_distribution(companies: DataFrame, ecosystems: DataFrame, top: int = 3)
     """Companies and their most frequent sectors (array) by province and city."""
     keys = ["province", "city"]
     counts = count_by(companies_with_geography(companies, ecosystems), *keys, "primary_tag")
-    ranked = F.sort_array(F.collect_list(F.struct(-F.col("n"), "primary_tag"))).getField("primary_tag")
-    return counts.groupBy(*keys).agg(F.sum("n").alias("companies"), F.slice(ranked, 1, top).alias("top_sectors"))
+    # Only the first few sectors of a place come together.
+    leading = K.top_per_group(counts, keys, top, F.desc("n"), F.asc("primary_tag"))
+    leading = leading.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "primary_tag"))), lambda s: s["primary_tag"]).alias("top_sectors"))
+    sums = counts.groupBy(*keys).agg(F.sum("n").alias("companies"))
+    same = [sums[k].eqNullSafe(leading[k]) for k in keys]
+    return sums.join(leading, same[0] & same[1]).select(*[sums[k] for k in keys], "companies", "top_sectors")
 
 
-def province_counts(distribution: DataFrame) -> DataFrame:
-    return K.aggregate_by(distribution, ["province"], companies=F.sum("companies"))
+def province_counts(companies: DataFrame, ecosystems: DataFrame) -> DataFrame:
+    return K.aggregate_by(companies_with_geography(companies, ecosystems), ["province"], companies=F.count(F.lit(1)))
 
 
 def ecosystem_sectors(companies: DataFrame, top: int = 10) -> DataFrame:
     """Largest ecosystems with their number of companies and distinct sectors (sorted array)."""
-    pairs = count_by(companies, "ecosystem_name", "primary_tag")
-    lists = pairs.groupBy("ecosystem_name").agg(
-        F.sum("n").alias("companies"), F.sort_array(F.collect_list("primary_tag")).alias("sectors")
-    )
-    return K.top_k(lists, top, F.desc("companies"), F.asc("ecosystem_name"))
+    sizes = K.aggregate_by(companies, ["ecosystem_name"], companies=F.count(F.lit(1)))
+    largest = K.top_k(sizes, top, F.desc("companies"), F.asc("ecosystem_name"))
+    # Sectors are listed for the chosen few only.
+    pairs = count_by(companies, "ecosystem_name", "primary_tag").join(largest, "ecosystem_name")
+    return pairs.groupBy("ecosystem_name", "companies").agg(F.sort_array(F.collect_list("primary_tag")).alias("sectors"))
 
 
 def ecosystem_shares(rolled: DataFrame) -> DataFrame:
