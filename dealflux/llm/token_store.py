@@ -51,7 +51,7 @@ class PieceIds:
     bytes in two generations of bounded size, so that frequent cuts stay.
     """
 
-    def __init__(self, path: str, end: int, limit: int = 250_000):
+    def __init__(self, path: str, end: int, limit: int = 450_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
@@ -73,7 +73,9 @@ class PieceIds:
             elif cut[1:].isalpha() and (cut[0] == " " or cut[0].isalpha()):
                 new.add(cut)
             elif cut not in (" ", "\0") and not (cut[0] == " " and cut[1].isspace()):
-                pieces = _PIECE.findall(cut)
+                # A word with one mark behind it needs no pattern.
+                plain = cut[-1] in ".,;:!?" and cut[1:-1].isalpha() and (cut[0] == " " or cut[0].isalpha())
+                pieces = (cut[:-1], cut[-1]) if plain else _PIECE.findall(cut)
                 composed.append((cut, pieces))
                 for p in pieces:
                     if p not in self.young:
@@ -97,7 +99,8 @@ class PieceIds:
         """Ids of words in one call: each begins a piece by its space, or after a line end that is a piece."""
         text = "".join([lead + w for w in words])
         ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        own = np.fromiter((len(w.encode("utf-8", "surrogatepass")) for w in words), np.int64, len(words)) + len(lead)
+        lengths = map(len, words) if text.isascii() else (len(w.encode("utf-8", "surrogatepass")) for w in words)
+        own = np.fromiter(lengths, np.int64, len(words)) + len(lead)
         ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(own)) + 1
         data, at = ids.tobytes(), 0
         for w, end in zip(words, (4 * ends).tolist()):
