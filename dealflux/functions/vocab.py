@@ -7,27 +7,73 @@ ROUND_ORDER = [
     "Pre-Seed", "Seed", "Series A", "Series B", "Series C",
     "Series D", "Series E", "Series F", "Series G",
 ]
-# Other round types found beside the ordered ones.
-OTHER_ROUNDS = ["Series ?", "Grant", "Equity Crowdfunding"]
-
+# Rounds that count as early, late and first.
 EARLY_ROUNDS = ["Seed", "Series A", "Series B"]
 LATE_ROUNDS = ["Series C", "Series D", "Series E", "Series F", "Series G"]
 FIRST_ROUNDS = ["Pre-Seed", "Seed", "Series A", "Series B", "Series C"]
 
-
-def stage_names(seed: str, early: str, late: str, **extra: str) -> dict[str, str]:
-    """Round type -> stage: two seed rounds, A and B early, C to G late, plus any extra."""
-    names = dict.fromkeys(ROUND_ORDER[:2], seed)
-    names.update(dict.fromkeys(ROUND_ORDER[2:4], early))
-    names.update(dict.fromkeys(ROUND_ORDER[4:], late))
-    return names | extra
-
-
-STAGES = stage_names("Seed", "Early", "Late")
-STAGES_PLURAL = stage_names("Seeds", "Early", "Late")
-STAGES_LONG = stage_names("Seed", "Early Stage", "Later Stage")
-STAGES_AGE = stage_names("Seed", "Early Stage", "Late Stage")
-STAGES_GROWTH = STAGES_LONG | {"Growth": "Growth", "Private Equity": "Growth"}
+# Stage of a round.
+STAGES = {
+    "Pre-Seed": "Seed",
+    "Seed": "Seed",
+    "Series A": "Early",
+    "Series B": "Early",
+    "Series C": "Late",
+    "Series D": "Late",
+    "Series E": "Late",
+    "Series F": "Late",
+    "Series G": "Late",
+}
+# Stage of a round, in the plural.
+STAGES_PLURAL = {
+    "Pre-Seed": "Seeds",
+    "Seed": "Seeds",
+    "Series A": "Early",
+    "Series B": "Early",
+    "Series C": "Late",
+    "Series D": "Late",
+    "Series E": "Late",
+    "Series F": "Late",
+    "Series G": "Late",
+}
+# Stage of a round, long names.
+STAGES_LONG = {
+    "Pre-Seed": "Seed",
+    "Seed": "Seed",
+    "Series A": "Early Stage",
+    "Series B": "Early Stage",
+    "Series C": "Later Stage",
+    "Series D": "Later Stage",
+    "Series E": "Later Stage",
+    "Series F": "Later Stage",
+    "Series G": "Later Stage",
+}
+# Stage of a round in age tables.
+STAGES_AGE = {
+    "Pre-Seed": "Seed",
+    "Seed": "Seed",
+    "Series A": "Early Stage",
+    "Series B": "Early Stage",
+    "Series C": "Late Stage",
+    "Series D": "Late Stage",
+    "Series E": "Late Stage",
+    "Series F": "Late Stage",
+    "Series G": "Late Stage",
+}
+# Stage of a round with growth capital.
+STAGES_GROWTH = {
+    "Pre-Seed": "Seed",
+    "Seed": "Seed",
+    "Series A": "Early Stage",
+    "Series B": "Early Stage",
+    "Series C": "Later Stage",
+    "Series D": "Later Stage",
+    "Series E": "Later Stage",
+    "Series F": "Later Stage",
+    "Series G": "Later Stage",
+    "Growth": "Growth",
+    "Private Equity": "Growth",
+}
 
 # Deal size bins in dollars.
 DEAL_SIZE_EDGES = [0.0, 1e5, 5e5, 1e6, 5e6, 1e7, 5e7, 1e8, INF]
@@ -44,6 +90,7 @@ AGE_LABELS = [f"{y}-{y + 1}" for y in range(10)] + ["10+"]
 DAYTIME_EDGES = [0.0, 6.0, 12.0, 18.0, 24.0]
 DAYTIME_LABELS = ["night", "morning", "afternoon", "evening"]
 
+# Weekdays in order, home regions, labels and mobile devices.
 WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 HOME_REGIONS = {"Canada": "Canada", "USA": "USA"}
 REGION_OTHER = "Other International"
