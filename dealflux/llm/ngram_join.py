@@ -239,6 +239,7 @@ def _verify(pairs: DataFrame, points: DataFrame, rows: DataFrame, width: int, pe
     wanted = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
     wanted = points.join(wanted, "node").select("node", F.xxhash64("doc_id", "text_hash").alias("_key"), "text_hash")
     own = rows.withColumn("_key", F.xxhash64("doc_id", "text_hash")).join(wanted, ["_key", "text_hash"]).select("node", "text")
+    own = staged(own, "texts")
     full = close.join(own.select(F.col("node").alias("b"), F.col("text").alias("_text")), "b")
     full = full.join(own.select(F.col("node").alias("a"), "text"), "a").select("a", "b", "text", "_text")
     return full.mapInArrow(linked, "a long, b long").distinct()
