@@ -313,7 +313,7 @@ def one_each(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFra
 
     Rows without shingles all stay, once each.
     """
-    found = join(docs, width, percent)
+    found = staged(join(docs, width, percent), "found")
     rank = F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "text_hash")
     first = found.where("component is not null").groupBy("component").agg(F.min(rank).alias("_first")).select("_first.doc_id", "_first.text_hash")
     stay = first.unionByName(found.where("component is null").select("doc_id", "text_hash")).distinct()
