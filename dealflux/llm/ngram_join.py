@@ -31,6 +31,8 @@ PERCENT = 80
 LEAF, FANOUT = 16, 8
 #: Members of one hub that meet in one task; more are cut into blocks, and pairs of blocks meet.
 BLOCK_POINTS = 4096
+#: Texts of a group of candidate pairs in a block; likewise, pairs of blocks meet.
+BLOCK_TEXTS = 512
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -215,34 +217,42 @@ def _verify(pairs: DataFrame, points: DataFrame, rows: DataFrame, width: int, pe
             ok = enough(_bound(a, b), batch.column("n").to_numpy() + batch.column("_n").to_numpy(), percent)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    def linked(batches):
-        cache = WordHashes()
-        for batch in batches:
-            lengths = pa.compute.add(pa.compute.binary_length(batch.column("text")), pa.compute.binary_length(batch.column("_text"))).to_pylist()
-            for i, j in slices(lengths, 4_000_000):
-                part = batch.slice(i, j - i)
-                ok = []
-                last, left = None, None
-                for node, x, y in zip(part.column("a").to_pylist(), part.column("text").to_pylist(), part.column("_text").to_pylist()):
-                    if node != last:
-                        last, left = node, shingle_set(cache.of(words(x)), width)
-                    right = shingle_set(cache.of(words(y)), width)
-                    both = len(np.intersect1d(left, right, assume_unique=True))
-                    ok.append(100 * both >= percent * (len(left) + len(right) - both))
-                yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    def linked(texts, between):
+        cache, sets = WordHashes(), {}
+        text = dict(zip(texts.column("node").to_pylist(), texts.column("text").to_pylist()))
+
+        def of(node):
+            if node not in sets:
+                sets[node] = shingle_set(cache.of(words(text[node])), width)
+            return sets[node]
+
+        found = [], []
+        for x, y in zip(between.column("a").to_pylist(), between.column("b").to_pylist()):
+            left, right = of(x), of(y)
+            both = len(np.intersect1d(left, right, assume_unique=True))
+            if 100 * both >= percent * (len(left) + len(right) - both):
+                found[0].append(x)
+                found[1].append(y)
+        return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], names=["a", "b"])
 
     one = points.select(F.col("node").alias("a"), "n", "vec")
     two = points.select(F.col("node").alias("b"), F.col("n").alias("_n"), F.col("vec").alias("_vec"))
     close = pairs.join(one, "a").join(two, "b").select("a", "b", "n", "_n", "vec", "_vec").mapInArrow(bounded, "a long, b long")
     close = staged(close, "close")
-    # Only texts of surviving pairs are dealt out by their node.
-    wanted = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
-    wanted = points.join(wanted, "node").select("node", F.xxhash64("doc_id", "text_hash").alias("_key"), "text_hash")
+    # Pairs that hang together share their texts: a group's texts travel once, or once for each block they meet.
+    group = staged(components(close, "a", "b"), "candidates")
+    size = group.groupBy("label").agg(F.ceil(F.count("*") / BLOCK_TEXTS).cast("int").alias("_blocks"))
+    placed = staged(group.join(size, "label").withColumn("_mine", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")), "groups")
+    wanted = points.join(placed.select("node"), "node").select("node", F.xxhash64("doc_id", "text_hash").alias("_key"), "text_hash")
     own = rows.withColumn("_key", F.xxhash64("doc_id", "text_hash")).join(wanted, ["_key", "text_hash"]).select("node", "text")
-    own = staged(own, "texts")
-    full = close.join(own.select(F.col("node").alias("b"), F.col("text").alias("_text")), "b")
-    full = full.join(own.select(F.col("node").alias("a"), "text"), "a").select("a", "b", "text", "_text")
-    return full.mapInArrow(linked, "a long, b long").distinct()
+    own = staged(own, "texts").dropDuplicates(["node"])
+    cell = lambda i, j: F.least(i, j).cast("long") * F.col("_blocks") + F.greatest(i, j)
+    cells = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda j: cell(j, F.col("_mine")))
+    texts = placed.select("label", "node", F.explode(cells).alias("cell")).join(own, "node").select("label", "cell", "node", "text")
+    ends = placed.select(F.col("node").alias("a"), "label", "_blocks", F.col("_mine").alias("_i"))
+    other = placed.select(F.col("node").alias("b"), F.col("_mine").alias("_j"))
+    between = close.join(ends, "a").join(other, "b").select(F.col("label").alias("group"), cell(F.col("_i"), F.col("_j")).alias("cell"), "a", "b")
+    return texts.groupBy("label", "cell").cogroup(between.groupBy("group", "cell")).applyInArrow(linked, "a long, b long").distinct()
 
 
 def join(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
