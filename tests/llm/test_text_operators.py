@@ -232,3 +232,21 @@ def test_template_text_of_a_large_host_goes(spark):
     rows = [(i, f"http://h.example/{i}", f"<body><div class='top'><p>Welcome to us</p></div><div class='story'><p>Story {i} begins</p><p>Shared by some</p></div></body>" if i % 2 else f"<body><div class='top'><p>Welcome to us</p></div><div class='story'><p>Tale {i} goes on</p></div></body>") for i in range(40)]
     got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[3] == "Story 3 begins\nShared by some" and got[4] == "Tale 4 goes on"
+
+
+def texts_of(spark, pages, host="h.example"):
+    rows = [(i, f"http://{host}/{i}", p) for i, p in enumerate(pages)]
+    return {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_sibling_containers_and_forms_keep_the_article(spark):
+    page = "<html><body><div class='intro'><p>{0} today</p></div><div class='title'><h1>Title {0}</h1></div><section id='introduction'><p>Why {0}</p></section><section id='methods'><p>How {0} was done at length</p></section></body></html>"
+    index = "<html><body><div class='intro'><p>All of it</p></div></body></html>"
+    want = "{0} today\nTitle {0}\nWhy {0}\nHow {0} was done at length"
+    got = texts_of(spark, [page.format(f"n{i}") for i in range(24)] + [index])
+    assert all(got[i] == want.format(f"n{i}") for i in range(24)) and got[24] == "All of it"
+    form = "<html><body><form id='form1' action='/'>{}<div class='search'><p>Find</p></div></form></body></html>"
+    got = texts_of(spark, [form.format(f"<div class='post'><p>Text {i}</p></div>") for i in range(5)])
+    assert got == {i: f"Text {i}" for i in range(5)}
+    assert texts_of(spark, [form.format(f"<article><p>Text {i}</p><form><p>Mail</p></form></article>") for i in range(3)])[2] == "Text 2"
+    assert texts_of(spark, [form.format("<p>Only page</p>")])[0] == "Only page"
