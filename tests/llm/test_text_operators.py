@@ -250,3 +250,17 @@ def test_sibling_containers_and_forms_keep_the_article(spark):
     assert got == {i: f"Text {i}" for i in range(5)}
     assert texts_of(spark, [form.format(f"<article><p>Text {i}</p><form><p>Mail</p></form></article>") for i in range(3)])[2] == "Text 2"
     assert texts_of(spark, [form.format("<p>Only page</p>")])[0] == "Only page"
+
+
+@pytest.mark.parametrize("n", [3, 19, 20])
+def test_template_texts_at_every_host_size(spark, n):
+    page = "<body><div class='top'><p>Welcome to us</p><ul><li>Home</li><li>Home</li></ul></div><div class='story'><p>Story {0} begins</p></div></body>"
+    bare = "<body><div class='story'><p>Story {0} begins</p></div></body>"
+    got = texts_of(spark, [page.format(i) for i in range(n - 1)] + [bare.format(n - 1)])
+    assert got == {i: f"Story {i} begins" for i in range(n)}
+
+
+def test_copies_are_no_template(spark):
+    page = "<body><div class='story'><p>Story begins</p><p>and ends</p></div></body>"
+    assert texts_of(spark, [page] * 4) == dict.fromkeys(range(4), "Story begins\nand ends")
+    assert texts_of(spark, [page]) == {0: "Story begins\nand ends"}
