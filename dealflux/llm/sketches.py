@@ -1,8 +1,9 @@
 """Threshold-scaled sketches: every shingle hash below a fixed fraction of the hash space.
 
-Sketches of any two documents are comparable, however unequal in length, and merge by union. The least
-hash is always kept, so that a short text has a sketch too. A fingerprint is the sketch as text: the
-hashes in order, 11 digits of base 64 each.
+Sketches of any two documents are comparable, however unequal in length, and merge by union. A set's least
+hashes up to a fixed number are always kept beside the fraction, so that the sketch of a short text is its
+whole set. Two sketches are compared over the range of hashes that both cover. A fingerprint is the sketch
+as text: the hashes in order, 11 digits of base 64 each.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ from dealflux.llm.common import WordHashes, shingle_set, slices, staged, words
 
 #: One hash in so many is kept.
 SCALE = 8
+#: So many least hashes of a set are kept, whatever the fraction.
+LEAST = 256
 
 
 def sketch(hashes: np.ndarray, scale: int = SCALE) -> np.ndarray:
-    """Kept hashes of a sorted set; the least one always."""
+    """Kept hashes of a sorted set: those below the fraction, and the least ones up to LEAST."""
     kept = int(np.searchsorted(hashes, np.uint64((1 << 64) // scale)))
-    return hashes[: max(kept, min(1, len(hashes)))]
+    return hashes[: max(kept, min(LEAST, len(hashes)))]
 
 
 def merge(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> np.ndarray:
@@ -34,17 +37,30 @@ def merge(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> np.ndarray:
     return sketch(np.union1d(a, b), scale)
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+def _common(a: np.ndarray, b: np.ndarray, scale: int) -> tuple[np.ndarray, np.ndarray]:
+    """What two sketches have in the range of hashes that both cover; one of fewer than LEAST is a whole set."""
+    ends = [max((1 << 64) // scale - 1, int(s[-1])) for s in (a, b) if len(s) >= LEAST]
+    if not ends:
+        return a, b
+    end = np.uint64(min(ends))
+    return a[: np.searchsorted(a, end, "right")], b[: np.searchsorted(b, end, "right")]
+
+
+def jaccard(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> float:
     """Estimated likeness; two empty sketches are alike, an empty and another not at all."""
     if not len(a) and not len(b):
         return 1.0
+    a, b = _common(a, b, scale)
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
+    return both / max(len(a) + len(b) - both, 1)
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
+def containment(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> float:
     """Estimated share of a's shingles that b has."""
-    return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else 1.0
+    if not len(a):
+        return 1.0
+    a, b = _common(a, b, scale)
+    return len(np.intersect1d(a, b, assume_unique=True)) / max(len(a), 1)
 
 
 def to_text(hashes: np.ndarray) -> str:
@@ -102,22 +118,25 @@ def _texts(packed: list[bytes]) -> list[str]:
 
 
 def _beginnings(rows: DataFrame, scale: int) -> DataFrame:
-    """``taken``, the first ``k`` characters of the text, and the sketch of all of it."""
+    """What the document before needs of a text: all of it, packed, or if that is shorter ``taken``, its first ``k`` characters, and ``next_sketch``."""
 
     def run(batches):
         cache = WordHashes()
         for batch in batches:
             for a, b in slices(pa.compute.binary_length(batch.column("packed")).to_pylist(), 1_000_000):
                 part = batch.slice(a, b - a)
-                texts = _texts(part.column("packed").to_pylist())
-                got = [sketch(shingle_set(cache.of(words(t))), scale).tobytes() for t in texts]
-                taken = [t[:k] for t, k in zip(texts, part.column("k").to_pylist())]
+                packed, taken, got = part.column("packed").to_pylist(), [], []
+                for i, (t, k) in enumerate(zip(_texts(packed), part.column("k").to_pylist())):
+                    if len(packed[i]) > 8 * LEAST:
+                        packed[i] = None
+                    taken.append(None if packed[i] else t[:k])
+                    got.append(None if packed[i] else sketch(shingle_set(cache.of(words(t))), scale).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("to"), part.column("to_hash"), part.column("k"), pa.array(taken, pa.string()), pa.array(got, pa.binary())],
-                    names=["to", "to_hash", "k", "taken", "next_sketch"],
+                    [part.column("to"), part.column("to_hash"), pa.array(packed, pa.binary()), part.column("k"), pa.array(taken, pa.string()), pa.array(got, pa.binary())],
+                    names=["to", "to_hash", "next_packed", "k", "taken", "next_sketch"],
                 )
 
-    return rows.mapInArrow(run, "to long, to_hash long, k int, taken string, next_sketch binary")
+    return rows.mapInArrow(run, "to long, to_hash long, next_packed binary, k int, taken string, next_sketch binary")
 
 
 def edited_likeness(docs: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -142,7 +161,7 @@ def edited_likeness(docs: DataFrame, scale: int = SCALE) -> DataFrame:
     )
     given = texts.join(need, ["key", "text_hash"]).select("doc_id", "packed", "to", "to_hash", "k")
     given = _beginnings(given, scale).withColumnsRenamed({"to": "key", "to_hash": "text_hash"}).dropDuplicates(["key", "text_hash"])
-    rows = texts.join(given, ["key", "text_hash"]).select("doc_id", "packed", "k", "taken", "next_sketch")
+    rows = texts.join(given, ["key", "text_hash"]).select("doc_id", "packed", "k", "taken", "next_sketch", "next_packed")
 
     def run(batches):
         cache = WordHashes()
@@ -150,16 +169,21 @@ def edited_likeness(docs: DataFrame, scale: int = SCALE) -> DataFrame:
             for a, b in slices(pa.compute.binary_length(batch.column("packed")).to_pylist(), 1_000_000):
                 part = batch.slice(a, b - a).to_pydict()
                 out = {c: [] for c in ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")}
-                for text, k, taken, after in zip(_texts(part["packed"]), part["k"], part["taken"], part["next_sketch"]):
+                for text, k, taken, after, whole in zip(_texts(part["packed"]), part["k"], part["taken"], part["next_sketch"], part["next_packed"]):
+                    if whole:
+                        follower = _texts([whole])[0]
+                        taken, other = follower[:k], sketch(shingle_set(cache.of(words(follower))), scale)
+                    else:
+                        other = np.frombuffer(after, np.uint64)
                     edited = text[: len(text) - k] + taken
-                    mine, other = sketch(shingle_set(cache.of(words(text))), scale), np.frombuffer(after, np.uint64)
+                    mine = sketch(shingle_set(cache.of(words(text))), scale)
                     changed = sketch(shingle_set(cache.of(words(edited))), scale)
                     out["n_chars"].append(len(text))
                     out["edited_sha256"].append(hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest())
                     out["fingerprint"].append(to_text(mine))
                     out["edited_fingerprint"].append(to_text(changed))
-                    out["near_edited"].append(jaccard(mine, changed))
-                    out["near_next"].append(jaccard(mine, other))
+                    out["near_edited"].append(jaccard(mine, changed, scale))
+                    out["near_next"].append(jaccard(mine, other, scale))
                 yield pa.RecordBatch.from_arrays(
                     [batch.slice(a, b - a).column("doc_id"), pa.array(out["n_chars"], pa.int64()), *[pa.array(out[c], pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")], *[pa.array(out[c], pa.float64()) for c in ("near_edited", "near_next")]],
                     names=["doc_id", *out],

@@ -121,6 +121,19 @@ def test_sketches_merge_and_estimate():
     assert np.array_equal(sketches.from_text(sketches.to_text(sw)), sw)
 
 
+@pytest.mark.parametrize("n", [3, 12, 40, 200, 1500, 30_000])
+def test_likeness_error_by_length(n):
+    rng = np.random.default_rng(n)
+    for share in (0.1, 0.5, 0.9):
+        pool = np.unique(rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64) * np.uint64(2))
+        rng.shuffle(pool)
+        a, b = np.sort(pool[:n]), np.sort(pool[int(n * (1 - share)) : int(n * (1 - share)) + n])
+        both = len(np.intersect1d(a, b))
+        got = sketches.jaccard(sketches.sketch(a), sketches.sketch(b))
+        assert got == pytest.approx(both / (len(a) + len(b) - both), abs=0.1 if n > 200 else 1e-9)
+        assert sketches.containment(sketches.sketch(a), sketches.sketch(b)) == pytest.approx(both / n, abs=0.1 if n > 200 else 1e-9)
+
+
 # 6: mixing.
 
 
