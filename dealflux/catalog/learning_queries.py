@@ -299,14 +299,14 @@ def coded_segments(t):
 
 @query("ml_hmm_em")
 def _(t):
-    model = H.fit(coded_segments(t), states=3, max_iter=4)
+    model = H.fit(coded_segments(t))
     return H.parameters(model, t.spark)
 
 
 @query("ml_hmm_decode")
 def _(t):
     segs = coded_segments(t)
-    model = H.fit(segs, states=3, max_iter=3)
+    model = H.fit(segs)
     kinds = t.web_events.select("event_type").distinct().count()
     following = H.next_codes(model, kinds, t.spark)
     return H.decode(segs, model).join(following, "state")

@@ -5,6 +5,7 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from dealflux.operators import features as X
@@ -193,3 +194,19 @@ def test_p_value_of_known_t(make):
 
     rows = ttest_p_values(make([(1.959964,), (0.0,), (-2.575829,)], "t double")).collect()
     assert [r.p_value for r in rows] == pytest.approx([0.05, 1.0, 0.01], abs=1e-6)
+
+
+def test_hidden_markov_queries_use_the_default_fit(spark, monkeypatch):
+    from dealflux.catalog import learning_queries  # noqa: F401
+    from dealflux.catalog.registry import QUERIES
+
+    given = []
+
+    def fit(segs, **options):
+        given.append(options)
+        return H.initial(segs, 5)
+
+    monkeypatch.setattr(H, "fit", fit)
+    assert QUERIES["ml_hmm_em"](spark, DATA).count() == 25
+    assert QUERIES["ml_hmm_decode"](spark, DATA).count() > 0
+    assert given == [{}, {}]
