@@ -65,7 +65,8 @@ def best_fit(pieces: list[tuple[int, int, int]], capacity: int, source_limit: in
 def _pack_shard(capacity: int, source_limit: int):
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "_cluster", "_source", "_row", "piece"], ascending=[False, True, True, True, True])
-        c = pd.factorize(rows["_cluster"])[0]
+        # Large clusters take the least numbers: a bitmap is as long as the greatest one in it.
+        c = rows["_cluster"].map({v: i for i, v in enumerate(rows["_cluster"].value_counts().index)})
         # A null source takes a number of its own, like any other.
         s = pd.factorize(rows["_source"], use_na_sentinel=False)[0]
         bins = best_fit(list(zip(rows["length"].tolist(), c.tolist(), s.tolist())), capacity, source_limit)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dealflux.llm import backoff_lm, compression_quality, embedding_dups, html_text, mixing, ngram_join, packing, repeats, sketches, token_store
-from dealflux.llm.common import table, word_count
+from dealflux.llm.common import staged, table, word_count
 from dealflux.session import checkpoint_dir
 
 
@@ -29,10 +29,18 @@ def op2_backoff_lm(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def near_clusters(docs: DataFrame) -> DataFrame:
+    """doc_id, source, n_words, cluster of every row of ``docs``: the component of near copies, for texts without shingles equal texts."""
+    found = staged(ngram_join.join(docs).where("component is not null").select("doc_id", "text_hash", "component").distinct(), "clusters")
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("n_words"), F.xxhash64("text").alias("_hash"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("_md5"))
+    both = rows.join(found, rows["doc_id"].eqNullSafe(found["doc_id"]) & (rows["_hash"] == found["text_hash"]), "left")
+    return staged(both.select(rows["doc_id"], "source", "n_words", F.coalesce(F.concat(F.lit("near:"), F.col("component").cast("string")), "_md5").alias("cluster")), "clustered")
+
+
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
-    """Pieces of every document in bins of 4,096 words; equal texts are one cluster."""
-    docs = table(spark, folder, "documents")
-    return packing.pack(docs, word_count(F.col("text")), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    """Pieces of every document in bins of 4,096 words; near copies are one cluster."""
+    docs = near_clusters(table(spark, folder, "documents"))
+    return packing.pack(docs, F.col("n_words"), F.col("cluster"))
 
 
 def op4_scaled_sketches(spark: SparkSession, folder: str) -> DataFrame:

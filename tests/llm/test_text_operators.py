@@ -195,6 +195,17 @@ def test_pack_keeps_every_unit(odd_docs, no_docs):
     assert packing.pack(no_docs, size, F.md5("text")).count() == 0
 
 
+def test_near_copies_share_no_bin(spark, odd_docs):
+    from dealflux.llm import queries
+
+    near = [(i, " ".join(f"w{j}" for j in range(60)) + f" end{i}", f"s{i}") for i in range(12)]
+    rows = odd_docs.select("doc_id", "text", "source").unionByName(spark.createDataFrame([(100 + i, t, s) for i, t, s in near], "doc_id long, text string, source string"))
+    docs = queries.near_clusters(rows)
+    assert docs.count() == rows.count()
+    got = packing.pack(docs, F.col("n_words"), F.col("cluster")).where("doc_id >= 100").collect()
+    assert len(got) == len({(r.shard, r.bin) for r in got}) == 12
+
+
 # 10: quality.
 
 
