@@ -127,7 +127,7 @@ def _points(vectors: DataFrame) -> DataFrame:
                     v = v if np.isfinite(norm) and norm > 0 else None
                 dim.append(0 if v is None else len(v))
                 vec.append(None if v is None else v.tobytes())
-                node.append(None if v is None else int.from_bytes(hashlib.blake2b(v.tobytes(), digest_size=8, key=str(label).encode()[:64]).digest(), "big", signed=True))
+                node.append(None if v is None else int.from_bytes(hashlib.blake2b(v.tobytes(), digest_size=8, key=hashlib.blake2b(str(label).encode("utf-8", "surrogatepass")).digest()).digest(), "big", signed=True))
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(dim, pa.int32()), pa.array(node, pa.int64()), pa.array(vec, pa.binary())], names=["vec_id", "label", "dim", "node", "vec"])
 
     return vectors.mapInArrow(run, "vec_id long, label string, dim int, node long, vec binary")

@@ -54,3 +54,9 @@ def test_estimates_are_unbiased_and_within_their_error():
     guess = E.estimates(packed, factor, E.codes(near)[3])
     off = guess - unit @ near.T
     assert abs(off.mean()) < 0.01 and (np.abs(off) <= error[:, None]).mean() > 0.999
+
+
+def test_long_labels_are_told_apart_by_their_ends(spark):
+    rows = [(i, [1.0, 2.0], "x" * 64 + str(i % 2)) for i in range(4)]
+    got = E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(0, 1, 0), (1, 1, 1), (2, 1, 0), (3, 1, 1)]
