@@ -262,6 +262,7 @@ def join(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
     or wordless text has none and links with nothing. Two rows link when 100 * intersection >= percent *
     union. Rows of equal sets are one node; rows repeated wholly, or with one id, are rows of their own.
     component_id is the least id of the component, null only if all its ids are; an unlinked row's is its own.
+    Only components are returned: pairs inside a known one are not searched, so links are neither listed nor counted.
     text_hash and component (null without shingles) tell rows and components apart whatever their ids.
     """
     rows = docs.select("doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
