@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealflux.llm import backoff_lm, compression_quality, embedding_dups, html_text, mixing, ngram_join, packing, repeats, sketches, token_store
+from dealflux.llm import backoff_lm, compression_quality, embedding_dups, exact_dedup, html_text, lexical_search, mixing, ngram_join, packing, repeats, sketches, token_store
 from dealflux.llm.common import staged, table, word_count
 from dealflux.session import checkpoint_dir
 
@@ -85,6 +85,17 @@ def op10_compression_quality(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op11_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """The group of equal texts of every document, and which one stays."""
+    rows = exact_dedup.groups(table(spark, folder, "documents"), digests=True)
+    return rows.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_backoff_lm": op2_backoff_lm,
@@ -96,5 +107,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_html_main_text": op9_html_main_text,
     "op10_compression_quality": op10_compression_quality,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_ranked_search": op12_ranked_search,
+}
+ORACLES: dict[str, str] = {
+    "op6_source_mixing": mixing.ORACLE,
+    "op8_embedding_near_dedup": embedding_dups.ORACLE,
+    "op11_exact_dedup": exact_dedup.ORACLE,
+    "op12_ranked_search": lexical_search.ORACLE,
 }
-ORACLES: dict[str, str] = {"op6_source_mixing": mixing.ORACLE, "op8_embedding_near_dedup": embedding_dups.ORACLE}
