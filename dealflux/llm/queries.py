@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealflux.llm import backoff_lm, compression_quality, embedding_dups, exact_dedup, html_text, lexical_search, mixing, ngram_join, packing, repeats, sketches, token_store
+from dealflux.llm import backoff_lm, compression_quality, embedding_dups, exact_dedup, html_text, lexical_search, mixing, ngram_join, packing, prefix_trie, repeats, sketches, token_store
 from dealflux.llm.common import staged, table, word_count
 from dealflux.session import checkpoint_dir
 
@@ -96,6 +96,11 @@ def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every node of the prefix trie of rebuilt conversations."""
+    return prefix_trie.trie(table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_backoff_lm": op2_backoff_lm,
@@ -109,10 +114,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_compression_quality": op10_compression_quality,
     "op11_exact_dedup": op11_exact_dedup,
     "op12_ranked_search": op12_ranked_search,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLES: dict[str, str] = {
     "op6_source_mixing": mixing.ORACLE,
     "op8_embedding_near_dedup": embedding_dups.ORACLE,
     "op11_exact_dedup": exact_dedup.ORACLE,
     "op12_ranked_search": lexical_search.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }
