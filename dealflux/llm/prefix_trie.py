@@ -248,8 +248,8 @@ WITH own AS (
     FROM conversations WHERE conv_id IS NOT NULL),
 convs AS (
     SELECT DISTINCT c, c - c % 20 AS donor,
-           xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), x -> ascii(x)::BIGINT)),
-               (crc, b) -> list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), (a, z) -> xor(a >> 1, (a & 1) * 3988292384))), 4294967295) % 4 AS h
+           xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+               lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda a, z: xor(a >> 1, (a & 1) * 3988292384))), 4294967295) % 4 AS h
     FROM own),
 rebuilt AS (
     SELECT convs.c, 0 AS part, own.pos, own.role, own.text FROM convs JOIN own ON own.c = convs.donor AND own.pos < convs.h
