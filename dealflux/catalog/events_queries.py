@@ -349,7 +349,8 @@ def _(t):
 @query("evt_hourly_metrics", """
   WITH r AS (SELECT date_trunc('hour', e.event_time) AS h, e.event_time, e.session_id, s.seconds,
       (epoch_us(processed_time) - epoch_us(client_upload_time)) / 1e6 AS lat FROM web_events e JOIN sessions s ON e.session_id = s.session_id),
-  b AS (SELECT h, count(*) AS events, avg(seconds) AS mean_duration, avg(lat) AS mean_latency, count(DISTINCT session_id) AS sessions FROM r GROUP BY 1),
+  b AS (SELECT h, count(*) AS events, sum(seconds::DECIMAL(28,6))::DOUBLE / nullif(count(seconds), 0) AS mean_duration,
+    sum(lat::DECIMAL(28,6))::DOUBLE / nullif(count(lat), 0) AS mean_latency, count(DISTINCT session_id) AS sessions FROM r GROUP BY 1),
   p AS (SELECT h, avg(s) AS mean_sessions FROM (SELECT h, event_time, count(DISTINCT session_id) AS s FROM r GROUP BY 1, 2) GROUP BY 1),
   cal AS (SELECT unnest(generate_series((SELECT min(h) FROM b), (SELECT max(h) FROM b), INTERVAL 1 HOUR)) AS h)
   SELECT CAST(cal.h AS VARCHAR) AS hour_start, coalesce(events, 0) AS events, coalesce(sessions, 0) AS sessions,

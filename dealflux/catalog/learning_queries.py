@@ -25,7 +25,7 @@ from dealflux.plans import kernels as K
 from dealflux.session import checkpoint_dir
 
 FUND = """fu AS (SELECT c.id AS company_id, age, ecosystem_name, primary_tag, coalesce(sum(amount), 0) AS total_funding, count(amount) AS deal_count,
-  coalesce(avg(amount), 0) AS avg_deal_size FROM companies c LEFT JOIN deals d ON c.id = d.company_id GROUP BY 1, 2, 3, 4)"""
+  coalesce(sum(amount::DECIMAL(28,6))::DOUBLE / nullif(count(amount), 0), 0) AS avg_deal_size FROM companies c LEFT JOIN deals d ON c.id = d.company_id GROUP BY 1, 2, 3, 4)"""
 INPUTS = ["age", "ecosystem_id", "primary_tag_id"]
 ROUND_INPUTS = ["round_ordinal", "amount", "previous_amount", "age_at_deal", "weekday", "month"]
 MARKET = ["age", "total_funding", "deal_count", "avg_deal_size"]

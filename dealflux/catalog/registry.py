@@ -22,7 +22,8 @@ def plain(df: DataFrame, digits: dict[str, int]) -> DataFrame:
     for name, kind in df.dtypes:
         c = F.col(f"`{name}`")
         if name in digits:
-            c = F.round(c.cast("double"), digits[name])
+            # Scaled in binary, as the SQL side rounds; rounding the decimal form instead breaks other ties.
+            c = F.round(c.cast("double") * F.lit(10.0 ** digits[name])) / F.lit(10.0 ** digits[name])
             c = F.when(c == 0, F.lit(0.0)).otherwise(c)
         elif kind in ("date", "timestamp", "timestamp_ntz"):
             c = c.cast("string")

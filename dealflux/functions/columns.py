@@ -33,6 +33,11 @@ def total(c: ColumnLike) -> Column:
     return F.coalesce(F.sum(c), F.lit(0.0))
 
 
+def exact_mean(c: ColumnLike) -> Column:
+    """Mean from a decimal sum: the same to the last bit in whatever order rows arrive; values are taken to 6 decimals."""
+    return F.sum(col(c).cast("decimal(28,6)")).cast("double") / F.nullif(F.count(c), F.lit(0))
+
+
 def seconds_between(start: ColumnLike, end: ColumnLike) -> Column:
     """Elapsed seconds with microsecond precision."""
     micros = F.unix_micros(col(end).cast("timestamp")) - F.unix_micros(col(start).cast("timestamp"))

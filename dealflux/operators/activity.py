@@ -155,8 +155,8 @@ def hourly_metrics(df: DataFrame) -> DataFrame:
     """
     rows = latencies(with_duration(df)).withColumn("hour_start", F.date_trunc("hour", TS))
     base = rows.groupBy("hour_start").agg(
-        F.count(F.lit(1)).alias("events"), F.avg("session_duration").alias("mean_duration"),
-        F.avg("server_latency").alias("mean_latency"), F.count_distinct("session_id").alias("sessions"),
+        F.count(F.lit(1)).alias("events"), C.exact_mean("session_duration").alias("mean_duration"),
+        C.exact_mean("server_latency").alias("mean_latency"), F.count_distinct("session_id").alias("sessions"),
     )
     stamps = rows.groupBy("hour_start", TS).agg(F.count_distinct("session_id").alias("_s"))
     per_stamp = stamps.groupBy("hour_start").agg(F.avg("_s").alias("mean_sessions"))

@@ -21,7 +21,7 @@ def company_funding(companies: DataFrame, deals: DataFrame) -> DataFrame:
     Deals are aggregated before the join, so the join carries one row per company.
     """
     sums = K.aggregate_by(
-        deals, ["company_id"], total_funding=C.total("amount"), deal_count=F.count("amount"), avg_deal_size=F.avg("amount")
+        deals, ["company_id"], total_funding=C.total("amount"), deal_count=F.count("amount"), avg_deal_size=C.exact_mean("amount")
     )
     return (
         companies.withColumnRenamed("id", "company_id")

@@ -71,13 +71,16 @@ def read_json_array_lines(spark: SparkSession, path: str, schema: T.StructType |
 
 def convert_export(spark: SparkSession, source: str, target: str, schema: T.StructType, keep: Sequence[str] = EVENT_COLUMNS,
                    *, form: str = "lines", rows_per_file: int = 100_000) -> None:
-    """JSON export (``lines``, ``array`` or ``array_lines``) to CSV files of bounded length holding the kept columns."""
+    """JSON export (``lines``, ``array`` or ``array_lines``; an array is split however it is laid out) to CSV files of bounded length holding the kept columns."""
+    from dealflux.sources.json_arrays import read_json_array
     from dealflux.sources.writers import write_csv_chunks
 
-    if form == "array_lines":
+    if form == "array":
+        rows = read_json_array(spark, source, schema, keep)
+    elif form == "array_lines":
         rows = read_json_array_lines(spark, source, schema, keep)
     else:
-        rows = read_json_export(spark, source, schema, keep, lines=form == "lines")
+        rows = read_json_export(spark, source, schema, keep)
     write_csv_chunks(rows, target, rows_per_file=rows_per_file)
 
 

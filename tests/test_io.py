@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dealflux.operators import filters
 from dealflux.sources import readers as R
 from dealflux.sources import writers as W
+from dealflux.sources.json_arrays import read_json_array
 from dealflux.streaming import events as E
 
 
@@ -35,6 +36,47 @@ def test_json_array_and_lines(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [(1, "x"), (2, None)]
 
 
+ODD = [{"event_id": i, "city": c, "more": {"a": [{}, {"b": "}{"}]}} for i, c in enumerate(
+    ["x", None, "", 'a "quoted" }', "{", "}", "\\\\", 'end\\\\"', "line\nbreak", "é" * 40, "[", "]", ",", "{" * 30, "\\u007d"])] * 7
+
+
+@pytest.mark.parametrize("layout", [{}, {"indent": 2}, {"separators": (",", ":")}])
+@pytest.mark.parametrize("size", ["37b", "200b", "128m"])
+def test_arrays_are_split_anywhere(spark, tmp_path, layout, size):
+    for n, rows in enumerate([ODD, ODD[:1], [], [{"event_id": 1, "city": "y" * 900}]]):
+        (tmp_path / f"{n}.json").write_text(json.dumps(rows, **layout, ensure_ascii=n == 1))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        got = read_json_array(spark, str(tmp_path), R.event_schema(["event_id", "city"]), ["event_id", "city"])
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(str((r["event_id"], r["city"])) for r in [*ODD, ODD[0], {"event_id": 1, "city": "y" * 900}])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_array_of_other_elements_and_cut_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[1, "{", null, {"event_id": 3}, [2], "}", {"event_id": 4}]')
+    assert sorted(r.event_id for r in read_json_array(spark, str(tmp_path / "a.json"), "event_id long").collect()) == [3, 4]
+    (tmp_path / "b.json").write_text('[{"event_id": 3}, {"event_id": 4')
+    with pytest.raises(Exception, match="(?i)malformed|corrupt"):
+        read_json_array(spark, str(tmp_path / "b.json"), "event_id long").collect()
+
+
+def test_one_line_of_many_megabytes_is_read_by_several_tasks(spark, tmp_path):
+    rows = spark.range(200_000).select(F.to_json(F.struct(F.col("id").alias("event_id"), F.lit("a } b { c" * 8).alias("city"))).alias("j"))
+    path = tmp_path / "big.json"
+    path.write_text("[" + ", ".join(r.j for r in rows.collect()) + "]")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2m")
+    try:
+        got = read_json_array(spark, str(path), R.event_schema(["event_id", "city"]))
+        whole = R.read_json_export(spark, str(path), R.event_schema(["event_id", "city"]), lines=False)
+        assert got.where("event_id is not null").groupBy(F.spark_partition_id()).count().count() > 4
+        assert got.count() == 200_000 and got.exceptAll(whole).count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_star_coercion_and_missing_columns(spark):
     raw = spark.createDataFrame([("1", "bad", "2020-02-30"), ("x", "2.5", "2020-02-03")], "id string, amount string, date string")
     rows = R.coerce(raw, ["date"], {"id": "bigint", "amount": "double"}).collect()
