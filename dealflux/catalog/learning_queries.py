@@ -344,6 +344,11 @@ def _(t):
     return Y.stationarity(monthly(t))
 
 
+@query("fc_unit_root")
+def _(t):
+    return Y.unit_root(monthly(t))
+
+
 @query("fc_ar_fit")
 def _(t):
     f = Y.ar_fit(monthly(t))

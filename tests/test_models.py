@@ -210,3 +210,78 @@ def test_hidden_markov_queries_use_the_default_fit(spark, monkeypatch):
     assert QUERIES["ml_hmm_em"](spark, DATA).count() == 25
     assert QUERIES["ml_hmm_decode"](spark, DATA).count() > 0
     assert given == [{}, {}]
+
+
+def _walk(rng, n, root):
+    y, e = [0.0], rng.normal(size=n)
+    for v in e:
+        y.append(root * y[-1] + v)
+    return y[1:]
+
+
+def _augmented(y, most):
+    """Lags, t and slope by fitting every order with numpy on the rows that all orders share."""
+    y = np.asarray(y)
+    dy = np.diff(y)
+    best = None
+    for lags in range(most + 1):
+        rows = range(most, len(dy))
+        x = np.array([[1.0, y[i], *[dy[i - k] for k in range(1, lags + 1)]] for i in rows])
+        target = dy[most:]
+        coef = np.linalg.lstsq(x, target, rcond=None)[0]
+        rss = float(((target - x @ coef) ** 2).sum())
+        aic = len(target) * np.log(rss / len(target)) + 2 * (2 + lags)
+        if best is None or aic < best[0]:
+            se = np.sqrt(rss / (len(target) - 2 - lags) * np.linalg.inv(x.T @ x)[1, 1])
+            best = (aic, lags, coef[1], coef[1] / se)
+    return best[1:]
+
+
+def test_unit_root_lags_and_p_values(spark):
+    rng = np.random.default_rng(4)
+    known = {"walk": _walk(rng, 200, 1.0), "still": _walk(rng, 200, 0.3), "slow": _walk(rng, 90, 0.9)}
+    known["lagged"] = np.convolve(_walk(rng, 150, 0.5), [1, 0.8, 0.6])[2:150].tolist()
+    rows = [(k, dt.datetime(2020, 1, 1) + dt.timedelta(days=i), float(v)) for k, ys in known.items() for i, v in enumerate(ys)]
+    rows += [("flat", dt.datetime(2020, 1, 1) + dt.timedelta(days=i), 2.0) for i in range(50)] + [("one", dt.datetime(2020, 1, 1), 1.0), ("none", dt.datetime(2020, 1, 1), None)]
+    got = {r.series: r for r in Y.unit_root(spark.createDataFrame(rows, "series string, bucket timestamp, value double")).collect()}
+    for name, ys in known.items():
+        most = min(16, int(np.ceil(12 * ((len(ys) - 1) / 100) ** 0.25)), (len(ys) - 1) // 2 - 2)
+        lags, slope, t = _augmented(ys, most)
+        assert got[name].lags == lags and np.isclose(got[name].t, t) and np.isclose(got[name].slope, slope) and got[name].n == len(ys) - 1 - most
+    assert got["still"].d == 0 and got["still"].p_value < 0.01 and got["walk"].d == 1 and got["walk"].p_value > 0.05
+    assert all(got[k].t is None and got[k].d == 1 for k in ("flat", "one", "none"))
+
+
+def test_p_values_at_published_points():
+    # 1 %, 5 % and 10 % points of the large-sample distribution with a constant.
+    for t, p in ((-3.43, 0.01), (-2.86, 0.05), (-2.57, 0.10)):
+        assert abs(Y.p_value(t) - p) < 0.002
+    assert Y.p_value(-30) == 0 and Y.p_value(5) == 1
+    ts = np.linspace(-6, 2.7, 80)
+    assert (np.diff([Y.p_value(t) for t in ts]) > 0).all()
+
+
+def test_two_bends_are_two(spark):
+    rng = np.random.default_rng(6)
+    u = np.arange(800) / 799
+    knots = [0.8 * (i + 1) / 11 for i in range(10)]
+    shapes = {"two": 5 * u + 30 * np.maximum(u - knots[2], 0) - 50 * np.maximum(u - knots[7], 0), "none": 4 - 3 * u}
+    rows = [(k, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), float(v + np.sin(i / 24 * 2 * np.pi) + rng.normal(0, 0.3))) for k, ys in shapes.items() for i, v in enumerate(ys)]
+    rows += [("short", dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), float(i)) for i in range(3)] + [("flat", dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), 1.0) for i in range(60)]
+    got = Y.changepoints(Y.seasonal_trend(spark.createDataFrame(rows, "series string, bucket timestamp, value double"))).orderBy("bucket").collect()
+    changed = {k: [i for i, r in enumerate(r for r in got if r.series == k) if r.slope_change != 0.0] for k in ("two", "none", "short", "flat")}
+    assert changed == {"two": [2, 7], "none": [], "short": [], "flat": []}
+    sizes = [r.slope_change * 799 / 24 for r in got if r.series == "two" and r.slope_change]
+    assert np.allclose(sizes, [30, -50], rtol=0.1)
+
+
+def test_moments_are_one_aggregate(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 4))
+    df = spark.createDataFrame([(f"s{i % 3}", r.tolist()) for i, r in enumerate(x)], "k string, x array<double>")
+    sums = Y.gram(df, ["k"], "x", 4)
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Generate" not in plan
+    for r in sums.collect():
+        own = x[int(r.k[1]) :: 3]
+        assert r.rows == len(own) and np.allclose(np.reshape(r.gram, (4, 4)), own.T @ own)
