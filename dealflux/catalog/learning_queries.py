@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from dealflux.catalog.registry import query
 from dealflux.catalog.series_queries import MONTHLY, sector_series
+from dealflux.operators import boosting as B
 from dealflux.operators import features as X
 from dealflux.operators import forecasting as Y
 from dealflux.operators import hidden_states as H
@@ -22,7 +23,7 @@ from dealflux.operators import series as R
 from dealflux.operators import sessions as S
 from dealflux.operators.projections import success_flag
 from dealflux.plans import kernels as K
-from dealflux.session import checkpoint_dir
+from dealflux.session import checkpoint_dir, cut
 
 FUND = """fu AS (SELECT c.id AS company_id, age, ecosystem_name, primary_tag, coalesce(sum(amount), 0) AS total_funding, count(amount) AS deal_count,
   coalesce(sum(amount::DECIMAL(28,6))::DOUBLE / nullif(count(amount), 0), 0) AS avg_deal_size FROM companies c LEFT JOIN deals d ON c.id = d.company_id GROUP BY 1, 2, 3, 4)"""
@@ -34,7 +35,7 @@ MARKET = ["age", "total_funding", "deal_count", "avg_deal_size"]
 def company_table(t):
     """Company features with age imputed by its mean and the success flag."""
     c = X.company_features(t.companies_aged, t.deals)
-    return success_flag(X.impute(c, ["age"], "mean"), threshold="median").persist()
+    return cut(success_flag(X.impute(c, ["age"], "mean"), threshold="median"))
 
 
 @query("ml_label_index", """SELECT id, dense_rank() OVER (ORDER BY secondary) - 1 AS secondary_tag_index FROM
@@ -88,34 +89,45 @@ def _(t):
     return X.smote(c, "large", "company_id", ["age", "deal_count", "total_funding"])
 
 
+# Models learn from four fifths of the rows and score all; ``is_test`` marks the rows they have not seen.
+
+
+def learnt(df):
+    return df.where("not is_test")
+
+
 @query("ml_random_forest_classifier")
 def _(t):
-    c = company_table(t)
-    model = M.random_forest_classifier(c, INPUTS, "is_successful")
-    return M.score(model, c).select("company_id", "is_successful", "prediction", "score")
+    c = cut(X.stratified_split(company_table(t), "is_successful", "company_id"))
+    model = M.random_forest_classifier(learnt(c), INPUTS, "is_successful")
+    return M.score(model, c).select("company_id", "is_successful", "is_test", "prediction", "score")
 
 
 @query("ml_gbt_regressor")
 def _(t):
-    c = company_table(t)
-    model = M.boosted_regressor(c, INPUTS, "total_funding")
-    return M.score(model, c).select("company_id", "total_funding", "prediction")
+    c = cut(X.stratified_split(company_table(t), "is_successful", "company_id"))
+    model = M.boosted_regressor(learnt(c), INPUTS, "total_funding")
+    return M.score(model, c).select("company_id", "total_funding", "is_test", "prediction")
+
+
+def next_rounds(t):
+    # Deals that have a next one are split; the last deal's next round is unknown and is scored as a test row.
+    rows = X.next_round_examples(t.deals, t.companies).withColumn("_known", F.col("next_amount").isNotNull())
+    return cut(X.stratified_split(rows, "_known", "id").withColumn("is_test", F.col("is_test") | ~F.col("_known")))
 
 
 @query("ml_regressor_elastic_net")
 def _(t):
-    # Fitted on deals that have a next one; scored on all, the last deal's next round included.
-    rows = X.next_round_examples(t.deals, t.companies).persist()
-    model = M.elastic_net(rows, ROUND_INPUTS, "next_amount")
-    return M.score(model, rows).select("id", "next_amount", "prediction")
+    rows = next_rounds(t)
+    model = M.elastic_net(learnt(rows), ROUND_INPUTS, "next_amount")
+    return M.score(model, rows).select("id", "next_amount", "is_test", "prediction")
 
 
 @query("ml_regressor_random_forest")
 def _(t):
-    # Fitted on deals that have a next one; scored on all, the last deal's next round included.
-    rows = X.next_round_examples(t.deals, t.companies).persist()
-    model = M.random_forest_regressor(rows, ROUND_INPUTS, "next_amount")
-    return M.score(model, rows).select("id", "next_amount", "prediction")
+    rows = next_rounds(t)
+    model = M.random_forest_regressor(learnt(rows), ROUND_INPUTS, "next_amount")
+    return M.score(model, rows).select("id", "next_amount", "is_test", "prediction")
 
 
 @query("ml_next_round_forecast", """
@@ -158,23 +170,50 @@ def _(t):
     return X.next_round_examples(t.deals, t.companies).select("id", "company_id", "amount", "previous_amount", "next_amount")
 
 
+EVENT_INPUTS = ["hour", "weekday", "prev_event_type", "device_family"]
+
+
+def next_events(t):
+    return cut(X.stratified_split(M.next_event_rows(t.web_events), "event_type", "event_id"))
+
+
+@query("ml_next_event_split", """
+  WITH r AS (SELECT event_id, event_type FROM web_events QUALIFY count(*) OVER (PARTITION BY event_type) >= 5)
+  SELECT event_id, event_type, CAST(row_number() OVER (PARTITION BY event_type ORDER BY md5('42#' || event_id), event_id)
+    <= round(count(*) OVER (PARTITION BY event_type) * 0.2::DOUBLE) AS INTEGER) AS is_test FROM r""")
+def _(t):
+    return next_events(t).select("event_id", "event_type", "is_test")
+
+
 @query("ml_next_event_classifier")
 def _(t):
-    rows = M.next_event_rows(t.web_events).persist()
-    model = M.next_event_classifier(rows)
-    return model.transform(rows).select("event_id", "event_type", "label", "prediction")
+    rows = next_events(t)
+    model = B.fit(learnt(rows), EVENT_INPUTS, "event_type")
+    return B.predict(model, rows).select("event_id", "event_type", "is_test", "prediction")
 
 
 @query("ml_next_event_predict")
 def _(t):
-    rows = M.next_event_rows(t.web_events).persist()
-    return M.top_classes(M.next_event_classifier(rows), rows, "event_id")
+    rows = next_events(t)
+    return B.top_classes(B.fit(learnt(rows), EVENT_INPUTS, "event_type"), rows, "event_id")
+
+
+@query("ml_next_event_held_out")
+def _(t):
+    """Accuracy and log-loss of booster and forest, on rows they learnt from and on rows they have not seen."""
+    rows = next_events(t)
+    model = B.fit(learnt(rows), EVENT_INPUTS, "event_type")
+    boosted = B.log_loss(B.predict(model, rows), model.classes, "event_type", "is_test").withColumn("model", F.lit("boosted trees"))
+    forest = M.next_event_classifier(learnt(rows))
+    names = forest.stages[0].labels
+    scored = forest.transform(rows).withColumns({"probability": F.slice(vector_to_array("probability"), 1, len(names)), "prediction": F.get(F.array(*[F.lit(n) for n in names]), F.col("prediction").cast("int"))})
+    return boosted.unionByName(B.log_loss(scored, names, "event_type", "is_test").withColumn("model", F.lit("forest")))
 
 
 @query("ml_kmeans_sessions")
 def _(t):
     f = ["events", "mean_hour", "seconds"]
-    rows = X.standardize(S.session_features(t.web_events), f).persist()
+    rows = cut(X.standardize(S.session_features(t.web_events), f))
     model, _cost = M.kmeans(rows, [f"{c}_z" for c in f])
     labelled = M.assign(model, rows, [f"{c}_z" for c in f])
     stats = M.cluster_centres(labelled, f)
@@ -185,7 +224,7 @@ def _(t):
 def _(t):
     wide = S.user_event_columns(t.web_events)
     kinds = [c for c in wide.columns if c != "user_id"]
-    rows = X.standardize(wide, kinds).persist()
+    rows = cut(X.standardize(wide, kinds))
     model, _cost = M.kmeans(rows, [f"{c}_z" for c in kinds])
     sizes = M.cluster_centres(M.assign(model, rows, [f"{c}_z" for c in kinds]), kinds)
     long = K.unpivot(sizes, ["cluster", "size", "percent"], kinds, "event_type", "mean_events")
@@ -294,7 +333,7 @@ def _(t):
 
 def coded_segments(t):
     coded = X.label_index(t.web_events, ["event_type"])
-    return H.segments(coded, "event_type_index", seconds=86400).persist()
+    return cut(H.segments(coded, "event_type_index", seconds=86400))
 
 
 @query("ml_hmm_em")
@@ -318,7 +357,7 @@ NAMED = MONTHLY.replace("ser AS (SELECT primary_tag,", "ser AS (SELECT primary_t
 
 
 def monthly(t):
-    return Y.series_key(sector_series(t), ["primary_tag"]).persist()
+    return cut(Y.series_key(sector_series(t), ["primary_tag"]))
 
 
 @query("fc_acf", f"""
@@ -385,7 +424,7 @@ def _(t):
 
 @query("fc_lagged_regression")
 def _(t):
-    windows = R.trailing_windows(sector_series(t), ["primary_tag"], full=True).persist()
+    windows = cut(R.trailing_windows(sector_series(t), ["primary_tag"], full=True))
     _model, rows = Y.lagged_regression(windows)
     return rows.select("primary_tag", "bucket", "target", "prediction")
 
