@@ -345,10 +345,16 @@ def _(t):
 @query("ml_hmm_decode")
 def _(t):
     segs = coded_segments(t)
-    model = H.fit(segs)
-    kinds = t.web_events.select("event_type").distinct().count()
-    following = H.next_codes(model, kinds, t.spark)
-    return H.decode(segs, model).join(following, "state")
+    return H.decode(segs, H.fit(segs))
+
+
+@query("ml_hmm_next_events")
+def _(t):
+    """Next event types of every session, ranked from its last state."""
+    segs = coded_segments(t)
+    names = X.label_index(t.web_events, ["event_type"]).select("event_type", F.col("event_type_index").cast("int").alias("code")).distinct()
+    ranked = H.next_of_sessions(segs, H.fit(segs), names.count())
+    return ranked.join(F.broadcast(names), "code").select("session_id", "state", "rank", "event_type", "prob")
 
 
 # Forecasts.

@@ -2,7 +2,9 @@
 
 Sessions are stored as time segments of bounded length. A segment's effect on a state vector is a
 K x K matrix, so a session of any length is handled in three parallel steps: matrices per segment,
-a scan over each session's few matrices, and sums (or paths) per segment given its ends. Spark
+a scan over each session's matrices, and sums (or paths) per segment given its ends. The scan goes up
+and down a tree: runs of ``WIDTH`` matrices are multiplied, their products again, until a session has
+one run; then every run learns its ends from the run above. So one long session is many tasks. Spark
 moves the segments and adds up the sums; the driver only holds K x K parameters.
 """
 
@@ -17,8 +19,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dealflux.plans.ordered import chunk_of
+from dealflux.session import cut
 
 FLOOR = 1e-3
+#: Matrices of a session that one task multiplies or scans.
+WIDTH = 64
 
 
 @dataclass
@@ -48,10 +53,10 @@ def segments(df: DataFrame, code: str, session: str = "session_id", seconds: flo
         .groupBy(F.col(session).alias("session_id"), "chunk")
         .agg(F.sort_array(F.collect_list(item)).alias("_i"))
     )
-    spans = rows.groupBy("session_id").agg(F.min("chunk").alias("_first"), F.count(F.lit(1)).alias("segments"))
-    return rows.join(spans, "session_id").select(
-        "session_id", "chunk", F.col("_i.event_id").alias("ids"), F.col("_i.code").alias("obs"),
-        (F.col("chunk") == F.col("_first")).alias("first"), "segments",
+    order = Window.partitionBy("session_id").orderBy("chunk")
+    numbers = rows.select("session_id", "chunk").withColumns({"number": F.row_number().over(order).cast("long") - 1, "segments": F.count(F.lit(1)).over(Window.partitionBy("session_id"))})
+    return rows.join(numbers, ["session_id", "chunk"]).select(
+        "session_id", "chunk", F.col("_i.event_id").alias("ids"), F.col("_i.code").alias("obs"), (F.col("number") == 0).alias("first"), "number", "segments",
     )
 
 
@@ -101,7 +106,7 @@ def segment_matrix(h: Hidden, best: bool):
                     step = top if best else top + np.log(np.exp(paths - top[:, :, None]).sum(2))
                     m = np.where((t < lengths)[:, None, None], step + lb[:, t][:, None, :], m)
                 out[rows] = m.reshape(len(rows), -1)
-            yield pdf[["session_id", "chunk"]].assign(m=list(out))
+            yield pd.DataFrame({"owner": pdf.session_id, "n": pdf.number, "m": list(out)})
 
     return run
 
@@ -141,31 +146,89 @@ def stacked(pdf, k, blank):
         at += len(some)
 
 
+def apart(k: int) -> np.ndarray:
+    """Log matrix that changes nothing."""
+    return np.where(np.eye(k) > 0, 0.0, -1e30)
+
+
+def products(h: Hidden, best: bool):
+    """Per run of a session: the log matrix from its beginning to its end."""
+    k = len(h.mean)
+
+    def run(batches):
+        for pdf in whole_sessions(batches):
+            heads, made = [], []
+            for place, _, ms in stacked(pdf, k, apart(k)):
+                out = ms[:, 0]
+                for g in range(1, ms.shape[1]):
+                    paths = out[:, :, :, None] + ms[:, g][:, None]
+                    top = paths.max(2)
+                    out = top if best else top + np.log(np.exp(paths - top[:, :, None]).sum(2))
+                heads.append(place[:, 0])
+                made.append(out.reshape(len(out), -1))
+            rows = pdf.iloc[np.concatenate(heads)]
+            yield pd.DataFrame({"owner": rows.owner, "n": rows.n // WIDTH, "m": list(np.concatenate(made))})
+
+    return run
+
+
+def given(pdf: pd.DataFrame, column: str, place: np.ndarray, default: np.ndarray) -> np.ndarray:
+    """What each run got from the run above it, or the default at the top."""
+    if column not in pdf:
+        return np.repeat(default[None], len(place), 0)
+    return np.stack(pdf[column].values[place[:, 0]])
+
+
 def chain(h: Hidden):
-    """Per session: normalised state vector entering each segment and weight of what follows it."""
+    """Per run: normalised state vector entering each matrix and weight of what follows it."""
     k = len(h.mean)
-    same = np.where(np.eye(k) > 0, 0.0, -1e30)
 
     def run(batches):
         for pdf in whole_sessions(batches):
             enter, after = np.zeros((len(pdf), k)), np.ones((len(pdf), k))
-            for place, inside, ms in stacked(pdf, k, same):
+            for place, inside, ms in stacked(pdf, k, apart(k)):
                 ms = np.exp(ms - ms.max((2, 3), keepdims=True))
-                v = np.repeat(h.start[None], len(place), 0)
+                v = given(pdf, "enter0", place, h.start)
                 for g in range(ms.shape[1]):
                     live = inside[:, g]
                     enter[place[live, g]] = v[live]
                     v = norm(np.einsum("si,sij->sj", v, ms[:, g]))[0]
-                w = np.ones((len(place), k))
+                w = given(pdf, "after0", place, np.ones(k))
                 for g in range(ms.shape[1] - 1, -1, -1):
                     live = inside[:, g]
                     after[place[live, g]] = w[live]
                     w = norm(np.einsum("sij,sj->si", ms[:, g], w))[0]
-            yield pdf[["session_id", "chunk"]].assign(enter=list(enter), after=list(after))
+            yield pdf[["owner", "n"]].assign(enter=list(enter), after=list(after))
 
     return run
 
 
+def in_runs(ms: DataFrame) -> DataFrame:
+    """Matrices brought together and ordered by run: ``WIDTH`` neighbours of one session."""
+    keyed = ms.withColumn("session_id", F.concat_ws("#", F.floor(F.col("n") / WIDTH).cast("string"), "owner"))
+    return keyed.repartition("session_id").sortWithinPartitions("session_id", "n")
+
+
+def scan(ms: DataFrame, h: Hidden, longest: int, step, ends: dict[str, str], best: bool) -> DataFrame:
+    """(owner, n, ends) of every matrix, by way of products over runs; ``longest`` is a session's most matrices."""
+    levels = [ms]
+    while longest > WIDTH:
+        levels[-1] = cut(levels[-1])
+        levels.append(in_runs(levels[-1]).mapInPandas(products(h, best), "owner string, n long, m array<double>"))
+        longest = -(-longest // WIDTH)
+    found = None
+    for rows in reversed(levels):
+        if found is not None:
+            above = found.select(F.col("owner").alias("_o"), F.col("n").alias("_n"), *[F.col(c).alias(f"{c}0") for c in ends])
+            rows = rows.join(above, (F.col("owner") == F.col("_o")) & (F.floor(F.col("n") / WIDTH) == F.col("_n"))).drop("_o", "_n")
+        found = in_runs(rows).mapInPandas(step(h), ", ".join(["owner string, n long", *[f"{c} {kind}" for c, kind in ends.items()]]))
+    return found
+
+
+def longest_session(segs: DataFrame) -> int:
+    return segs.agg(F.max("segments")).first()[0] or 0
+
+
 def expectation(h: Hidden):
     """Summed sufficient statistics of each batch of segments, one row per batch."""
     k = len(h.mean)
@@ -211,18 +274,17 @@ def expectation(h: Hidden):
     return run
 
 
-def by_session(ms: DataFrame) -> DataFrame:
-    """Segment matrices brought together and ordered by session."""
-    return ms.repartition("session_id").sortWithinPartitions("session_id", "chunk")
+MATRICES = "owner string, n long, m array<double>"
 
 
-def with_ends(segs: DataFrame, h: Hidden) -> DataFrame:
+def with_ends(segs: DataFrame, h: Hidden, longest: int) -> DataFrame:
     """Segments with their entering and following vectors; only split sessions need the scan."""
     whole = segs.where("segments = 1").selectExpr("*", "cast(null as array<double>) enter", "cast(null as array<double>) after")
     split = segs.where("segments > 1")
-    ms = split.mapInPandas(segment_matrix(h, False), "session_id string, chunk long, m array<double>")
-    ends = by_session(ms).mapInPandas(chain(h), "session_id string, chunk long, enter array<double>, after array<double>")
-    return whole.unionByName(split.join(ends, ["session_id", "chunk"]))
+    ms = split.mapInPandas(segment_matrix(h, False), MATRICES)
+    ends = scan(ms, h, longest, chain, {"enter": "array<double>", "after": "array<double>"}, False)
+    ends = ends.withColumnsRenamed({"owner": "session_id", "n": "number"})
+    return whole.unionByName(split.join(ends, ["session_id", "number"]))
 
 
 def initial(segs: DataFrame, states: int) -> Hidden:
@@ -240,9 +302,9 @@ def fit(segs: DataFrame, *, states: int = 5, max_iter: int = 100, tol: float = 1
     ``segs`` should be persisted or checkpointed by the caller; every round reads it once.
     """
     h = initial(segs, states)
-    k = states
+    k, longest = states, longest_session(segs)
     for _ in range(max_iter):
-        sums = with_ends(segs, h).mapInPandas(expectation(h), "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
+        sums = with_ends(segs, h, longest).mapInPandas(expectation(h), "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
         flat = np.array([r.v for r in sums.orderBy("i").collect()])
         start, trans, rest = flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k :]
         w, x, xx, ll = rest[:k], rest[k : 2 * k], rest[2 * k : 3 * k], float(rest[3 * k])
@@ -270,26 +332,28 @@ def parameters(h: Hidden, spark) -> DataFrame:
 
 
 def best_ends(h: Hidden):
-    """Per session: state before each segment and state at its end, on the best path."""
+    """Per run: state before each matrix and state at its end, on the best path."""
     k = len(h.mean)
-    same = np.where(np.eye(k) > 0, 0.0, -1e30)
 
     def run(batches):
         for pdf in whole_sessions(batches):
             before, last = np.zeros(len(pdf), dtype=int), np.zeros(len(pdf), dtype=int)
-            for place, inside, ms in stacked(pdf, k, same):
+            for place, inside, ms in stacked(pdf, k, apart(k)):
+                at = np.arange(len(place))
                 scores = [np.repeat(np.log(h.start + 1e-300)[None], len(place), 0)]
+                if "before0" in pdf:
+                    scores = [apart(k)[pdf.before0.values[place[:, 0]]]]
                 for g in range(ms.shape[1]):
                     v = (scores[-1][:, :, None] + ms[:, g]).max(1)
                     scores.append(v - v.max(1, keepdims=True))
-                end, at = scores[-1].argmax(1), np.arange(len(place))
+                end = pdf.last0.values[place[:, 0]] if "last0" in pdf else scores[-1].argmax(1)
                 for g in range(ms.shape[1] - 1, -1, -1):
                     live = inside[:, g]
                     came = (scores[g] + ms[at, g, :, end]).argmax(1)
                     last[place[live, g]] = end[live]
                     before[place[live, g]] = came[live]
                     end = came
-            yield pdf[["session_id", "chunk"]].assign(before=before, last=last)
+            yield pdf[["owner", "n"]].assign(before=before, last=last)
 
     return run
 
@@ -324,17 +388,29 @@ def paths(h: Hidden):
     return run
 
 
+def best_path_ends(segs: DataFrame, h: Hidden) -> DataFrame:
+    """(session_id, number, before, last): states before and at the end of every segment on its session's best path."""
+    ms = segs.mapInPandas(segment_matrix(h, True), MATRICES)
+    ends = scan(ms, h, longest_session(segs), best_ends, {"before": "long", "last": "long"}, True)
+    return ends.withColumnsRenamed({"owner": "session_id", "n": "number"})
+
+
 def decode(segs: DataFrame, h: Hidden) -> DataFrame:
     """Most likely state of every event."""
-    ms = segs.mapInPandas(segment_matrix(h, True), "session_id string, chunk long, m array<double>")
-    ends = by_session(ms).mapInPandas(best_ends(h), "session_id string, chunk long, before long, last long")
-    given = segs.join(ends, ["session_id", "chunk"])
-    found = given.mapInPandas(paths(h), "session_id string, ids array<long>, states array<int>")
+    placed = segs.join(best_path_ends(segs, h), ["session_id", "number"])
+    found = placed.mapInPandas(paths(h), "session_id string, ids array<long>, states array<int>")
     return found.select("session_id", F.explode(F.arrays_zip("ids", "states")).alias("_z")).select(
         "session_id", F.col("_z.ids").alias("event_id"), F.col("_z.states").alias("state")
     )
 
 
+def next_of_sessions(segs: DataFrame, h: Hidden, codes: int, top: int = 5) -> DataFrame:
+    """Per session: its last state on the best path, and the codes most likely to follow it."""
+    sizes = segs.select("session_id", "number", (F.col("number") == F.col("segments") - 1).alias("_end")).where("_end")
+    last = best_path_ends(segs, h).join(sizes.drop("_end"), ["session_id", "number"]).select("session_id", F.col("last").cast("int").alias("state"))
+    return last.join(F.broadcast(next_codes(h, codes, segs.sparkSession, top)), "state")
+
+
 def code_mass(h: Hidden, codes: int) -> np.ndarray:
     """Gaussian mass of each integer code in each state, the tails going to the end codes."""
     cdf = lambda x, m, v: 0.5 * (1 + math.erf((x - m) / math.sqrt(2 * v)))

@@ -44,6 +44,35 @@ def test_hidden_states_do_not_depend_on_segments(spark, chains):
     assert np.mean([paths[0][k] == truth[k] for k in truth]) > 0.97
 
 
+@pytest.mark.parametrize("width", [2, 3, 64])
+def test_one_session_of_many_segments_is_many_runs(spark, monkeypatch, width):
+    """Tree or chain: the same fit, path and last states; 300 segments of one event in the longest session."""
+    rng = np.random.default_rng(5)
+    rows, n = [], 0
+    for s, length in enumerate([300, 1, 2, 7, 8, 9]):
+        for i in range(length):
+            rows.append((n, f"s{s}", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), float(rng.normal(5 * (i // 3 % 2), 0.7))))
+            n += 1
+    segs = H.segments(spark.createDataFrame(rows, "event_id long, session_id string, event_time timestamp, code double"), "code", seconds=10**7, longest=1).persist()
+    assert segs.agg(F.max("segments")).first()[0] == 300
+    ends = {}
+    for w in (10**6, width):
+        monkeypatch.setattr(H, "WIDTH", w)
+        h = H.fit(segs, states=2, max_iter=4, tol=0)
+        path = {r.event_id: r.state for r in H.decode(segs, h).collect()}
+        last = {r.session_id: r.state for r in H.next_of_sessions(segs, h, 3).where("rank = 1").collect()}
+        ends[w] = (np.concatenate([h.start, h.trans.ravel(), h.mean, h.var, h.loglik]), path, last)
+    assert np.allclose(ends[10**6][0], ends[width][0], rtol=1e-6) and ends[10**6][1:] == ends[width][1:] and len(path) == n
+    final = {r[1]: r[0] for r in rows}
+    assert last == {s: path[i] for s, i in final.items()}
+    ms = segs.mapInPandas(H.segment_matrix(h, False), H.MATRICES)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # these few rows would else be one task again
+    try:
+        assert H.in_runs(ms).where("owner = 's0'").select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_decode_is_the_best_path(spark, chains):
     segs = H.segments(chains.where("session_id in ('s1', 's2', 's3')"), "code", seconds=1800)
     h = H.Hidden(np.array([0.6, 0.4]), np.array([[0.7, 0.3], [0.2, 0.8]]), np.array([1.0, 4.0]), np.array([2.0, 2.0]), [])
