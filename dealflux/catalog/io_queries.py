@@ -186,7 +186,7 @@ def _(t):
 @query("stm_hourly_counts", """
   SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS hour_start, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
 def _(t):
-    return E.run_available(E.hourly_counts(stream(t)), folder(t, "hourly"), folder(t, "state"))
+    return E.run_available(E.hourly_counts(stream(t)), folder(t, "hourly"), folder(t, "state"), mode="update", keys=["hour_start", "event_type"])
 
 
 @query("stm_sessions", """

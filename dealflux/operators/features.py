@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dealflux.functions import columns as C
 from dealflux.functions import vocab as V
+from dealflux.operators.near import nearest
 from dealflux.plans import kernels as K
 from dealflux.plans.ordered import chunk_of, neighbours
 from dealflux.session import cut
@@ -171,9 +171,8 @@ def next_round_examples(deals: DataFrame, companies: DataFrame) -> DataFrame:
 def smote(df: DataFrame, label: str, key: str, features: Sequence[str], *, k: int = 5, seed: int = 42) -> DataFrame:
     """Rows plus synthetic minority rows that balance two classes exactly.
 
-    A synthetic row lies between a minority row and one of its neighbours: the k rows after it
-    along a seeded random direction of the scaled features (approximate neighbours), found by
-    ordered chunks, so that no pairs inside a class are enumerated. Synthetic rows have
+    A synthetic row lies between a minority row and one of its ``k`` nearest minority rows over the scaled
+    features (see ``near``), so that no pairs inside a class are enumerated. Synthetic rows have
     ``is_synthetic`` = 1 and keep the key of the row they start from.
     """
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
@@ -182,12 +181,9 @@ def smote(df: DataFrame, label: str, key: str, features: Sequence[str], *, k: in
     rows = df.select(key, label, *features).withColumns({"_small": small, "_large": large})
     minority = rows.where(F.col(label) == F.col(f"_small.{label}"))
     scaled = standardize(minority, features, "_z")
-    rng = random.Random(seed)
-    direction = sum((F.lit(rng.gauss(0, 1)) * F.col(f"{f}_z") for f in features), F.lit(0.0))
-    placed = scaled.withColumn("_p", direction).drop(*[f"{f}_z" for f in features])
-    chunk = F.floor(F.col("_p") * 64).cast("bigint")
+    close = nearest(scaled, key, [f"{f}_z" for f in features], k, payload=features, seed=seed)
     # Stored once: the ranks below and the copies both read it.
-    near = cut(neighbours(placed, [label], ["_p", key], list(features), n=k, chunk=chunk, out="_after"))
+    near = cut(minority.join(close.select(key, F.col("near.payload").alias("_after")), key, "left"))
 
     # Every minority row makes the same number of copies; the remainder goes to the first rows in hash order.
     hashed = near.withColumn("_h", F.struct(F.xxhash64(F.lit(seed), key).alias("h"), F.col(key).alias("k")))
@@ -197,7 +193,7 @@ def smote(df: DataFrame, label: str, key: str, features: Sequence[str], *, k: in
     extra = F.when(F.col("_rank") < missing - each * F.col("_small._n"), 1).otherwise(0)
     grown = hashed.join(order, "_h").withColumn("_copies", each + extra).where(F.col("_copies") > 0)
     grown = grown.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    pick = F.pmod(F.xxhash64(F.lit(seed + 1), key, "_c"), F.greatest(F.size("_after"), F.lit(1)))
+    pick = F.pmod(F.xxhash64(F.lit(seed + 1), key, "_c"), F.greatest(F.coalesce(F.size("_after"), F.lit(0)), F.lit(1)))
     grown = grown.withColumn("_near", F.get("_after", pick.cast("int"))).withColumn(
         "_u", F.pmod(F.xxhash64(F.lit(seed + 2), key, "_c"), F.lit(1 << 20)) / float(1 << 20)
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,22 +58,43 @@ def sessions(stream: DataFrame, *, ts: str = "ts", user: str = "user_id", gap: s
     return counts.select(user, "start_time", "end_time", "events")
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str, *, mode: str = "complete") -> DataFrame:
+def _batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema.add("batch", "long")).parquet(path)
+
+
+def _dropped(spark: SparkSession, path: str, number: int) -> None:
+    """Delete the folder of one batch, if it is there, in whatever store ``path`` lies."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/batch={number}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def run_available(stream: DataFrame, path: str, checkpoint: str, *, mode: str = "complete", keys: Sequence[str] = ()) -> DataFrame:
     """Process all files present now and return the result at ``path``.
 
-    ``complete`` holds every window, open ones and late events included: each batch writes the whole result
-    as its own partition, and the last one counts. ``append`` is for endless streams with a watermark and
-    leaves out windows that are still open.
+    ``update`` writes only the rows a batch has changed, and of rows with equal ``keys`` the latest counts;
+    open windows and late events are held. ``complete`` holds them too, for results that cannot be updated:
+    each batch writes the whole result as its own partition, the last one counts, and older ones but one are
+    deleted. A batch that runs again after a failure overwrites its own rows. ``append`` is for endless streams
+    with a watermark and leaves out windows that are still open.
     """
     spark = stream.sparkSession
     if mode == "append":
         _run(stream.writeStream.format("parquet").outputMode("append").option("path", path), checkpoint)
         return spark.read.schema(stream.schema).parquet(path)
+    if mode == "update" and not keys:
+        raise ValueError("update needs the keys that tell rows apart")
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    _run(stream.writeStream.outputMode("complete").foreachBatch(put), checkpoint)
-    rows = spark.read.schema(stream.schema.add("batch", "long")).parquet(path)
+        if mode == "complete":
+            _dropped(batch.sparkSession, path, number - 2)
+
+    _run(stream.writeStream.outputMode(mode).foreachBatch(put), checkpoint)
+    rows = _batches(spark, path, stream.schema)
+    if mode == "update":
+        names = [c for c in stream.columns if c not in keys]
+        latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*names), "batch").alias("_latest"))
+        return latest.select(*[F.col(c) if c in keys else F.col(f"_latest.{c}") for c in stream.columns])
     last = rows.agg(F.max("batch").alias("batch"))
     return rows.join(last, "batch").drop("batch")

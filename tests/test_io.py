@@ -120,3 +120,22 @@ def test_json_array_with_an_object_a_line(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"event_id": 1, "city": "x],"},\n{"event_id": 2},\n {"event_id": 3, "city": "}"}]\n')
     got = R.read_json_array_lines(spark, str(tmp_path / "a.json"), R.event_schema(["event_id", "city"]))
     assert sorted(map(tuple, got.collect())) == [(1, "x],"), (2, None), (3, "}")]
+
+
+def test_updates_hold_late_events_and_files_stay_few(spark, tables, tmp_path):
+    base = tables.base("events").orderBy("ts")
+    base.repartitionByRange(5, F.pmod(F.xxhash64("event_id"), F.lit(97))).write.parquet(str(tmp_path / "in"))  # every file holds late events
+    stream = E.read_events(spark, str(tmp_path / "in"), base.schema, files_per_batch=1)
+    want = base.groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour_start"), "event_type").agg(F.count("*").alias("n"))
+    out, cp = str(tmp_path / "hours"), str(tmp_path / "cp")
+    got = E.run_available(E.hourly_counts(stream), out, cp, mode="update", keys=["hour_start", "event_type"])
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+    written = spark.read.parquet(out)
+    assert written.select("batch").distinct().count() == 5 and written.count() < 5 * want.count()
+    base.limit(1).withColumn("event_id", F.lit(10**9)).write.mode("append").parquet(str(tmp_path / "in"))
+    again = E.run_available(E.hourly_counts(stream), out, cp, mode="update", keys=["hour_start", "event_type"])
+    assert spark.read.parquet(f"{out}/batch=5").count() == 1 and again.agg(F.sum("n")).first()[0] == base.count() + 1
+    E.run_available(E.sessions(stream), str(tmp_path / "s"), str(tmp_path / "cp2"))
+    assert len(list((tmp_path / "s").glob("batch=*"))) == 2
+    with pytest.raises(ValueError, match="keys"):
+        E.run_available(E.hourly_counts(stream), out, cp, mode="update")
