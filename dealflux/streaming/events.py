@@ -59,7 +59,7 @@ def sessions(stream: DataFrame, *, ts: str = "ts", user: str = "user_id", gap: s
 
 
 def _batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema.add("batch", "long")).parquet(path)
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
 
 
 def _dropped(spark: SparkSession, path: str, number: int) -> None:
