@@ -44,8 +44,10 @@ def sequences(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
         digest(F.concat(F.length(role).cast("string"), F.lit(":"), role, text).cast("binary")).alias("key"),
         word_count(text).alias("words"),
     )
-    # Ranges over the whole order cut long conversations, and the stored number of a range orders them.
+    # Texts are read once, before ranges are sampled. Ranges over the whole order cut long conversations, and
+    # the stored number of a range orders them.
     order = [F.col("turn").asc_nulls_first(), F.col("key")]
+    rows = staged(rows, "keys")
     rows = staged(rows.repartitionByRange("conv", *order).withColumn("chunk", F.spark_partition_id()), "turns")
     before = Window.partitionBy("conv").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = rows.groupBy("conv", "chunk").agg(F.count("*").alias("_n"))
