@@ -29,7 +29,7 @@ def _(t):
 
 
 FUNDING = """SELECT c.id AS company_id, coalesce(sum(amount), 0) AS total_funding, count(amount) AS deal_count,
-  coalesce(avg(amount), 0) AS avg_deal_size FROM companies c LEFT JOIN deals d ON c.id = d.company_id GROUP BY 1"""
+  coalesce(sum(amount::DECIMAL(28,6))::DOUBLE / nullif(count(amount), 0), 0) AS avg_deal_size FROM companies c LEFT JOIN deals d ON c.id = d.company_id GROUP BY 1"""
 
 
 @query("jn_companies_funding_left", FUNDING, r3="total_funding avg_deal_size")
