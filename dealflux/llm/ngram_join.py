@@ -2,7 +2,8 @@
 
 A set becomes a point: shingles are hashed into groups and the point's coordinates are the group counts.
 Two sets share at most the sum of the smaller coordinates, so a pair, or a pair of R-tree boxes, whose
-bound misses what the threshold asks for is dropped unseen; what survives is verified on the sets.
+bound misses what the threshold asks for is dropped unseen; what survives is verified on the sets. A set
+of more shingles than groups has a second point with about a group a shingle, for the pairs that trees leave.
 
 Where points meet follows from the threshold alone: a set's own least hashes, one more than the shingles
 it may lack, and any two linked sets share one of them. All sets that have a hash meet its hub, the least of
@@ -22,16 +23,19 @@ from pyspark.sql import functions as F
 
 from dealflux.llm.common import WordHashes, shingle_set, slices, staged, words
 from dealflux.llm.components import components
+from dealflux.llm.group_joins import mark_members
 
 #: Shingle groups: the dimensions of a point; their sums over COARSE of them are bounded first.
 GROUPS, COARSE = 128, 32
+#: Most groups of the finer vector that a set of more than GROUPS shingles has besides.
+MOST_GROUPS = 1 << 16
 #: Jaccard threshold in percent.
 PERCENT = 80
 #: Points of a leaf, children of an inner node.
 LEAF, FANOUT = 16, 8
 #: Members of one hub that meet in one task; more are cut into blocks, and pairs of blocks meet.
 BLOCK_POINTS = 4096
-#: Texts of a group of candidate pairs in a block; likewise, pairs of blocks meet.
+#: Texts of a group of candidate pairs in a block; a text goes to the pairs of blocks in which it has a pair.
 BLOCK_TEXTS = 512
 
 
@@ -45,15 +49,35 @@ def enough(shared: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
     return (100 + percent) * shared.astype(np.int64) >= percent * sizes.astype(np.int64)
 
 
+def fine_counts(h: np.ndarray) -> bytes | None:
+    """Counts by as many groups as there are shingles, or a power of two above.
+
+    None where that is no more than GROUPS, or a count passes a byte: the bound then says nothing.
+    """
+    groups = min(1 << max(len(h) - 1, 0).bit_length(), MOST_GROUPS)
+    if groups <= GROUPS:
+        return None
+    counts = np.bincount((h & np.uint64(groups - 1)).astype(np.intp), minlength=groups)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
+def fine_bound(a: bytes, b: bytes) -> int:
+    """Shingles that two sets can share by their finer vectors; the longer one is folded to the shorter's groups."""
+    short, long = (np.frombuffer(x, np.uint8) for x in sorted((a, b), key=len))
+    if len(long) > len(short):
+        long = long.reshape(-1, len(short)).sum(axis=0, dtype=np.uint32)
+    return int(np.minimum(short, long).sum(dtype=np.int64))
+
+
 def _features(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, text_hash, n, node (hash of the set), sig (least hashes), vec (group counts)."""
+    """doc_id, text_hash, n, node (hash of the set), sig (least hashes), vec and fine (group counts)."""
 
     def run(batches):
         cache = WordHashes()
         for batch in batches:
             for a, b in slices(pa.compute.binary_length(batch.column("text")).to_pylist(), 2_000_000):
                 part = batch.slice(a, b - a)
-                n, node, sig, vec, ends = [], [], [], [], [0]
+                n, node, sig, vec, fine, ends = [], [], [], [], [], [0]
                 for text in part.column("text").to_pylist():
                     h = shingle_set(cache.of(words(text)), width)
                     n.append(len(h))
@@ -62,13 +86,14 @@ def _features(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     sig.append(least.view(np.int64))
                     ends.append(ends[-1] + len(least))
                     vec.append(np.bincount((h & np.uint64(GROUPS - 1)).astype(np.intp), minlength=GROUPS).astype("<u4").tobytes())
+                    fine.append(fine_counts(h))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sig) if sig else [], pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("text_hash"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), lists, pa.array(vec, pa.binary())],
-                    names=["doc_id", "text_hash", "n", "node", "sig", "vec"],
+                    [part.column("doc_id"), part.column("text_hash"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), lists, pa.array(vec, pa.binary()), pa.array(fine, pa.binary())],
+                    names=["doc_id", "text_hash", "n", "node", "sig", "vec", "fine"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, text_hash long, n long, node long, sig array<long>, vec binary")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, n long, node long, sig array<long>, vec binary, fine binary")
 
 
 def _bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -158,6 +183,14 @@ def _small(starts: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
     return (starts[:, None] + i).ravel(), (starts[:, None] + j).ravel()
 
 
+def _finer(x: np.ndarray, y: np.ndarray, rows: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs (x, y) that the finer vectors leave."""
+    fine, n = rows["fine"], rows["n"]
+    ok = [fine[a] is None or fine[b] is None or (100 + percent) * fine_bound(fine[a], fine[b]) >= percent * int(n[a] + n[b]) for a, b in zip(x.tolist(), y.tolist())]
+    ok = np.array(ok, bool)
+    return x[ok], y[ok]
+
+
 def _hub_pairs(rows: dict[str, np.ndarray], percent: int):
     """Pairs of nodes in different components whose bound reaches the threshold, hub by hub.
 
@@ -172,18 +205,18 @@ def _hub_pairs(rows: dict[str, np.ndarray], percent: int):
     for m in np.unique(sizes):
         starts = cut[sizes == m]
         if m <= LEAF:
-            found.append(passing(*_small(starts, int(m)), rows, percent))
+            found.append(_finer(*passing(*_small(starts, int(m)), rows, percent), rows, percent))
         else:
             for s in starts:
                 a, b = RTree({c: rows[c][s : s + m] for c in ("vec", "coarse", "n", "label")}).pairs(percent)
-                found.append((a + s, b + s))
+                found.append(_finer(a + s, b + s, rows, percent))
     node = rows["node"]
     both = np.concatenate([np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], 1) for a, b in found]) if found else np.zeros((0, 2), np.int64)
     return np.unique(both, axis=0)
 
 
 def _tree_join(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b) pairs from rows (hub, cell, node, label, n, vec) sorted by hub and cell."""
+    """(a, b) pairs from rows (hub, cell, node, label, n, vec, fine) sorted by hub and cell."""
 
     def run(batches):
         held = None
@@ -191,6 +224,7 @@ def _tree_join(rows: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
             new["vec"] = np.frombuffer(b"".join(batch.column("vec").to_pylist()), "<u4").reshape(-1, GROUPS)
+            new["fine"] = np.array([*batch.column("fine").to_pylist(), None], object)[:-1]
             if held is not None:
                 new = {c: np.concatenate([held[c], new[c]]) for c in new}
             last = np.flatnonzero((new["hub"] != new["hub"][-1]) | (new["cell"] != new["cell"][-1]))
@@ -208,15 +242,43 @@ def _tree_join(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _verify(pairs: DataFrame, points: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets reach the threshold: bound first, then the sets themselves."""
+def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs`` whose bound reaches the threshold."""
 
-    def bounded(batches):
+    def run(batches):
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, GROUPS) for c in ("vec", "_vec"))
             ok = enough(_bound(a, b), batch.column("n").to_numpy() + batch.column("_n").to_numpy(), percent)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
+    one = points.select(F.col("node").alias("a"), "n", "vec")
+    two = points.select(F.col("node").alias("b"), F.col("n").alias("_n"), F.col("vec").alias("_vec"))
+    near = (100 * F.least("n", "_n") >= percent * F.greatest("n", "_n"))
+    close = pairs.join(one, "a").join(two, "b").where(near)
+    return staged(close.select("a", "b", "n", "_n", "vec", "_vec").mapInArrow(run, "a long, b long"), "close")
+
+
+def _by_hub(close: DataFrame) -> DataFrame:
+    """(group, cell, a, b) of pairs (a, hub b): a hub's text goes once to each block of its members."""
+    size = close.groupBy(F.col("b").alias("_hub")).agg(F.ceil(F.count("*") / BLOCK_TEXTS).alias("_blocks"))
+    cell = F.pmod(F.xxhash64("a"), F.col("_blocks"))
+    return close.join(size, F.col("b") == F.col("_hub")).select(F.col("b").alias("group"), cell.alias("cell"), "a", "b")
+
+
+def _by_group(close: DataFrame) -> DataFrame:
+    """(group, cell, a, b): pairs that hang together share their texts, block by block."""
+    group = staged(components(close, "a", "b"), "candidates")
+    size = group.groupBy("label").agg(F.ceil(F.count("*") / BLOCK_TEXTS).cast("int").alias("_blocks"))
+    placed = group.join(size, "label").withColumn("_mine", F.pmod(F.xxhash64("node"), F.col("_blocks")))
+    ends = placed.select(F.col("node").alias("a"), "label", "_blocks", F.col("_mine").alias("_i"))
+    other = placed.select(F.col("node").alias("b"), F.col("_mine").alias("_j"))
+    cell = F.least("_i", "_j") * F.col("_blocks") + F.greatest("_i", "_j")
+    return close.join(ends, "a").join(other, "b").select(F.col("label").alias("group"), cell.alias("cell"), "a", "b")
+
+
+def _verify(between: DataFrame, points: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """The (a, b) of pairs (group, cell, a, b) whose sets reach the threshold; a text goes once to each cell it has a pair in."""
+
     def linked(texts, between):
         cache, sets = WordHashes(), {}
         text = dict(zip(texts.column("node").to_pylist(), texts.column("text").to_pylist()))
@@ -235,24 +297,13 @@ def _verify(pairs: DataFrame, points: DataFrame, rows: DataFrame, width: int, pe
                 found[1].append(y)
         return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], names=["a", "b"])
 
-    one = points.select(F.col("node").alias("a"), "n", "vec")
-    two = points.select(F.col("node").alias("b"), F.col("n").alias("_n"), F.col("vec").alias("_vec"))
-    close = pairs.join(one, "a").join(two, "b").select("a", "b", "n", "_n", "vec", "_vec").mapInArrow(bounded, "a long, b long")
-    close = staged(close, "close")
-    # Pairs that hang together share their texts: a group's texts travel once, or once for each block they meet.
-    group = staged(components(close, "a", "b"), "candidates")
-    size = group.groupBy("label").agg(F.ceil(F.count("*") / BLOCK_TEXTS).cast("int").alias("_blocks"))
-    placed = staged(group.join(size, "label").withColumn("_mine", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")), "groups")
-    wanted = points.join(placed.select("node"), "node").select("node", F.xxhash64("doc_id", "text_hash").alias("_key"), "text_hash")
-    own = rows.withColumn("_key", F.xxhash64("doc_id", "text_hash")).join(wanted, ["_key", "text_hash"]).select("node", "text")
-    own = staged(own, "texts").dropDuplicates(["node"])
-    cell = lambda i, j: F.least(i, j).cast("long") * F.col("_blocks") + F.greatest(i, j)
-    cells = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda j: cell(j, F.col("_mine")))
-    texts = placed.select("label", "node", F.explode(cells).alias("cell")).join(own, "node").select("label", "cell", "node", "text")
-    ends = placed.select(F.col("node").alias("a"), "label", "_blocks", F.col("_mine").alias("_i"))
-    other = placed.select(F.col("node").alias("b"), F.col("_mine").alias("_j"))
-    between = close.join(ends, "a").join(other, "b").select(F.col("label").alias("group"), cell(F.col("_i"), F.col("_j")).alias("cell"), "a", "b")
-    return texts.groupBy("label", "cell").cogroup(between.groupBy("group", "cell")).applyInArrow(linked, "a long, b long").distinct()
+    between = staged(between, "groups")
+    ends = between.select("group", "cell", F.col("a").alias("node")).unionByName(between.select("group", "cell", F.col("b").alias("node"))).distinct()
+    wanted = points.join(ends.select("node").distinct(), "node").select("node", F.xxhash64("doc_id", "text_hash").alias("_key"), "text_hash")
+    keyed = mark_members(rows.withColumn("_key", F.xxhash64("doc_id", "text_hash")), wanted.select("_key").distinct(), ["_key"], "_wanted").where("_wanted")
+    own = staged(keyed.join(wanted, ["_key", "text_hash"]).select("node", "text"), "texts").dropDuplicates(["node"])
+    texts = ends.join(own, "node").select(F.col("group").alias("_group"), F.col("cell").alias("_cell"), "node", "text")
+    return texts.groupBy("_group", "_cell").cogroup(between.groupBy("group", "cell")).applyInArrow(linked, "a long, b long").distinct()
 
 
 def join(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -268,13 +319,14 @@ def join(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
     rows = docs.select("doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
     feats = staged(_features(rows, width, percent), "features")
     some = feats.where("n > 0")
-    points = some.groupBy("node").agg(F.min("n").alias("n"), F.min("vec").alias("vec"), F.min(F.struct("doc_id", "text_hash")).alias("first"))
-    points = staged(points.select("node", "n", "vec", "first.doc_id", "first.text_hash"), "points")
+    points = some.groupBy("node").agg(F.min("n").alias("n"), F.min("vec").alias("vec"), F.min("fine").alias("fine"), F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    points = staged(points.select("node", "n", "vec", "fine", "first.doc_id", "first.text_hash"), "points")
     postings = some.select(F.explode("sig").alias("sig"), "node")
     hubs = postings.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("_top")).where("hub < _top").drop("_top")
     meets = postings.join(hubs, "sig").where("node != hub")
     star = staged(meets.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "star")
-    links = staged(_verify(star, points, rows, width, percent), "links")
+    close = _bounded(star, points, percent)
+    links = staged(_verify(_by_hub(close), points, rows, width, percent), "links")
 
     label = components(links, "a", "b")
     # Hubs whose members are still in more than one component.
@@ -294,13 +346,13 @@ def join(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
         .withColumn("_blocks", blocks)
         .withColumn("_mine", mine)
         .select("hub", "node", "label", F.explode(cells).alias("cell"))
-        .join(points.select("node", "n", "vec"), "node")
+        .join(points.select("node", "n", "vec", "fine"), "node")
     )
-    left = left.repartition("hub", "cell").sortWithinPartitions("hub", "cell").select("hub", "cell", "node", "label", "n", "vec")
+    left = left.repartition("hub", "cell").sortWithinPartitions("hub", "cell").select("hub", "cell", "node", "label", "n", "vec", "fine")
     more = _tree_join(left, percent)
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = staged(more.join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = staged(links.unionByName(_verify(more, points, rows, width, percent)), "links")
+    links = staged(links.unionByName(_verify(_by_group(more), points, rows, width, percent)), "links")
     label = components(links, "a", "b")
 
     member = some.select("doc_id", "node").join(label, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
