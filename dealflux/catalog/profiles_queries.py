@@ -55,6 +55,13 @@ def _(t):
     return P.sampled_counts(t.web_events, "event_type", "event_id", fraction=0.3)
 
 
+@query("agg_frequent_users", """WITH t AS (SELECT count(user_id) AS rows FROM web_events)
+  SELECT user_id AS value, count(*) AS n, count(*) / rows::DOUBLE AS share FROM web_events, t WHERE user_id IS NOT NULL
+  GROUP BY user_id, rows HAVING count(*) / rows::DOUBLE > 0.007::DOUBLE""", r6="share")
+def _(t):
+    return P.frequent_values(t.web_events, "user_id", share=0.007)
+
+
 @query("agg_null_profile", " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, count(*) AS rows, count({c}) AS non_null, count(*) - count({c}) AS nulls, "
     f"100.0::DOUBLE * (count(*) - count({c})) / count(*) AS null_percent FROM web_events" for c in EVENT_COLS), r6="null_percent")

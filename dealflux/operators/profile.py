@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -12,6 +13,8 @@ from dealflux.functions import columns as C
 from dealflux.plans import kernels as K
 
 TEXT_TYPES = ("string",)
+#: Most counters of a frequent-items sketch, Spark's limit.
+MOST_COUNTERS = 1 << 19
 NUMBER_TYPES = ("int", "bigint", "double", "float", "smallint", "tinyint")
 
 
@@ -57,6 +60,25 @@ def sampled_counts(df: DataFrame, column: str, key: str, *, fraction: float = 0.
     return counts.withColumn("estimated_n", F.round(F.col("sample_n") / fraction).cast("bigint"))
 
 
+def frequent_values(df: DataFrame, column: str, *, share: float = 0.01) -> DataFrame:
+    """Values that more than ``share`` of the rows with one hold: value, n (exact), share of those rows.
+
+    A mergeable frequent-items sketch of 14 / share counters or more errs by a quarter of ``share`` at most, so it
+    names every such value among its 2 / share largest. A second pass counts these candidates only, so columns of
+    very many values are never grouped by and a hot value is summed in tasks. Nulls are no value.
+    """
+    counters = 1 << (math.ceil(14 / share) - 1).bit_length()
+    if counters > MOST_COUNTERS:
+        raise ValueError(f"share {share} asks for {counters} counters, at most {MOST_COUNTERS} are kept")
+    rows = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value"))
+    sketch = F.call_function("approx_top_k", F.col("value"), F.lit(math.ceil(2 / share)), F.lit(counters))
+    named = rows.agg(sketch.alias("_top")).select(F.explode("_top").alias("_item")).select("_item.item")
+    named = named.select(F.col("item").alias("value"))
+    counts = rows.join(F.broadcast(named), "value", "left_semi").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("share", C.ratio(F.col("n"), K.scalar(rows, F.count(F.lit(1)))))
+    return counts.where(F.col("share") > share)
+
+
 def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Per column: rows, non-null, null and null percent, from one aggregation."""
     cols = list(columns or df.columns)
