@@ -18,6 +18,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ def enough(shared: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
 
 
 def fine_counts(h: np.ndarray) -> bytes | None:
-    """Counts by as many groups as there are shingles, or a power of two above.
+    """Counts by as many groups as there are shingles, or a power of two above, as a zstandard frame.
 
     None where that is no more than GROUPS, or a count passes a byte: the bound then says nothing.
     """
@@ -58,7 +59,7 @@ def fine_counts(h: np.ndarray) -> bytes | None:
     if groups <= GROUPS:
         return None
     counts = np.bincount((h & np.uint64(groups - 1)).astype(np.intp), minlength=groups)
-    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+    return zstandard.ZstdCompressor(level=1).compress(counts.astype(np.uint8).tobytes()) if counts.max() < 256 else None
 
 
 def fine_bound(a: bytes, b: bytes) -> int:
@@ -219,12 +220,12 @@ def _tree_join(rows: DataFrame, percent: int) -> DataFrame:
     """(a, b) pairs from rows (hub, cell, node, label, n, vec, fine) sorted by hub and cell."""
 
     def run(batches):
-        held = None
+        held, unpack = None, zstandard.ZstdDecompressor().decompress
         names = ["hub", "cell", "node", "label", "n"]
         for batch in batches:
             new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
             new["vec"] = np.frombuffer(b"".join(batch.column("vec").to_pylist()), "<u4").reshape(-1, GROUPS)
-            new["fine"] = np.array([*batch.column("fine").to_pylist(), None], object)[:-1]
+            new["fine"] = np.array([*(x and unpack(x) for x in batch.column("fine").to_pylist()), None], object)[:-1]
             if held is not None:
                 new = {c: np.concatenate([held[c], new[c]]) for c in new}
             last = np.flatnonzero((new["hub"] != new["hub"][-1]) | (new["cell"] != new["cell"][-1]))

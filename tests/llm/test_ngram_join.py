@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 from llm_fixtures import near_texts, no_docs, odd_docs  # noqa: F401
 
 from dealflux.llm import ngram_join as N
@@ -68,3 +69,19 @@ def test_tree_finds_every_pair_within_the_bound(n):
     i, j = np.triu_indices(n, 1)
     ok = N.enough(N._bound(vec[i], vec[j]), size[i] + size[j], 80) & (label[i] != label[j]) & N.near_sizes(size[i], size[j], 80)
     assert {frozenset(p) for p in zip(a.tolist(), b.tolist())} == {frozenset(p) for p in zip(i[ok].tolist(), j[ok].tolist())}
+
+
+@pytest.mark.parametrize("sizes", [(100, 130), (129, 129), (300, 500), (1000, 1030), (4000, 5000), (70_000, 80_000)])
+def test_finer_bound_is_never_below_the_intersection(sizes):
+    rng = np.random.default_rng(sizes[0])
+    for shared in (0.0, 0.5, 0.95):
+        common = rng.integers(0, 1 << 63, int(sizes[0] * shared), dtype=np.uint64)
+        a, b = (np.unique(np.r_[common, rng.integers(0, 1 << 63, n - len(common), dtype=np.uint64)]) for n in sizes)
+        fine = [N.fine_counts(h) for h in (a, b)]
+        assert [f is None for f in fine] == [len(h) <= N.GROUPS for h in (a, b)]
+        if None in fine:
+            continue
+        bound = N.fine_bound(*(zstandard.ZstdDecompressor().decompress(f) for f in fine))
+        assert len(common) <= bound <= min(len(a), len(b))
+        if shared == 0.5:
+            assert not N.enough(np.array([bound]), np.array([len(a) + len(b)]), 80)[0] or sizes[0] > N.MOST_GROUPS
