@@ -1,11 +1,16 @@
 """Main text of pages by template deduction over the pages of a host.
 
-Tokens of a page are its containers (by path, open and closed) and its text blocks. Containers with the same
-occurrence vector over a host's pages form an equivalence class; vectors are compared by an order-free
-fingerprint, so no vector is gathered. Frequent classes of containers are the template's and nest by their
-paths. A text block is the template's own if it stands on most of the pages that have its container; the
-other blocks fill slots. The page's text is the slots of the template's article or main, without one those
-of all its containers, but never of those that hold menus, notices, adverts, forms or comments.
+Tokens of a page are its containers and its text blocks, told apart by their path from the page's root and
+by their occurrence there, so that a token stands on a page once. Tokens of a host with the same occurrence
+vector, that is on the same pages, form an equivalence class; vectors are compared by an order-free
+fingerprint, so none is gathered. Containers of classes of two pages and more are the template's and nest by
+their paths; a text block is the template's if it stands on most of the pages that have its container.
+What a template container holds between two consecutive tokens of the template is a slot, if the container's
+class is valid (its tokens have one order on all pages), else all its slots are one. A page's main text are
+its slots with most text over the host's pages, and those beside them that hold prose. Names of elements
+and of their classes decide between slots of like size, and inside the main ones.
+
+Steps meet by page, by token or by slot, never by host: no row holds more than a page does.
 """
 
 from __future__ import annotations
@@ -13,19 +18,22 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import defaultdict
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 import xxhash
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dealflux.llm.common import M64, slices, staged
+from dealflux.llm.common import slices, staged
 
 #: Fixed sets of element names.
 CONTAINERS = frozenset("html head body div section article main nav header footer aside form menu dialog figure table fieldset".split())
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd pre blockquote td th tr tbody thead caption figcaption hr address details summary option title center".split())
-SILENT = frozenset("script style noscript template svg iframe object canvas audio video select textarea button math".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 dt dd pre blockquote td th caption figcaption".split())
+SILENT = frozenset("script style noscript template svg iframe object canvas audio video select textarea button".split())
 OUTSIDE = frozenset("head nav header footer aside form menu dialog".split())
 #: Words of a class, id or role that tell a container of boilerplate.
 MARKS = frozenset(
@@ -34,10 +42,12 @@ MARKS = frozenset(
     "sidebar aside footer masthead topbar toolbar header comment comments respond replies disqus discussion share sharing social "
     "related recommended widget form search contentinfo complementary skip legal".split()
 )
-#: Share of a host's pages, and pages, that a class needs to count as frequent.
-MIN_SHARE, MIN_PAGES = 0.01, 2
 #: Elements that name the main text themselves.
 NAMED = frozenset(("article", "main"))
+#: A slot with less than one in SMALL of the largest one's text is main text only if it holds prose.
+SMALL = 4
+#: Token of a page's root, and of its path.
+ROOT = 0
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(sorted(SILENT)) + r""")\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</(?P=raw)\s*>|\Z)"""
@@ -45,8 +55,6 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-#: Digits of a text's hash in its token.
-HASH_CHARS = 16
 _DIGITS = re.compile(r"\d+")
 _SPLIT = re.compile(r"[^a-z]+")
 
@@ -56,9 +64,14 @@ def _label(name: str, rest: str) -> str:
     if "=" not in rest:
         return name
     found = [f"{k.lower()}={_DIGITS.sub('#', (a or b or c).strip().lower())}" for k, a, b, c in _NAMED.findall(rest)]
-    return name + "".join(f"[{f}]" for f in sorted(found)).replace("/", "_")
+    return name + "".join(f"[{f}]" for f in sorted(found))
 
 
+def _words(marks: str) -> list[str]:
+    return _SPLIT.split(marks.replace("class=", " ").replace("id=", " ").replace("role=", " "))
+
+
+@lru_cache(maxsize=100_000)
 def outside(label: str) -> bool:
     """Whether a container's element or marks say that it holds no main text."""
     name, _, marks = label.partition("[")
@@ -66,92 +79,126 @@ def outside(label: str) -> bool:
         return False  # their marks speak of the page's parts, not of themselves
     if name == "article":
         return "comment" in marks
-    return name in OUTSIDE or not MARKS.isdisjoint(_SPLIT.split(marks.replace("class=", " ").replace("id=", " ").replace("role=", " ")))
+    return name in OUTSIDE or not MARKS.isdisjoint(_words(marks))
 
 
+@lru_cache(maxsize=100_000)
 def _plain_form(label: str) -> bool:
     """Whether a form has no mark but that of being one."""
     name, _, marks = label.partition("[")
-    return name == "form" and (MARKS - {"form"}).isdisjoint(_SPLIT.split(marks.replace("class=", " ").replace("id=", " ").replace("role=", " ")))
-
-
-def _steps(path: str) -> list[tuple[str, str]]:
-    """(path, label) of each container around a text, the outermost first."""
-    out, at = [], ""
-    for label in path.split("/")[1:]:
-        at = f"{at}/{label}"
-        out.append((at, label))
-    return out
+    return name == "form" and (MARKS - {"form"}).isdisjoint(_words(marks))
 
 
-def inside(path: str, forms: frozenset[str] | None = frozenset()) -> bool:
-    """Whether no container of the path is boilerplate; ``forms`` are none, nor any plain form if it is None."""
-    return not any(outside(label) and not (_plain_form(label) if forms is None else at in forms) for at, label in _steps(path))
+def _hash(*parts) -> int:
+    return xxhash.xxh3_64_intdigest("|".join(map(str, parts)).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _is_named(path: str) -> bool:
-    return any(label.partition("[")[0] in NAMED for _, label in _steps(path))
-
-
-def enclosing_forms(chars: dict[str, int]) -> frozenset[str]:
-    """Paths of plain forms around the main text: around an article or main, without one around most of the text."""
-    held = {p: n for p, n in chars.items() if inside(p, None)}
-    named = [p for p in held if _is_named(p)]
-    out = set()
-    for form in {at for p in held for at, label in _steps(p) if _plain_form(label)}:
-        if named:
-            ok = any(p.startswith(form + "/") and _is_named(p[len(form) :]) for p in named)
-        else:
-            ok = 2 * sum(n for p, n in held.items() if p == form or p.startswith(form + "/")) > sum(held.values())
-        if ok:
-            out.add(form)
-    return frozenset(out)
+class Page:
+    """Containers and text blocks of a page, in page order.
 
+    ``boxes`` are (label, enclosing box), the page itself the first; ``blocks`` are (box, text, prose);
+    ``order`` tells them apart: n for box n, -1 - n for block n.
+    """
 
-def parse(page: str | None) -> tuple[list[tuple[str, int]], list[tuple[str, str]]]:
-    """(path, +1 or -1) of containers and (path, text) of text blocks, both in page order."""
-    containers, blocks, stack, held = [], [], [], []
-    path = ""
+    def __init__(self, html: str | None):
+        self.boxes: list[tuple[str, int]] = [("", -1)]
+        self.blocks: list[tuple[int, str, bool]] = []
+        self.order = [0]
+        held, stack, at, prose = [], [], 0, False
 
-    def flush():
-        if held:
+        def flush():
             text = " ".join(entities.unescape("".join(held)).split())
             held.clear()
             if text:
-                blocks.append((path, text))
-
-    for m in _TOKEN.finditer(page or ""):
-        text = m.group("text")
-        if text is not None:
-            held.append(text)
-            continue
-        name = m.group("name")
-        if name is None:
-            if m.group("raw"):
+                self.order.append(-1 - len(self.blocks))
+                self.blocks.append((at, text, prose))
+
+        for m in _TOKEN.finditer(html or ""):
+            text = m.group("text")
+            if text is not None:
+                held.append(text)
+                continue
+            name = m.group("name")
+            if name is None:
+                if m.group("raw"):
+                    held.append(" ")
+                continue
+            name = name.lower()
+            if name in CONTAINERS:
+                flush()
+                prose = False
+                if not m.group("close"):
+                    stack.append((name, at))
+                    self.boxes.append((_label(name, m.group("rest")), at))
+                    at = len(self.boxes) - 1
+                    self.order.append(at)
+                elif any(n == name for n, _ in stack):
+                    closed = None
+                    while closed != name:
+                        closed, at = stack.pop()
+            elif name in BLOCKS:
+                flush()
+                prose = name in PROSE and not m.group("close")
+            elif name == "br":
                 held.append(" ")
-            continue
-        name = name.lower()
-        if name in CONTAINERS:
-            flush()
-            if not m.group("close"):
-                stack.append((name, path))
-                path = f"{path}/{_label(name, m.group('rest'))}"
-                containers.append((path, 1))
-            elif any(n == name for n, _ in stack):
-                while True:
-                    containers.append((path, -1))
-                    closed, path = stack.pop()
-                    if closed == name:
-                        break
-        elif name in BLOCKS:
-            flush()
-        elif name == "br":
-            held.append(" ")
-    flush()
-    while stack:
-        containers.append((path, -1))
-        path = stack.pop()[1]
-    return containers, blocks
+        flush()
+
+    def open_to(self, forms: frozenset[int] | None) -> list[bool]:
+        """Whether each box lies in no boilerplate; ``forms`` are none, nor any plain form if it is None."""
+        out = [True]
+        for n, (label, up) in enumerate(self.boxes[1:], 1):
+            out.append(out[up] and (not outside(label) or (_plain_form(label) if forms is None else n in forms)))
+        return out
+
+    def named(self) -> list[bool]:
+        """Whether each box is or lies in an article or main."""
+        out = [False]
+        for label, up in self.boxes[1:]:
+            out.append(out[up] or label.partition("[")[0] in NAMED)
+        return out
+
+    def enclosing_forms(self, blocks: list[int]) -> frozenset[int]:
+        """Plain forms around an article or main, on a page without one those around most of the text of ``blocks``."""
+        free, forms = self.open_to(None), [n for n, (label, _) in enumerate(self.boxes) if _plain_form(label)]
+        if not forms:
+            return frozenset()
+        below = [free[n] and label.partition("[")[0] in NAMED for n, (label, _) in enumerate(self.boxes)]
+        chars = [0] * len(self.boxes)
+        for b in blocks:
+            box, text, _ = self.blocks[b]
+            if free[box]:
+                chars[box] += len(text)
+        for n in range(len(self.boxes) - 1, 0, -1):
+            below[self.boxes[n][1]] |= below[n]
+            chars[self.boxes[n][1]] += chars[n]
+        return frozenset(n for n in forms if (below[n] if below[0] else 2 * chars[n] > chars[0]))
+
+    def tokens(self) -> list[tuple]:
+        """(token, up, text, plain, chars, prose, named) of boxes and blocks in page order; ``up`` is a place in this list."""
+        token, plain, seen, place = [ROOT], [ROOT], defaultdict(int), [0] * len(self.boxes)
+        named, out = self.named(), [(ROOT, -1, False, ROOT, 0, 0, False)]
+        for n, (label, up) in enumerate(self.boxes[1:], 1):
+            seen[up, label] += 1
+            token.append(_hash(token[up], label, seen[up, label]))
+            plain.append(_hash(plain[up], label))
+        for n in self.order[1:]:
+            if n > 0:
+                place[n] = len(out)
+                out.append((token[n], place[self.boxes[n][1]], False, plain[n], 0, 0, named[n]))
+            else:
+                box, text, prose = self.blocks[-1 - n]
+                t = _hash("text", plain[box], text)
+                seen[t] += 1
+                out.append((_hash(t, seen[t]), place[box], True, plain[box], len(text), len(text) * prose, named[box]))
+        return out
+
+    def content(self) -> int:
+        """Hash of the text outside marked containers."""
+        free, own = self.open_to(None), xxhash.xxh3_64()
+        for box, text, _ in self.blocks:
+            if free[box]:
+                own.update(text.encode("utf-8", "surrogatepass") + b"\n")
+        return own.intdigest() - (1 << 63)
 
 
 def host_of(url: Column) -> Column:
@@ -159,170 +206,182 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-def _text_token(path: str, text: str) -> str:
-    return f"{path}|{xxhash.xxh3_64_hexdigest(text.encode('utf-8', 'surrogatepass'))}"
+def page_tokens(pages: DataFrame) -> DataFrame:
+    """(host, page, content, tokens) of every different page of ``pages`` (host and page as hashes, html)."""
+    fields = [("token", pa.int64()), ("up", pa.int32()), ("text", pa.bool_()), ("plain", pa.int64()), ("chars", pa.int32()), ("prose", pa.int32()), ("named", pa.bool_())]
+    entry = pa.list_(pa.struct(fields))
+
+    def run(batches):
+        for batch in batches:
+            for a, b in slices(pa.compute.binary_length(batch.column("html")).to_pylist(), 2_000_000):
+                part = batch.slice(a, b - a)
+                rows = [Page(x) for x in part.column("html").to_pylist()]
+                flat, ends = [], [0]
+                for r in rows:
+                    flat.extend(r.tokens())
+                    ends.append(len(flat))
+                items = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*flat), fields)], names=[n for n, _ in fields])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items).cast(entry)
+                yield pa.RecordBatch.from_arrays([part.column("host"), part.column("page"), pa.array([r.content() for r in rows], pa.int64()), lists], names=["host", "page", "content", "tokens"])
+
+    schema = "host long, page long, content long, tokens array<struct<token:long,up:int,text:boolean,plain:long,chars:int,prose:int,named:boolean>>"
+    return pages.select("host", "page", "html").mapInArrow(run, schema).dropDuplicates(["host", "page"])
 
 
-def _occurrences(pages: DataFrame) -> DataFrame:
-    """(host, kind, token, pages, vector, chars, low, high) summed over the pages of a batch; kinds: page, box, text.
+def classes(tokens: DataFrame) -> DataFrame:
+    """(host, token, class, pages, text, plain, chars, named, low, high) of tokens on two pages and more.
 
-    ``low`` and ``high`` are the least and greatest hash of the unmarked text of the pages that have the token.
+    Tokens of one class stand on the same pages; ``low`` and ``high`` are the least and greatest content of these.
     """
+    rows = tokens.select("host", "page", "content", F.explode("tokens").alias("t")).select("host", "page", "content", "t.*")
+    kept = [F.min(c).alias(c) for c in ("text", "plain", "chars", "named")]
+    one = rows.groupBy("host", "token").agg(F.count("*").alias("pages"), F.bit_xor(F.xxhash64("page")).alias("vector"), F.min("content").alias("low"), F.max("content").alias("high"), *kept)
+    return one.where("pages > 1").withColumn("class", F.xxhash64("host", "pages", "vector")).drop("vector")
 
-    def run(batches):
-        known: dict[str, bool] = {}
-        for batch in batches:
-            sums = defaultdict(lambda: [0, 0, 0, M64 >> 1, -1 << 63])
-            columns = [batch.column(c).to_pylist() for c in ("host", "page_key", "html")]
-            for host, key, page in zip(*columns):
-                containers, blocks = parse(page)
-                count, chars, own = defaultdict(int), defaultdict(int), xxhash.xxh3_64()
-                count["page", ""] = 1
-                for path, side in containers:
-                    count["box", path if side > 0 else path + "/"] += 1
-                for path, text in blocks:
-                    ok = known.get(path)
-                    if ok is None:
-                        if len(known) >= 100_000:
-                            known.clear()
-                        ok = known[path] = inside(path, None)
-                    chars["box", path] += len(text)
-                    if ok:
-                        token = _text_token(path, text)
-                        count["text", token] += 1
-                        chars["text", token] += len(text)
-                        own.update(text.encode("utf-8", "surrogatepass") + b"\n")
-                content = own.intdigest() - (1 << 63)
-                for token, n in count.items():
-                    row = sums[(host, *token)]
-                    row[0] += 1
-                    row[1] ^= xxhash.xxh3_64_intdigest(f"{key}:{n}")
-                    row[2] += chars.get(token, 0)
-                    row[3], row[4] = min(row[3], content), max(row[4], content)
-            rows = [(*k, v[0], v[1] - (1 << 64 if v[1] >> 63 else 0), *v[2:]) for k, v in sums.items()]
-            names = ["host", "kind", "token", "pages", "vector", "chars", "low", "high"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string() if i < 3 else pa.int64()) for i in range(len(names))], names=names)
-
-    return pages.mapInArrow(run, "host string, kind string, token string, pages long, vector long, chars long, low long, high long")
-
-
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, main, forms, texts) of the hosts that have a template, see ``deduced``.
-
-    ``pages`` has host, page_key (one of each page) and html. What meets in one row of a host are the
-    containers of frequent classes and the frequent texts of more than one page, both no more than
-    1 / MIN_SHARE times those of a page. A text whose pages all read alike is no template's: they are copies.
+
+def template_texts(tokens: DataFrame, often: DataFrame) -> DataFrame:
+    """(host, token, class) of the text blocks that are a template's own.
+
+    They stand on more than half of the pages that have their container; in an article or main, which says
+    itself that it holds no boilerplate, on every page of the host, and together they are less than half of
+    the container's text. Texts whose pages all read alike are copies and prove no template.
     """
-    one = _occurrences(pages).groupBy("host", "kind", "token").agg(
-        F.sum("pages").alias("pages"), F.expr("bit_xor(vector)").alias("vector"), F.sum("chars").alias("chars"), F.min("low").alias("low"), F.max("high").alias("high"))
-    one = staged(one, "tokens")
-    whole = one.where("kind = 'page'").select("host", F.col("pages").alias("all"))
-    boxes = one.where("kind = 'box'")
-    size = boxes.groupBy("host", "pages", "vector").agg(F.count("*").alias("size"))
-    often = (F.col("pages") >= MIN_PAGES) & (F.col("pages") >= MIN_SHARE * F.col("all"))
-    frequent = (
-        boxes.join(size, ["host", "pages", "vector"]).join(whole, "host").where((F.col("size") >= 2) & often)
-        .groupBy("host").agg(F.first("all").alias("all"), F.collect_list(F.struct("token", "pages", "chars")).alias("boxes"))
-    )
-    texts = (
-        one.where((F.col("kind") == "text") & (F.col("pages") >= MIN_PAGES) & (F.col("low") < F.col("high"))).join(whole, "host").where(often)
-        .groupBy("host").agg(F.first("all").alias("_all"), F.collect_list(F.struct("token", "pages", "chars")).alias("texts"))
-    )
-    both = frequent.join(texts, "host", "full").select("host", F.coalesce("all", "_all").alias("all"), "boxes", "texts")
+    inner = tokens.select("host", F.explode(F.array_distinct(F.transform(F.filter("tokens", lambda t: ~t["text"]), lambda t: t["plain"]))).alias("plain"))
+    holders = inner.groupBy("host", "plain").agg(F.count("*").alias("holders"))
+    held = tokens.select("host", F.explode(F.filter("tokens", lambda t: t["text"] & t["named"])).alias("t")).groupBy("host", F.col("t.plain").alias("plain")).agg(F.sum("t.chars").alias("held"))
+    whole = often.where(F.col("token") == ROOT).select("host", F.col("pages").alias("all"))
+    texts = often.where("text and low < high").join(holders, ["host", "plain"]).join(whole, "host")
+    texts = texts.where("if(named, pages = all, 2 * pages > holders)").join(held, ["host", "plain"], "left")
+    own = F.sum(F.col("pages") * F.col("chars")).over(Window.partitionBy("host", "plain"))
+    return texts.withColumn("own", own).where("not named or 2 * own < held").select("host", "token", "class")
+
+
+def _page_slots(host: int, tokens: list[dict], marks: dict[int, int]) -> list[tuple]:
+    """(id, sig, box, class, blocks, chars, prose) of a page's slots, and (class, order of its tokens) of its classes.
+
+    ``marks`` are the classes of the template's tokens by their place.
+    """
+    home, last, order, slots, block = [0] * len(tokens), {}, defaultdict(list), {}, 0
+    for at, t in enumerate(tokens):
+        up = home[t["up"]] if at else 0
+        own = marks.get(at)
+        if not t["text"]:
+            home[at] = at if own is not None else up
+        if own is not None:
+            order[own].append(t["token"])
+            if at:
+                last[up] = t["token"]
+        elif t["text"]:
+            slot = slots.setdefault((up, last.get(up, ROOT)), [[], 0, 0])
+            slot[0].append(block)
+            slot[1] += t["chars"]
+            slot[2] += t["prose"]
+        block += t["text"]
+    out = [(_hash(host, tokens[box]["token"], after), None, box, marks.get(box), *s) for (box, after), s in slots.items()]
+    return out + [(c, _hash(*o), None, None, None, 0, 0) for c, o in order.items() if len(o) > 1]
+
+
+def page_slots(tokens: DataFrame, marks: DataFrame) -> DataFrame:
+    """(host, page, id, sig, box, class, blocks, chars, prose) of slots and, with a ``sig``, of classes, page by page."""
+    placed = tokens.select("host", "page", F.posexplode(F.transform("tokens", lambda t: t["token"])).alias("at", "token")).join(marks, ["host", "token"])
+    placed = placed.groupBy("host", "page").agg(F.collect_list(F.struct("at", "class")).alias("marks"))
+    names = [("host", pa.int64()), ("page", pa.int64()), ("id", pa.int64()), ("sig", pa.int64()), ("box", pa.int32()), ("class", pa.int64()), ("blocks", pa.list_(pa.int32())), ("chars", pa.int64()), ("prose", pa.int64())]
 
     def run(batches):
         for batch in batches:
-            found = [deduced(r["all"], r["boxes"] or [], r["texts"] or []) for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), *[pa.array([sorted(f[i]) for f in found], pa.list_(pa.string())) for i in range(3)]], names=["host", "main", "forms", "texts"])
+            for at in range(0, batch.num_rows, 256):
+                rows = []
+                for r in batch.slice(at, 256).to_pylist():
+                    marks = {m["at"]: m["class"] for m in r["marks"] or []}
+                    rows += [(r["host"], r["page"], *s) for s in _page_slots(r["host"], r["tokens"], marks)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, (_, t) in enumerate(names)], names=[n for n, _ in names])
 
-    return both.mapInArrow(run, "host string, main array<string>, forms array<string>, texts array<string>")
+    schema = "host long, page long, id long, sig long, box int, class long, blocks array<int>, chars long, prose long"
+    return tokens.join(placed, ["host", "page"], "left").select("host", "page", "tokens", "marks").mapInArrow(run, schema)
 
 
-def deduced(pages: int, boxes: list[dict], texts: list[dict]) -> tuple[set[str], frozenset[str], set[str]]:
-    """Outermost article or main containers, forms around the main text, and own texts of a host's template.
+def slots(pages: DataFrame) -> DataFrame:
+    """(host, page, slots) of every page: its slots with their mean text over the host's pages.
 
-    Texts are its own if they stand on more than half of the pages that have their container; in an
-    article or main, which says itself that it holds no boilerplate, if they stand on every page of the
-    host and are together less than half of the container's text.
-    """
-    opened = {b["token"]: b for b in boxes if not b["token"].endswith("/")}
-    own, held = defaultdict(dict), {t: b["chars"] for t, b in opened.items()}
-    for t in texts:
-        path = t["token"][: -HASH_CHARS - 1]
-        of = opened[path]["pages"] if path in opened else pages if not path else None
-        if of is not None and (t["pages"] == pages if _is_named(path) else 2 * t["pages"] > of):
-            own[path][t["token"]] = t["chars"]
-    for path in list(own):
-        total = sum(own[path].values())
-        if _is_named(path) and 2 * total >= held[path]:
-            del own[path]
-        elif path in held:
-            held[path] -= total
-    forms = enclosing_forms(held)
-    named = [t for t in opened if t.rsplit("/", 1)[-1].partition("[")[0] in NAMED and inside(t, forms)]
-    return {t for t in named if not any(t.startswith(o + "/") for o in named)}, forms, {t for of in own.values() for t in of}
-
-
-def extract(page: str | None, main: set[str], forms: frozenset[str], texts: set[str]) -> str:
-    """Blocks of the page in its main containers that are neither boilerplate nor template text, one a line.
-
-    A page without the host's main containers falls back on its own article or main, else on all of it.
-    A form that encloses this page's own main text is no boilerplate either.
+    ``pages`` has host, page and html. Each slot has the page's ``blocks`` in it, its ``box``, ``chars`` and ``prose``
+    (means over the pages that have the slot); entries with ``valid`` say of a class whether it is.
     """
-    containers, blocks = parse(page)
-    opened = {p for p, side in containers if side > 0}
-    if any("/form" in p for p in opened):
-        chars = dict.fromkeys(opened, 0)
-        for path, text in blocks:
-            if not (texts and _text_token(path, text) in texts):
-                chars[path] = chars.get(path, 0) + len(text)
-        forms = forms | enclosing_forms(chars)
-    main = {m for m in main if m in opened}
-    if not main:
-        main = {p for p in opened if p.rsplit("/", 1)[-1].partition("[")[0] in NAMED and inside(p, forms)}
-    known: dict[str, bool] = {}
-    out = []
-    for path, text in blocks:
-        ok = known.get(path)
-        if ok is None:
-            ok = (not main or any(path == m or path.startswith(m + "/") for m in main)) and inside(path, forms)
-            known[path] = ok
-        if ok and not (texts and _text_token(path, text) in texts):
-            out.append(text)
-    return "\n".join(out)
+    tokens = staged(page_tokens(pages), "page-tokens")
+    often = staged(classes(tokens), "classes")
+    marks = staged(often.where("not text").select("host", "token", "class").unionByName(template_texts(tokens, often)), "template")
+    own = staged(page_slots(tokens, marks), "slots")
+    sums = own.groupBy("id").agg(F.count("*").alias("_pages"), F.min("sig").alias("_low"), F.max("sig").alias("_high"), F.sum("chars").alias("_chars"), F.sum("prose").alias("_prose"))
+    entry = F.struct("id", "box", "class", "blocks", (F.col("_low") == F.col("_high")).alias("valid"), (F.col("_chars") / F.col("_pages")).alias("chars"), (F.col("_prose") / F.col("_pages")).alias("prose"))
+    return own.join(sums, "id").groupBy("host", "page").agg(F.collect_list(entry).alias("slots"))
+
+
+def main_blocks(page: Page, found: list[dict]) -> list[int]:
+    """Numbers of the blocks that are the page's main text, in page order, from its slots."""
+    invalid = {s["id"] for s in found if s["valid"] is False}
+    merged: dict[tuple, list] = {}
+    for s in found:
+        if s["blocks"]:
+            slot = merged.setdefault((s["box"], None if s["class"] in invalid else s["id"]), [[], 0.0, 0.0])
+            slot[0] += s["blocks"]
+            slot[1] += s["chars"]
+            slot[2] += s["prose"]
+    every = [b for s in merged.values() for b in s[0] if b < len(page.blocks)]
+    free, named = page.open_to(page.enclosing_forms(every)), page.named()
+    weighed = []
+    for blocks, chars, prose in merged.values():
+        kept = [b for b in blocks if b < len(page.blocks) and free[page.blocks[b][0]]]
+        if kept:
+            weighed.append((prose + (chars - prose) / SMALL, chars, prose, kept))
+    if not weighed:
+        return []
+    top = max(weighed)
+    inside = [(w, [b for b in kept if named[page.blocks[b][0]]]) for w, _, _, kept in weighed]
+    if SMALL * sum(w for w, kept in inside if kept) >= top[0] and any(kept for _, kept in inside):
+        return sorted(b for _, kept in inside for b in kept)
+    return sorted(b for _, chars, prose, kept in weighed if SMALL * chars >= top[1] or 2 * prose >= chars for b in kept)
+
+
+def extract(html: str | None, found: list[dict]) -> str:
+    """Main text of a page from its slots, one block a line."""
+    page = Page(html)
+    return "\n".join(page.blocks[b][1] for b in main_blocks(page, found))
+
+
+def _frames(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``html`` as a zstandard frame: pages cross the network once."""
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            for a, b in slices(pa.compute.binary_length(batch.column("html")).to_pylist(), 4_000_000):
+                part = batch.slice(a, b - a)
+                frames = [None if x is None else pack(x.encode("utf-8", "surrogatepass")) for x in part.column("html").to_pylist()]
+                yield part.set_column(part.schema.get_field_index("html"), "html", pa.array(frames, pa.binary()))
+
+    return rows.mapInArrow(run, "page_id long, url string, host long, page long, html binary")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages`` (page_id, url, html); other columns are ignored.
 
-    A null or empty page has an empty text. Pages without a host are one host. Rows repeated count as one
-    page each in their host's template. A host with one page (or with copies of one only) has no template text:
-    such a page gives its article or main, without one all its text outside marked containers. Where most
-    pages that have a container are edits of one text, what they share is taken for the template's. Character references are decoded, white space inside a block is
-    one space, blocks stand in page order, one a line.
+    A null or empty page has an empty text. Pages without a host are one host. Rows repeated wholly are one
+    page of their host's template, and each has its text. A host with one page (or with copies of one only) has no
+    template: such a page gives its article or main, without one all its text outside marked containers. Where most
+    pages that have a container are edits of one text, what they share is taken for the template's. Character
+    references are decoded, white space inside a block is one space, blocks stand in page order, one a line.
+    Hosts, pages of a host and tokens are compared by 64-bit hashes.
     """
-    rows = pages.select("page_id", "url", "html").withColumn("host", host_of(F.col("url")))
-    keyed = rows.select("host", F.concat_ws(":", F.col("page_id").cast("string"), F.xxhash64("url", "html").cast("string")).alias("page_key"), "html")
-    found = templates(keyed)
-    both = rows.join(found, "host", "left").select("page_id", "url", "html", "host", "main", "forms", "texts")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.xxhash64(host_of(F.col("url"))).alias("host"), F.xxhash64("page_id", "url", "html").alias("page"), "html")
+    found = staged(slots(rows), "main-slots")
+    both = _frames(rows).join(found, ["host", "page"], "left").select("page_id", "url", "html", "slots")
 
     def run(batches):
-        cache: dict = {}
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for a, b in slices(pa.compute.binary_length(batch.column("html")).to_pylist(), 4_000_000):
-                part = batch.slice(a, b - a)
-                hosts, own = part.column("host").to_pylist(), part.column("html").to_pylist()
-                out = []
-                for i, (host, page) in enumerate(zip(hosts, own)):
-                    if host not in cache:
-                        if len(cache) >= 256:
-                            cache.clear()
-                        main, forms, texts = (frozenset(part.column(c)[i].as_py() or []) for c in ("main", "forms", "texts"))
-                        cache[host] = main, forms, texts
-                    out.append(extract(page, *cache[host]))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("page_id"), part.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())],
-                    names=["page_id", "url", "text", "n_chars"],
-                )
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                pairs = zip(part.column("html").to_pylist(), part.column("slots").to_pylist())
+                out = [extract(h and unpack(h).decode("utf-8", "surrogatepass"), s or []) for h, s in pairs]
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return both.mapInArrow(run, "page_id long, url string, text string, n_chars long")
