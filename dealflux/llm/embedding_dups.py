@@ -52,12 +52,15 @@ def estimates(packed: np.ndarray, factor: np.ndarray, turned: np.ndarray) -> np.
     return (signs @ turned.astype(np.float32).T) / (np.sqrt(dim) * factor[:, None]).astype(np.float32)
 
 
-def linked_pairs(a: np.ndarray, b: np.ndarray | None, threshold: float = THRESHOLD):
-    """Index pairs of rows of ``a`` and ``b`` (or of ``a`` with itself, each once) with cosine >= threshold."""
+def linked_pairs(a: np.ndarray, b: np.ndarray | None, coded: tuple[np.ndarray, np.ndarray, np.ndarray], threshold: float = THRESHOLD):
+    """Index pairs of rows of ``a`` and ``b`` (or of ``a`` with itself, each once) with cosine >= threshold.
+
+    ``coded`` are the stored codes, correction factors and error widths of ``a``.
+    """
     ua = a / np.linalg.norm(a, axis=1, keepdims=True)
     ub = ua if b is None else b / np.linalg.norm(b, axis=1, keepdims=True)
-    packed, factor, error, _ = codes(ua)
-    turned = codes(ub)[3]
+    packed, factor, error = coded
+    turned = ub @ rotation(ub.shape[1]).T
     for i in range(0, len(a), TILE):
         for j in range(0 if b is not None else i, len(ub), TILE):
             likely = estimates(packed[i : i + TILE], factor[i : i + TILE], turned[j : j + TILE]) + error[i : i + TILE, None] >= threshold
@@ -88,7 +91,12 @@ def _cell():
             return i
 
         edges = []
-        found = linked_pairs(vec[left], None if first == second else vec[right]) if len(left) and len(right) else ()
+        found = ()
+        if len(left) and len(right):
+            mine = rows.take(pa.array(left))
+            packed = np.frombuffer(b"".join(mine.column("code").to_pylist()), np.uint8).reshape(len(left), -1)
+            coded = packed, mine.column("factor").to_numpy(), mine.column("error").to_numpy()
+            found = linked_pairs(vec[left], None if first == second else vec[right], coded)
         for x, y in found:
             x, y = left[x], right[y]
             np.add.at(count, x, copies[y])
@@ -133,6 +141,24 @@ def _points(vectors: DataFrame) -> DataFrame:
     return vectors.mapInArrow(run, "vec_id long, label string, dim int, node long, vec binary")
 
 
+def coded(points: DataFrame) -> DataFrame:
+    """``points`` (label, dim, node, vec, copies) with their codes, correction factors and error widths."""
+
+    def run(batches):
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            code, factor, error = [None] * len(dims), np.zeros(len(dims)), np.zeros(len(dims))
+            for dim in np.unique(dims):
+                at = np.flatnonzero(dims == dim)
+                vec = np.frombuffer(b"".join(batch.column("vec").take(pa.array(at)).to_pylist()), np.float64).reshape(len(at), dim)
+                packed, factor[at], error[at], _ = codes(vec / np.linalg.norm(vec, axis=1, keepdims=True))
+                for i, c in zip(at.tolist(), packed):
+                    code[i] = c.tobytes()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code, pa.binary()), pa.array(factor), pa.array(error)], names=[*batch.schema.names, "code", "factor", "error"])
+
+    return points.mapInArrow(run, "label string, dim int, node long, vec binary, copies long, code binary, factor double, error double")
+
+
 def near_duplicates(vectors: DataFrame, block_points: int = BLOCK_POINTS) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding, label).
 
@@ -143,13 +169,15 @@ def near_duplicates(vectors: DataFrame, block_points: int = BLOCK_POINTS) -> Dat
     """
     rows = staged(_points(vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))), "vectors")
     points = rows.where("node is not null").groupBy("label", "dim", "node").agg(F.min("vec").alias("vec"), F.count("*").alias("copies"))
-    points = staged(points, "points")
+    points = staged(coded(points), "points")
     sizes = points.groupBy("label", "dim").agg(F.ceil(F.count("*") / block_points).cast("int").alias("blocks"))
     placed = points.join(sizes, ["label", "dim"]).withColumn("mine", F.pmod("node", F.col("blocks")).cast("int"))
     # A block meets every block of its label, itself included, in one cell each.
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.withColumn("first", F.least("mine", "other")).withColumn("second", F.greatest("mine", "other"))
-    cells = placed.select("label", "dim", "first", "second", "mine", "node", "copies", "vec").groupBy("label", "dim", "first", "second")
+    # Codes travel with the side that is estimated; vectors with both, since survivors are computed where they meet.
+    stored = [F.when(F.col("mine") == F.col("first"), F.col(c)).alias(c) for c in ("code", "factor", "error")]
+    cells = placed.select("label", "dim", "first", "second", "mine", "node", "copies", "vec", *stored).groupBy("label", "dim", "first", "second")
     found = staged(cells.applyInArrow(_cell(), "node long, links long, other long"), "links")
     label = components(found.where("other is not null").select("node", "other"), "node", "other").withColumnRenamed("label", "_component")
     links = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))

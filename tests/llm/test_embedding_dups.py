@@ -60,3 +60,17 @@ def test_long_labels_are_told_apart_by_their_ends(spark):
     rows = [(i, [1.0, 2.0], "x" * 64 + str(i % 2)) for i in range(4)]
     got = E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(0, 1, 0), (1, 1, 1), (2, 1, 0), (3, 1, 1)]
+
+
+@pytest.mark.parametrize("dim", [16, 64, 128])
+def test_no_link_near_the_threshold_is_missed(dim):
+    rng = np.random.default_rng(dim)
+    a = rng.normal(size=(1200, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    side = rng.normal(size=a.shape)
+    side -= (side * a).sum(axis=1, keepdims=True) * a
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = rng.uniform(0.91, 0.95, len(a))[:, None]
+    b = cosine * a + np.sqrt(1 - cosine**2) * side
+    found = {(x, y) for xs, ys in E.linked_pairs(a, b, E.codes(a)[:3]) for x, y in zip(xs.tolist(), ys.tolist())}
+    assert found == set(zip(*(i.tolist() for i in np.nonzero(a @ b.T >= E.THRESHOLD))))
