@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from dealflux.catalog.registry import query
 from dealflux.functions.vocab import ARROW
 from dealflux.operators import activity as A
+from dealflux.operators import distinct_sets as D
 from dealflux.operators import filters as flt
 from dealflux.operators import sequences as Q
 from dealflux.operators import sessions as S
 from dealflux.plans import kernels as K
 from dealflux.plans.ordered import sessionize
+from dealflux.session import cut
 
 BLACKLIST = ["error"]
 FUNNELS = {
@@ -449,6 +451,18 @@ def _(t):
     return A.country_metrics(t.web_events)
 
 
+@query("agg_distinct_rollup", """
+  SELECT 'country' AS scope, country, count(DISTINCT user_id) AS users, count(DISTINCT session_id) AS sessions
+  FROM web_events GROUP BY country
+  UNION ALL SELECT 'all', NULL, count(DISTINCT user_id), count(DISTINCT session_id) FROM web_events""")
+def _(t):
+    names = {"user_id": "users", "session_id": "sessions"}
+    sets = cut(D.rollup(t.web_events, ["country"], list(names)))
+    by = D.counts(sets, ["country"], names).withColumn("scope", F.lit("country"))
+    whole = D.counts(sets, [], names).withColumns({"scope": F.lit("all"), "country": F.lit(None).cast("string")})
+    return by.unionByName(whole).select("scope", "country", "users", "sessions")
+
+
 @query("agg_region_by_country", """SELECT country, region, count(*) AS events FROM web_events GROUP BY 1, 2
   ORDER BY events DESC, country, region LIMIT 10""")
 def _(t):

@@ -18,16 +18,18 @@ TS = "event_time"
 def overview(df: DataFrame, *, approx: bool = False) -> DataFrame:
     """Rows, distinct users, sessions, types, countries and cities, time range, events per user.
 
-    Exact distinct counts expand each row once per counted column before the partial
-    aggregation; ``approx`` uses one small sketch per column in a single pass.
+    Exact distinct counts expand rows once per counted column, so equal rows are summed up first;
+    ``approx`` uses one small sketch per column in a single pass.
     """
     distinct = F.approx_count_distinct if approx else F.count_distinct
-    whole = df.agg(
-        F.count(F.lit(1)).alias("events"),
+    counted = ["user_id", "session_id", "event_type", "country", "city"]
+    rows = df.groupBy(*counted).agg(F.count(F.lit(1)).alias("_n"), F.min(TS).alias("_first"), F.max(TS).alias("_last"))
+    whole = rows.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("events"),
         *[distinct(c).alias(n) for n, c in [
             ("users", "user_id"), ("sessions", "session_id"), ("event_types", "event_type"),
             ("countries", "country"), ("cities", "city")]],
-        F.min(TS).alias("first_time"), F.max(TS).alias("last_time"),
+        F.min("_first").alias("first_time"), F.max("_last").alias("last_time"),
     )
     return whole.withColumn("events_per_user", C.ratio("events", "users"))
 
@@ -84,8 +86,9 @@ def peak_hours_by_weekday(df: DataFrame, top: int = 3) -> DataFrame:
 
 def country_metrics(df: DataFrame) -> DataFrame:
     """Events, sessions and users per country (null country kept)."""
-    return df.groupBy("country").agg(
-        F.count(F.lit(1)).alias("events"), F.count_distinct("session_id").alias("sessions"), F.count_distinct("user_id").alias("users")
+    rows = df.groupBy("country", "session_id", "user_id").agg(F.count(F.lit(1)).alias("_n"))
+    return rows.groupBy("country").agg(
+        F.sum("_n").alias("events"), F.count_distinct("session_id").alias("sessions"), F.count_distinct("user_id").alias("users")
     )
 
 
@@ -101,9 +104,8 @@ def usage(df: DataFrame, column: str) -> DataFrame:
 
 def city_metrics(df: DataFrame, top: int = 20) -> DataFrame:
     """Users, sessions, events and their ratios for the busiest cities."""
-    m = K.aggregate_by(
-        df, ["city"], users=F.count_distinct("user_id"), sessions=F.count_distinct("session_id"), events=F.count(F.lit(1))
-    )
+    rows = K.present(df, "city").groupBy("city", "user_id", "session_id").agg(F.count(F.lit(1)).alias("_n"))
+    m = rows.groupBy("city").agg(F.count_distinct("user_id").alias("users"), F.count_distinct("session_id").alias("sessions"), F.sum("_n").alias("events"))
     m = m.withColumns({"events_per_user": C.ratio("events", "users"), "sessions_per_user": C.ratio("sessions", "users")})
     return K.top_k(m, top, F.desc("events"), F.asc("city"))
 
