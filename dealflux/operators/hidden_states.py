@@ -6,6 +6,9 @@ a scan over each session's matrices, and sums (or paths) per segment given its e
 and down a tree: runs of ``WIDTH`` matrices are multiplied, their products again, until a session has
 one run; then every run learns its ends from the run above. So one long session is many tasks. Spark
 moves the segments and adds up the sums; the driver only holds K x K parameters.
+
+A fit first puts the segments of short sessions together and counts equal ones: its rounds read every
+different sequence once, with its weight, and only sessions of more than ``WHOLE`` events are scanned.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from dealflux.session import cut
 FLOOR = 1e-3
 #: Matrices of a session that one task multiplies or scans.
 WIDTH = 64
+#: Sessions of up to this many events are one sequence each in a fit.
+WHOLE = 4096
 
 
 @dataclass
@@ -230,7 +235,7 @@ def longest_session(segs: DataFrame) -> int:
 
 
 def expectation(h: Hidden):
-    """Summed sufficient statistics of each batch of segments, one row per batch."""
+    """Summed sufficient statistics of each batch of segments, one row per batch; ``weight`` counts equal segments."""
     k = len(h.mean)
 
     def run(batches):
@@ -238,36 +243,36 @@ def expectation(h: Hidden):
             s = {"start": np.zeros(k), "trans": np.zeros((k, k)), "w": np.zeros(k), "x": np.zeros(k), "xx": np.zeros(k), "ll": 0.0}
             for rows, block, lengths in padded(pdf.obs.values):
                 b = densities(block, h)
-                first = pdf["first"].values[rows]
+                first, weight = pdf["first"].values[rows], pdf.weight.values[rows].astype(float)
                 enter = np.stack([h.start if e is None else np.asarray(e) for e in pdf.enter.values[rows]])
                 after = np.stack([np.ones(k) if e is None else np.asarray(e) for e in pdf.after.values[rows]])
                 n = block.shape[1]
                 alpha, beta = np.zeros((len(rows), n, k)), np.zeros((len(rows), n, k))
                 prior = np.where(first[:, None], enter, enter @ h.trans)
                 alpha[:, 0], c = norm(prior * b[:, 0])
-                s["ll"] += np.log(c).sum()
+                s["ll"] += (weight * np.log(c)).sum()
                 for t in range(1, n):
                     live = t < lengths
                     step, c = norm((alpha[:, t - 1] @ h.trans) * b[:, t])
                     alpha[:, t] = np.where(live[:, None], step, alpha[:, t - 1])
-                    s["ll"] += np.log(c[live]).sum()
+                    s["ll"] += (weight[live] * np.log(c[live])).sum()
                 beta[:, n - 1] = after
                 for t in range(n - 2, -1, -1):
                     step, _ = norm((b[:, t + 1] * beta[:, t + 1]) @ h.trans.T)
                     beta[:, t] = np.where((t + 1 < lengths)[:, None], step, after)
-                gamma = norm(alpha * beta)[0] * (np.arange(n)[None] < lengths[:, None])[:, :, None]
+                gamma = norm(alpha * beta)[0] * (weight[:, None] * (np.arange(n)[None] < lengths[:, None]))[:, :, None]
                 s["start"] += gamma[first, 0].sum(0)
                 s["w"] += gamma.sum((0, 1))
                 s["x"] += (gamma * block[:, :, None]).sum((0, 1))
                 s["xx"] += (gamma * block[:, :, None] ** 2).sum((0, 1))
                 ahead = b * beta
-                moves = [(enter[~first], ahead[~first, 0])] + [
-                    (alpha[t < lengths, t - 1], ahead[t < lengths, t]) for t in range(1, n)
+                moves = [(enter[~first], ahead[~first, 0], weight[~first])] + [
+                    (alpha[t < lengths, t - 1], ahead[t < lengths, t], weight[t < lengths]) for t in range(1, n)
                 ]
-                for left, right in moves:
+                for left, right, times in moves:
                     xi = left[:, :, None] * h.trans[None] * right[:, None, :]
                     total = xi.sum((1, 2), keepdims=True)
-                    s["trans"] += (xi / np.where(total > 0, total, 1)).sum(0)
+                    s["trans"] += (xi * (times[:, None, None] / np.where(total > 0, total, 1))).sum(0)
             flat = np.concatenate([s["start"], s["trans"].ravel(), s["w"], s["x"], s["xx"], [s["ll"]]])
             yield pd.DataFrame({"i": np.arange(len(flat)), "v": flat})
 
@@ -287,6 +292,22 @@ def with_ends(segs: DataFrame, h: Hidden, longest: int) -> DataFrame:
     return whole.unionByName(split.join(ends, ["session_id", "number"]))
 
 
+def sequences(segs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Different sequences of sessions of up to ``WHOLE`` events with their weights, and the segments of longer sessions.
+
+    Both are stored. Equal sequences give equal sums, so a round over the first table costs as much as it has rows.
+    """
+    sized = segs.join(segs.groupBy("session_id").agg(F.sum(F.size("obs")).alias("_events")), "session_id")
+    parts = F.sort_array(F.collect_list(F.struct("number", "obs")))
+    short = sized.where(F.col("_events") <= WHOLE).groupBy("session_id").agg(F.flatten(parts.getField("obs")).alias("obs"))
+    known = short.groupBy("obs").agg(F.count(F.lit(1)).alias("weight"))
+    # Dealt evenly: the rows are few and small, but every round works on them.
+    dealt = known.repartition(segs.sparkSession.sparkContext.defaultParallelism)
+    none = F.lit(None).cast("array<double>")
+    weighted = dealt.select("obs", F.lit(True).alias("first"), "weight", none.alias("enter"), none.alias("after"))
+    return cut(weighted), cut(sized.where(F.col("_events") > WHOLE).drop("_events"))
+
+
 def initial(segs: DataFrame, states: int) -> Hidden:
     """Means spread evenly over the code range, one common variance, sticky transitions."""
     r = segs.select(F.explode("obs").alias("x")).agg(F.min("x"), F.max("x"), F.var_pop("x")).first()
@@ -299,13 +320,20 @@ def initial(segs: DataFrame, states: int) -> Hidden:
 def fit(segs: DataFrame, *, states: int = 5, max_iter: int = 100, tol: float = 1e-2) -> Hidden:
     """Expectation-maximisation until the log-likelihood gains less than ``tol``.
 
-    ``segs`` should be persisted or checkpointed by the caller; every round reads it once.
+    ``segs`` should be persisted or checkpointed by the caller; rounds read the sequences made of it.
     """
     h = initial(segs, states)
-    k, longest = states, longest_session(segs)
+    whole, long = sequences(segs)
+    k, longest, size = states, longest_session(long), 4 * states + states**2 + 1
     for _ in range(max_iter):
-        sums = with_ends(segs, h, longest).mapInPandas(expectation(h), "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
-        flat = np.array([r.v for r in sums.orderBy("i").collect()])
+        read = whole
+        if longest:
+            ended = with_ends(long, h, longest).withColumn("weight", F.lit(1).cast("long"))
+            read = whole.unionByName(ended.select(*whole.columns))
+        sums = read.mapInPandas(expectation(h), "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
+        flat = np.zeros(size)
+        for r in sums.collect():
+            flat[r.i] = r.v
         start, trans, rest = flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k :]
         w, x, xx, ll = rest[:k], rest[k : 2 * k], rest[2 * k : 3 * k], float(rest[3 * k])
         history = [*h.loglik, ll]

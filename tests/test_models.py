@@ -44,6 +44,26 @@ def test_hidden_states_do_not_depend_on_segments(spark, chains):
     assert np.mean([paths[0][k] == truth[k] for k in truth]) > 0.97
 
 
+def test_equal_sessions_are_one_weighted_sequence(spark, monkeypatch):
+    """A fit reads different sequences only; it equals the fit over every session's segments, long sessions included."""
+    kinds = [[0, 0, 1, 4], [4, 4, 3, 4, 0], [1], [0, 1] * 20]
+    rows = [
+        (1000 * s + i, f"s{s}", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=40 * i + 7 * s), float(c))
+        for s in range(60) for i, c in enumerate(kinds[min(s % 5, 3)])
+    ]
+    segs = H.segments(spark.createDataFrame(rows, "event_id long, session_id string, event_time timestamp, code double"), "code").persist()
+    assert segs.count() > 60
+    whole, long = H.sequences(segs)
+    assert sorted((len(r.obs), r.weight) for r in whole.collect()) == [(1, 12), (4, 12), (5, 12), (40, 24)] and long.count() == 0
+    fits = []
+    for events in (4096, 10, 0):
+        monkeypatch.setattr(H, "WHOLE", events)
+        h = H.fit(segs, states=2, max_iter=4, tol=0)
+        fits.append(np.concatenate([h.start, h.trans.ravel(), h.mean, h.var, h.loglik]))
+    assert H.sequences(segs)[0].count() == 0
+    assert np.allclose(fits[0], fits[1], rtol=1e-9) and np.allclose(fits[0], fits[2], rtol=1e-9)
+
+
 @pytest.mark.parametrize("width", [2, 3, 64])
 def test_one_session_of_many_segments_is_many_runs(spark, monkeypatch, width):
     """Tree or chain: the same fit, path and last states; 300 segments of one event in the longest session."""
