@@ -146,6 +146,25 @@ def test_kmeans_finds_planted_clusters(spark):
     assert sum(r.importance for r in M.cluster_importance(labelled, ["a", "b"]).collect()) == pytest.approx(1)
 
 
+def test_seeded_fits_run_side_by_side(spark, monkeypatch):
+    """Three fits meet before any begins; the best of them is the best of the same fits made one by one."""
+    import threading
+
+    rng = np.random.default_rng(11)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in rng.normal(size=(200, 2))], "a double, b double").persist()
+    data = M.assembler(["a", "b"]).transform(df)
+    costs = [M.KMeans(k=4, seed=M.SEED + i, maxIter=300, tol=1e-4).fit(data).summary.trainingCost for i in range(3)]
+    met = threading.Barrier(3)
+
+    class Meeting(M.KMeans):
+        def fit(self, dataset):
+            met.wait(60)
+            return super().fit(dataset)
+
+    monkeypatch.setattr(M, "KMeans", Meeting)
+    assert M.kmeans(df, ["a", "b"], k=4, seeds=3)[1] == pytest.approx(min(costs))
+
+
 def test_auc_of_perfect_and_tied_scores(make):
     best = make([(1, 1, 0.9), (0, 0, 0.1), (1, 1, 0.8)], "label int, prediction int, score double")
     assert M.classification_metrics(best).first().auc == 1.0
