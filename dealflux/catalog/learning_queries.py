@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from dealflux.catalog.registry import query
 from dealflux.catalog.series_queries import MONTHLY, sector_series
 from dealflux.operators import boosting as B
+from dealflux.operators import cell_forest as T
 from dealflux.operators import features as X
 from dealflux.operators import forecasting as Y
 from dealflux.operators import hidden_states as H
@@ -99,8 +100,8 @@ def learnt(df):
 @query("ml_random_forest_classifier")
 def _(t):
     c = cut(X.stratified_split(company_table(t), "is_successful", "company_id"))
-    model = M.random_forest_classifier(learnt(c), INPUTS, "is_successful")
-    return M.score(model, c).select("company_id", "is_successful", "is_test", "prediction", "score")
+    scored, _ = T.fit_and_score(learnt(c), c, INPUTS, "is_successful")
+    return scored.select("company_id", "is_successful", "is_test", "prediction", "score")
 
 
 @query("ml_gbt_regressor")
@@ -315,10 +316,7 @@ def _(t):
 
 @query("ml_feature_importance")
 def _(t):
-    c = company_table(t)
-    model = M.random_forest_classifier(c, INPUTS, "is_successful")
-    moved = M.permutation_importance(model, c, INPUTS, "is_successful", "company_id")
-    return M.feature_importance(model, INPUTS, t.spark).join(moved.select("feature", F.col("importance").alias("permutation_importance")), "feature")
+    return T.importances(company_table(t), INPUTS, "is_successful", "company_id")
 
 
 @query("ml_model_persistence")

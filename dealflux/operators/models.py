@@ -114,15 +114,20 @@ def feature_importance(model: PipelineModel, features: Sequence[str], spark) ->
     return spark.createDataFrame([(n, v, i + 1) for i, (n, v) in enumerate(rows)], "feature string, importance double, rank int")
 
 
+def successors(df: DataFrame, features: Sequence[str], label: str, key: str, seed: int = SEED) -> DataFrame:
+    """key, label and features of every row, and as ``_other`` the features of its successor in seeded hash order."""
+    order = df.select(key, label, *features).withColumn("_h", F.xxhash64(F.lit(seed), key)).withColumn("_all", F.lit(1))
+    wide = neighbours(order, ["_all"], ["_h", key], list(features), n=1, chunk=F.shiftright("_h", 48), out="_next")
+    return wide.withColumn("_other", F.coalesce(F.get("_next", 0), F.struct(*features)))
+
+
 def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str], label: str, key: str, seed: int = SEED) -> DataFrame:
     """Loss of accuracy when one feature's values move to the next row in hash order.
 
     One pass finds every row's successor in the seeded order; each feature then swaps in the
     successor's value and the rows are scored again.
     """
-    order = df.select(key, label, *features).withColumn("_h", F.xxhash64(F.lit(seed), key)).withColumn("_all", F.lit(1))
-    wide = neighbours(order, ["_all"], ["_h", key], list(features), n=1, chunk=F.shiftright("_h", 48), out="_next")
-    wide = wide.withColumn("_other", F.coalesce(F.get("_next", 0), F.struct(*features)))
+    wide = successors(df, features, label, key, seed)
     base = model.transform(wide.select(key, label, *features)).agg(F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("base_accuracy"))
     result = None
     for f in features:
