@@ -86,20 +86,29 @@ def last_days(df: DataFrame, ts: str, days: int = 30) -> DataFrame:
 def monthly_returns(deals: DataFrame) -> DataFrame:
     """Month x company change of summed amounts (0/0 = 0, x/0 = null, first month 0).
 
-    Each company is expanded over the months of the whole table in place.
+    A company's months are gathered in one row, completed over the months of the whole table and compared there, so
+    that the filled rows, which are most, are neither joined nor sorted.
     """
     month = F.date_trunc("month", "date")
-    sums = K.aggregate_by(deals.withColumn("month", month), ["company_id", "month"], amount=C.total("amount"))
-    sums = sums.join(K.present(deals, "amount").select("company_id").distinct(), "company_id", "left_semi")
-    span = sums.select(F.struct(F.min("month").alias("a"), F.max("month").alias("b"))).scalar()
-    months = sums.select("company_id").distinct().withColumn("_s", span)
-    grid = months.select("company_id", F.explode(F.sequence("_s.a", "_s.b", F.expr("interval 1 month"))).alias("month"))
-    full = grid.join(sums, ["company_id", "month"], "left").fillna({"amount": 0.0})
-    before = F.lag("amount").over(Window.partitionBy("company_id").orderBy("month"))
+    cells = K.present(deals, "company_id").groupBy("company_id", month.alias("month")).agg(
+        C.total("amount").alias("amount"), F.max(F.col("amount").isNotNull()).alias("_known")
+    )
+    sums = cells.groupBy("company_id").agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("month").isNotNull(), F.struct("month", "amount")))).alias("_m"),
+        F.max("_known").alias("_known"), F.min("month").alias("_a"), F.max("month").alias("_b"),
+    ).where(F.col("_known") & F.col("_a").isNotNull())
+    span = sums.select(F.struct(F.min("_a").alias("a"), F.max("_b").alias("b"))).scalar()
+    months = sums.withColumn("_s", span).withColumn("month", F.sequence("_s.a", "_s.b", F.expr("interval 1 month")))
+    number = lambda v: F.coalesce(F.nanvl(v, F.lit(None).cast("double")), F.lit(0.0))
+    filled = months.withColumn("amount", F.transform("month", lambda m: number(F.try_element_at("_m", m))))
+    shifted = F.concat(F.array(F.lit(None).cast("double")), F.slice("amount", 1, F.size("amount") - 1))
+    full = filled.withColumn("_before", shifted).select("company_id", F.explode(F.arrays_zip("month", "amount", "_before")).alias("_r"))
+    full = full.select("company_id", "_r.month", "_r.amount", "_r._before")
+    before = F.col("_before")
     change = F.when(before.isNull() | ((before == 0) & (F.col("amount") == 0)), F.lit(0.0)).otherwise(
         C.ratio(F.col("amount") - before, before)
     )
-    return full.withColumn("change", change)
+    return full.select("company_id", "month", "amount", change.alias("change"))
 
 
 def mean_step(df: DataFrame, order: str, value: str) -> DataFrame:
