@@ -20,7 +20,7 @@ from dealflux.functions import columns as C
 from dealflux.operators.features import standardize
 from dealflux.plans import kernels as K
 from dealflux.plans.ordered import neighbours
-from dealflux.session import checkpoint_dir
+from dealflux.session import checkpoint_dir, cut
 
 SEED = 42
 #: Independent fits that run at the same time.
@@ -331,9 +331,9 @@ def regression_metrics(df: DataFrame, label: str = "label", prediction: str = "p
 def cross_validated(df: DataFrame, label: str, key: str, fit, folds: int = 5, seed: int = SEED) -> DataFrame:
     """Errors of each fold under a model fitted on the others: fold, held_out, mse, rmse, mae, r2, mape.
 
-    Folds follow a hash of the key. Their mean and spread are the usual cross-validated figures (``spread_of``).
+    Folds follow a hash of the key; the rows are stored once, as every fold reads them again. Their mean and spread are the usual cross-validated figures (``spread_of``).
     """
-    placed = df.withColumn("fold", F.floor(K.hash_share(F.col(key), seed) * folds).cast("int"))
+    placed = cut(df.withColumn("fold", F.floor(K.hash_share(F.col(key), seed) * folds).cast("int")))
     out = None
     for i in range(folds):
         held = score(fit(placed.where(F.col("fold") != i)), placed.where(F.col("fold") == i))

@@ -165,6 +165,21 @@ def test_seeded_fits_run_side_by_side(spark, monkeypatch):
     assert M.kmeans(df, ["a", "b"], k=4, seeds=3)[1] == pytest.approx(min(costs))
 
 
+def test_folds_read_stored_rows(spark):
+    """Every row's making is counted: once for all five folds."""
+    made = spark.sparkContext.accumulator(0)
+
+    def mark(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf
+
+    df = spark.range(400).select("id", (F.col("id") % 13).cast("double").alias("a"), (F.col("id") % 13 * 2.0 + F.col("id") % 3).alias("y"))
+    counted = df.mapInPandas(mark, "id long, a double, y double")
+    folds = M.cross_validated(counted, "y", "id", lambda part: M.elastic_net(part, ["a"], "y")).collect()
+    assert sum(r.held_out for r in folds) == 400 and len(folds) == 5 and made.value == 400
+
+
 def test_auc_of_perfect_and_tied_scores(make):
     best = make([(1, 1, 0.9), (0, 0, 0.1), (1, 1, 0.8)], "label int, prediction int, score double")
     assert M.classification_metrics(best).first().auc == 1.0
