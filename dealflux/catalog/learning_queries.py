@@ -137,7 +137,7 @@ def _(t):
   QUALIFY row_number() OVER (PARTITION BY d.company_id ORDER BY date DESC, d.id DESC) = 1""")
 def _(t):
     # The amount of each company's next round, from its latest deal; SQL checks which deal that is and that it has a number.
-    rows = X.next_round_examples(t.deals, t.companies)
+    rows = cut(X.next_round_examples(t.deals, t.companies).select("id", "company_id", *ROUND_INPUTS, "next_amount"))
     made = M.score(M.elastic_net(rows, ROUND_INPUTS, "next_amount"), rows.where("next_amount is null"))
     return made.select("company_id", F.col("id").alias("last_deal"), (F.isnotnull("prediction") & ~F.isnan("prediction")).cast("int").alias("scored"))
 
@@ -148,7 +148,7 @@ def _(t):
   FROM d JOIN companies c ON c.id = d.company_id WHERE y IS NOT NULL GROUP BY 1""")
 def _(t):
     # Five folds by key hash: fitted on four, measured on the fifth; SQL checks the folds.
-    rows = X.next_round_examples(t.deals, t.companies).where("next_amount is not null")
+    rows = X.next_round_examples(t.deals, t.companies).where("next_amount is not null").select("id", *ROUND_INPUTS, "next_amount")
     folds = M.cross_validated(rows, "next_amount", "id", lambda part: M.elastic_net(part, ROUND_INPUTS, "next_amount"))
     return folds.select("fold", "held_out", (F.isnotnull("r2") & ~F.isnan("r2")).cast("int").alias("finite"))
 
