@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dealflux.functions import columns as C
 from dealflux.functions import vocab as V
-from dealflux.operators.joins import investments_with_deals, investments_with_investors, with_group_total
+from dealflux.operators.joins import investments_with_deals, investments_with_investors
 from dealflux.operators.projections import home_region, stage
 from dealflux.plans import kernels as K
 
@@ -31,8 +31,12 @@ def active(deal_investor: DataFrame, investors: DataFrame) -> DataFrame:
 
 
 def estimated_amounts(deal_investor: DataFrame, deals: DataFrame, top: int = 20) -> DataFrame:
-    """Each deal split equally among its investments, summed per investor, largest first."""
-    rows = with_group_total(investments_with_deals(deal_investor, deals), ["deal_id"], "num_investors")
+    """Each deal split equally among its investments, summed per investor, largest first.
+
+    The join brings a deal's investments together in order, so they are counted there and not in a second join.
+    """
+    rows = K.present(investments_with_deals(deal_investor, deals), "deal_id")
+    rows = rows.withColumn("num_investors", F.count(F.lit(1)).over(Window.partitionBy("deal_id")))
     rows = rows.withColumn("estimated", C.ratio("amount", "num_investors"))
     sums = K.aggregate_by(rows, ["investor_name", "investor_id"], deals=F.count("deal_id"), amount=C.total("estimated"))
     return K.top_k(sums, top, F.desc("amount"), F.asc("investor_id"))
