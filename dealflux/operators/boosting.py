@@ -9,7 +9,7 @@ order rows come in. Margins of past rounds are stored every few rounds and compl
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,6 +28,8 @@ UNIT = 2.0**-20
 #: Rounds between stored margins, and weighted rows of a task.
 STORE_EVERY = 10
 TASK_ROWS = 200_000
+#: Combinations of bins whose scores a task remembers.
+SEEN = 100_000
 #: Loss is judged by probabilities no smaller than this.
 LEAST = 1e-15
 
@@ -244,12 +246,26 @@ def _moved(state: DataFrame, model: Boosted, pending: list, shape: tuple) -> Dat
     return state.mapInArrow(move, _STATE)
 
 
+def chances_of(model: Boosted, batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    """Probabilities of every row; the trees are walked once for each combination of bins that a task meets."""
+    seen: dict[bytes, np.ndarray] = {}
+    for values in batches:
+        cells, place = np.unique(model.coded(values), axis=0, return_inverse=True)
+        keys = [c.tobytes() for c in cells]
+        if len(seen) > SEEN:
+            seen.clear()
+        new = [i for i, k in enumerate(keys) if k not in seen]
+        if new:
+            seen.update(zip([keys[i] for i in new], softmax(model.margins(cells[new])), strict=True))
+        yield pd.Series([seen[keys[i]] for i in place.ravel()])
+
+
 def probabilities(model: Boosted, df: DataFrame, out: str = "probability") -> DataFrame:
     """``df`` with the probability of every class, in the order of ``model.classes``."""
 
     @pandas_udf("array<double>")
-    def chances(*values: pd.Series) -> pd.Series:
-        return pd.Series(list(softmax(model.margins(model.coded(values)))))
+    def chances(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        yield from chances_of(model, batches)
 
     return df.withColumn(out, chances(*model.features))
 
