@@ -204,11 +204,11 @@ def _(t):
     """Accuracy and log-loss of booster and forest, on rows they learnt from and on rows they have not seen."""
     rows = next_events(t)
     model = B.fit(learnt(rows), EVENT_INPUTS, "event_type")
-    boosted = B.log_loss(B.predict(model, rows), model.classes, "event_type", "is_test").withColumn("model", F.lit("boosted trees"))
-    forest = M.next_event_classifier(learnt(rows))
-    names = forest.stages[0].labels
-    scored = forest.transform(rows).withColumns({"probability": F.slice(vector_to_array("probability"), 1, len(names)), "prediction": F.get(F.array(*[F.lit(n) for n in names]), F.col("prediction").cast("int"))})
-    return boosted.unionByName(B.log_loss(scored, names, "event_type", "is_test").withColumn("model", F.lit("forest")))
+    # Scores follow from the inputs: equal rows are scored, and learnt by the forest, as one.
+    cells = cut(rows.groupBy(*EVENT_INPUTS, "event_type", "is_test").agg(F.count(F.lit(1)).alias("n")))
+    boosted = B.log_loss(B.predict(model, cells), model.classes, "event_type", "is_test", weight="n").withColumn("model", F.lit("boosted trees"))
+    scored, names = T.class_chances(cells, EVENT_INPUTS, "event_type", ~F.col("is_test"), "n")
+    return boosted.unionByName(B.log_loss(B.likeliest(scored, names), names, "event_type", "is_test", weight="n").withColumn("model", F.lit("forest")))
 
 
 @query("ml_kmeans_sessions")

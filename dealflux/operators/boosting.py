@@ -187,7 +187,9 @@ def fit(
     def code(names: pd.Series) -> pd.Series:
         return names.map(codes).astype("int32")
 
-    cells = known.select(coded(*features).alias("bins"), code(label).alias("label")).groupBy("bins", "label").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    # Equal rows are summed up before they are coded: Python sees each combination of values once.
+    equal = known.groupBy(label, *features).agg(F.count(F.lit(1)).alias("_n"))
+    cells = equal.select(coded(*features).alias("bins"), code(label).alias("label"), "_n").groupBy("bins", "label").agg(F.sum("_n").cast("double").alias("weight"))
     state = cut(cells.withColumn("margins", F.array(*[F.lit(float(b)) for b in model.base])))
     state = state.coalesce(max(1, min(state.rdd.getNumPartitions(), -(-state.count() // TASK_ROWS))))
     shape = (len(features), len(classes))
@@ -270,11 +272,15 @@ def probabilities(model: Boosted, df: DataFrame, out: str = "probability") -> Da
     return df.withColumn(out, chances(*model.features))
 
 
+def likeliest(scored: DataFrame, classes: Sequence[str]) -> DataFrame:
+    """``scored`` with the likeliest class of ``probability`` as ``prediction``; the first of equals."""
+    names = F.array(*[F.lit(c) for c in classes])
+    return scored.withColumn("prediction", F.get(names, (F.array_position("probability", F.array_max("probability")) - 1).cast("int")))
+
+
 def predict(model: Boosted, df: DataFrame) -> DataFrame:
     """``df`` with ``probability`` and the likeliest class as ``prediction``; the first of equals."""
-    names = F.array(*[F.lit(c) for c in model.classes])
-    scored = probabilities(model, df)
-    return scored.withColumn("prediction", F.get(names, (F.array_position("probability", F.array_max("probability")) - 1).cast("int")))
+    return likeliest(probabilities(model, df), model.classes)
 
 
 def top_classes(model: Boosted, df: DataFrame, key: str, top: int = 5) -> DataFrame:
@@ -285,10 +291,13 @@ def top_classes(model: Boosted, df: DataFrame, key: str, top: int = 5) -> DataFr
     return wide.select(key, (F.col("_r") + 1).alias("rank"), F.get(names, F.col("_c.i")).alias("event"), (-F.col("_c.m")).alias("prob"))
 
 
-def log_loss(scored: DataFrame, classes: Sequence[str], label: str, *by: str) -> DataFrame:
-    """Rows, accuracy and mean log-loss of ``probability``; a class that the model never saw has the least probability."""
+def log_loss(scored: DataFrame, classes: Sequence[str], label: str, *by: str, weight: str | None = None) -> DataFrame:
+    """Rows, accuracy and mean log-loss of ``probability``; a class that the model never saw has the least probability.
+
+    A row of ``scored`` stands for as many rows as ``weight`` says, or for itself.
+    """
     own = F.try_element_at("probability", F.nullif(F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)), F.lit(0)).cast("int"))
     loss = -F.log(F.greatest(F.coalesce(own, F.lit(0.0)), F.lit(LEAST)))
-    return scored.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("rows"), F.avg((F.col("prediction").eqNullSafe(F.col(label))).cast("double")).alias("accuracy"), F.avg(loss).alias("log_loss")
-    )
+    n = F.col(weight) if weight else F.lit(1)
+    hit = F.col("prediction").eqNullSafe(F.col(label)).cast("double")
+    return scored.groupBy(*by).agg(F.sum(n).alias("rows"), (F.sum(hit * n) / F.sum(n)).alias("accuracy"), (F.sum(loss * n) / F.sum(n)).alias("log_loss"))

@@ -1,4 +1,4 @@
-"""Random forest for 0/1 labels over few features, grown from counts of binned cells.
+"""Random forests for classes over few features, grown from counts of binned cells.
 
 Rows with equal bins take the same way through any tree, so a forest over at most ``MOST`` features needs only
 the number of rows of each class in every cell. There are at most ``BINS`` + 1 to the power of the features such
@@ -47,26 +47,37 @@ def cell_of(features: Sequence[str], edges: Sequence[Sequence[float]]) -> Column
     return number
 
 
-def grow(bins: np.ndarray, n0: np.ndarray, n1: np.ndarray, depth: int, draw: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Chance of class 1 of each cell, and each feature's share of the impurity that the splits remove (Gini)."""
+def grow_classes(bins: np.ndarray, counts: np.ndarray, depth: int, draw: np.random.Generator, unordered: Sequence[bool] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Chance of each class (row of ``counts``) in each cell, and each feature's share of the impurity that the splits remove (Gini).
+
+    The bins of an ``unordered`` feature are split in order of their impurity inside the node.
+    """
     count, features = bins.shape
+    classes = range(len(counts))
     taken = math.ceil(math.sqrt(features))
-    w = np.stack([draw.poisson(n0), draw.poisson(n1)]).astype(float)
-    chance, gained = np.zeros(count), np.zeros(features)
+    w = np.stack([draw.poisson(n) for n in counts]).astype(float)
+    chance, gained = np.zeros((len(counts), count)), np.zeros(features)
     live, node = np.arange(count), np.zeros(count, np.int64)
     for level in range(depth + 1):
         nodes = int(node.max()) + 1
-        whole = np.stack([np.bincount(node, w[c, live], nodes) for c in (0, 1)])
+        whole = np.stack([np.bincount(node, w[c, live], nodes) for c in classes])
         total = whole.sum(0)
         impure = total - (whole**2).sum(0) / np.maximum(total, 1)
         best, which, bound = np.full(nodes, 1e-9), np.full(nodes, -1), np.zeros(nodes, np.int64)
+        places = {}
         allowed = np.argsort(draw.random((nodes, features)), axis=1) < taken
         for j in range(features if level < depth else 0):
             width = int(bins[:, j].max()) + 1
             slot = node * width + bins[live, j]
-            left = np.stack([np.bincount(slot, w[c, live], nodes * width).reshape(nodes, width) for c in (0, 1)]).cumsum(2)[:, :, :-1]
+            sums = np.stack([np.bincount(slot, w[c, live], nodes * width).reshape(nodes, width) for c in classes])
             if width < 2:
                 continue
+            if len(unordered) and unordered[j]:
+                n = sums.sum(0)
+                order = np.argsort(1 - (sums**2).sum(0) / np.maximum(n, 1) ** 2, axis=1, kind="stable")
+                places[j] = np.argsort(order, axis=1, kind="stable")
+                sums = np.take_along_axis(sums, order[None], axis=2)
+            left = sums.cumsum(2)[:, :, :-1]
             right = whole[:, :, None] - left
             sides = [(s.sum(0), (s**2).sum(0)) for s in (left, right)]
             gain = impure[:, None] - sum(n - sq / np.maximum(n, 1) for n, sq in sides)
@@ -78,15 +89,26 @@ def grow(bins: np.ndarray, n0: np.ndarray, n1: np.ndarray, depth: int, draw: np.
         split = which >= 0
         np.add.at(gained, which[split], best[split])
         ends = ~split[node]
-        chance[live[ends]] = (whole[1] / np.maximum(total, 1))[node[ends]]
+        chance[:, live[ends]] = (whole / np.maximum(total, 1))[:, node[ends]]
         live, node = live[~ends], node[~ends]
         if not len(live):
             break
-        node = 2 * node + (bins[live, which[node]] > bound[node])
+        asked = which[node]
+        place = bins[live, asked]
+        for j, ranked in places.items():
+            own = asked == j
+            place[own] = ranked[node[own], place[own]]
+        node = 2 * node + (place > bound[node])
         node = np.unique(node, return_inverse=True)[1]
     return chance, gained / max(gained.sum(), 1e-300)
 
 
+def grow(bins: np.ndarray, n0: np.ndarray, n1: np.ndarray, depth: int, draw: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Chance of class 1 of each cell, and each feature's share of the impurity that the splits remove (Gini)."""
+    chance, gained = grow_classes(bins, np.stack([n0, n1]), depth, draw)
+    return chance[1], gained
+
+
 def fit_and_score(
     train: DataFrame, rows: DataFrame, features: Sequence[str], label: str, *, trees: int = 100, depth: int = 30, seed: int = SEED,
 ) -> tuple[DataFrame, DataFrame]:
@@ -120,6 +142,38 @@ def fit_and_score(
     return scored.withColumn("prediction", F.when(F.col("score") > 0.5, 1.0).when(F.col("score").isNotNull(), 0.0)), importance
 
 
+def class_chances(cells: DataFrame, features: Sequence[str], label: str, learns: Column, weight: str, *, trees: int = 50, depth: int = 6, seed: int = SEED) -> tuple[DataFrame, list[str]]:
+    """``cells`` with ``probability`` of every class, and the classes in order.
+
+    A row of ``cells`` stands for ``weight`` rows with its values; the forest learns from those that ``learns`` marks and that
+    have a label. Every value of a feature has a bin of its own, null too; bins of text are unordered. A tree's task holds the
+    distinct combinations of values, however many rows have them.
+    """
+    known = learns & F.col(label).isNotNull()
+    classes = sorted(r[0] for r in cells.where(known).select(label).distinct().collect())
+    if not classes:
+        raise ValueError(f"no row has a {label}")
+    fs, kinds, codes = list(features), dict(cells.dtypes), {c: i for i, c in enumerate(classes)}
+    unordered = [kinds[f] == "string" for f in fs]
+    counts = cut(cells.groupBy(*fs, label).agg(F.sum(F.when(known, F.col(weight)).otherwise(0)).alias("n")))
+
+    def tree(pdf: pd.DataFrame) -> pd.DataFrame:
+        coded = np.stack([pd.factorize(pdf[f], sort=True, use_na_sentinel=False)[0] for f in fs], axis=1)
+        bins, first, cell = np.unique(coded, axis=0, return_index=True, return_inverse=True)
+        n = np.zeros((len(classes), len(bins)), np.int64)
+        learnt = pdf.n.to_numpy() > 0
+        np.add.at(n, (pdf[label][learnt].map(codes).to_numpy(np.int64), cell.ravel()[learnt]), pdf.n.to_numpy()[learnt])
+        chance, _ = grow_classes(bins, n, depth, np.random.default_rng([seed, int(pdf.tree.iloc[0])]), unordered)
+        return pdf[fs].iloc[first].assign(v=list(np.rint(chance.T / UNIT).astype(np.int64)))
+
+    schema = ", ".join(f"`{f}` {kinds[f]}" for f in fs)
+    grown = counts.crossJoin(cells.sparkSession.range(trees).withColumnRenamed("id", "tree")).groupBy("tree").applyInPandas(tree, f"{schema}, v array<long>")
+    sums = [F.sum(F.get("v", F.lit(i))) * F.lit(UNIT) / trees for i in range(len(classes))]
+    means = cut(grown.groupBy(*[F.col(f).alias(f"_{f}") for f in fs]).agg(F.array(*sums).alias("probability")))
+    same = [cells[f].eqNullSafe(means[f"_{f}"]) for f in fs]
+    return cells.join(means, same, "left").select(*cells.columns, "probability"), classes
+
+
 def importances(df: DataFrame, features: Sequence[str], label: str, key: str, **options) -> DataFrame:
     """feature, importance (impurity), rank and permutation_importance: the loss of accuracy when one feature's values move to the next row in hash order."""
     wide = successors(df, features, label, key)

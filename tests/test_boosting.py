@@ -80,3 +80,11 @@ def test_nulls_unknown_categories_and_one_class(make):
     assert B.predict(alone, new).first().prediction == "k"
     with pytest.raises(ValueError, match="no row has"):
         B.fit(df.where("y is null"), ["a"], "y", rounds=1)
+
+
+def test_weighted_loss_is_that_of_the_rows(spark):
+    rows = [("x", [0.7, 0.3], 3), ("y", [0.6, 0.4], 2), ("z", [0.5, 0.5], 1)]
+    cells = B.likeliest(spark.createDataFrame(rows, "kind string, probability array<double>, n int"), ["x", "y"])
+    one = B.log_loss(cells, ["x", "y"], "kind", weight="n").first()
+    two = B.log_loss(cells.withColumn("_", F.explode(F.sequence(F.lit(1), "n"))), ["x", "y"], "kind").first()
+    assert one.rows == two.rows == 6 and one.accuracy == two.accuracy == 0.5 and abs(one.log_loss - two.log_loss) < 1e-12

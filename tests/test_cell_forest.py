@@ -67,3 +67,34 @@ def test_one_tree_against_counts():
     assert chance.tolist() == [0.0, 0.0, 1.0] and gained.tolist() == [1.0]
     chance, _ = T.grow(np.array([[0], [1]]), np.array([3, 1]), np.array([1, 3]), 0, Whole())
     assert chance.tolist() == [0.5, 0.5]
+
+
+def test_class_chances_follow_unordered_text_and_weigh_rows(spark):
+    # Text b and d are class x, a and c class y, null class z; the last cell is only asked for.
+    rows = [("a", 1, "y", True, 40), ("b", 1, "x", True, 40), ("c", 2, "y", True, 40), ("d", 2, "x", True, 40), (None, 2, "z", True, 40)]
+    rows += [("b", 2, "y", False, 1000), ("e", None, None, True, 5), ("d", 2, "x", True, 2)]
+    cells = spark.createDataFrame(rows, "t string, h int, y string, learn boolean, n long")
+    scored, classes = T.class_chances(cells, ["t", "h"], "y", F.col("learn"), "n", trees=30)
+    got = scored.collect()
+    assert classes == ["x", "y", "z"] and len(got) == len(rows)
+    for r in got:
+        assert abs(sum(r.probability) - 1) < 1e-6 or r.t == "e"
+        if r.learn and r.y:
+            assert classes[int(np.argmax(r.probability))] == r.y
+
+
+def test_classes_split_text_by_impurity():
+    # In alphabetical order no single split gains; in order of impurity one does.
+    bins = np.array([[0], [1], [2]])
+    counts = np.array([[9, 5, 9], [0, 5, 0]])
+
+    class Whole:
+        def poisson(self, n):
+            return n
+
+        def random(self, shape):
+            return np.zeros(shape)
+
+    apart, _ = T.grow_classes(bins, counts, 1, Whole(), [True])
+    along, _ = T.grow_classes(bins, counts, 1, Whole())
+    assert apart[0].tolist() == [1.0, 0.5, 1.0] and along[0].tolist() != apart[0].tolist()
