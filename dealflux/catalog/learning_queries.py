@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from dealflux.catalog.registry import query
 from dealflux.catalog.series_queries import MONTHLY, sector_series
+from dealflux.operators import bin_forest as G
 from dealflux.operators import boosting as B
 from dealflux.operators import cell_forest as T
 from dealflux.operators import features as X
@@ -127,8 +128,8 @@ def _(t):
 @query("ml_regressor_random_forest")
 def _(t):
     rows = next_rounds(t)
-    model = M.random_forest_regressor(learnt(rows), ROUND_INPUTS, "next_amount")
-    return M.score(model, rows).select("id", "next_amount", "is_test", "prediction")
+    model = G.fit(learnt(rows), ROUND_INPUTS, "next_amount", "id")
+    return G.predict(model, rows).select("id", "next_amount", "is_test", "prediction")
 
 
 @query("ml_next_round_forecast", """
