@@ -8,7 +8,9 @@ of more shingles than groups has a second point with about a group a shingle, fo
 Where points meet follows from the threshold alone: a set's own least hashes, one more than the shingles
 it may lack, and any two linked sets share one of them. All sets that have a hash meet its hub, the least of
 them. Members are first joined with their hubs; R-trees then look among a hub's members for pairs that this
-left in different components. So a large group of copies costs one pair per member, and no link is lost.
+left in different components. A hub with many more such pairs than members names a spanning forest of them first,
+and what its links leave in different components afterwards. So a large group of copies costs a few pairs per
+member, and no link is lost.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dealflux.llm.common import WordHashes, shingle_set, slices, staged, words
+from dealflux.llm.common import WordHashes, mixed, shingle_set, slices, staged, words
 from dealflux.llm.components import components
 from dealflux.llm.group_joins import mark_members
 
@@ -38,6 +40,8 @@ LEAF, FANOUT = 16, 8
 BLOCK_POINTS = 4096
 #: Texts of a group of candidate pairs in a block; a text goes to the pairs of blocks in which it has a pair.
 BLOCK_TEXTS = 512
+#: A hub with more candidate pairs than this for each member names a spanning forest of them, in this many turns; then all that are left.
+DENSE, FOREST_TURNS = 4, 2
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -70,8 +74,28 @@ def fine_bound(a: bytes, b: bytes) -> int:
     return int(np.minimum(short, long).sum(dtype=np.int64))
 
 
+def counts(h: np.ndarray) -> bytes:
+    """Counts by GROUPS groups as a zstandard frame, a byte each if they fit, else four."""
+    n = np.bincount((h & np.uint64(GROUPS - 1)).astype(np.intp), minlength=GROUPS)
+    return zstandard.ZstdCompressor(level=1).compress(n.astype("u1" if n.max() < 256 else "<u4").tobytes())
+
+
+def unpacked(vec: list[bytes | None], fine: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Count vectors, and finer ones as bytes or None; where there is a finer vector it folds to the other one."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    fine = [x and unpack(x) for x in fine]
+    out = np.zeros((len(vec), GROUPS), "<u4")
+    for i, (v, f) in enumerate(zip(vec, fine)):
+        if f:
+            out[i] = np.frombuffer(f, np.uint8).reshape(-1, GROUPS).sum(axis=0, dtype=np.uint32)
+        else:
+            raw = unpack(v)
+            out[i] = np.frombuffer(raw, np.uint8 if len(raw) == GROUPS else "<u4")
+    return out, np.array([*fine, None], object)[:-1]
+
+
 def _features(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, text_hash, n, node (hash of the set), sig (least hashes), vec and fine (group counts)."""
+    """doc_id, text_hash, n, node (hash of the set), sig (least hashes), vec or fine (group counts)."""
 
     def run(batches):
         cache = WordHashes()
@@ -86,8 +110,8 @@ def _features(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     least = h[: prefix_length(len(h), percent)] if len(h) else h
                     sig.append(least.view(np.int64))
                     ends.append(ends[-1] + len(least))
-                    vec.append(np.bincount((h & np.uint64(GROUPS - 1)).astype(np.intp), minlength=GROUPS).astype("<u4").tobytes())
                     fine.append(fine_counts(h))
+                    vec.append(None if fine[-1] else counts(h))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sig) if sig else [], pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("text_hash"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), lists, pa.array(vec, pa.binary()), pa.array(fine, pa.binary())],
@@ -192,17 +216,47 @@ def _finer(x: np.ndarray, y: np.ndarray, rows: dict[str, np.ndarray], percent: i
     return x[ok], y[ok]
 
 
-def _hub_pairs(rows: dict[str, np.ndarray], percent: int):
-    """Pairs of nodes in different components whose bound reaches the threshold, hub by hub.
+def spanning(x: np.ndarray, y: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Positions of those of the pairs (x, y), in their order, that join what the components and the pairs before them have not."""
+    root: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while (up := root.get(i, i)) != i:
+            root[i] = root.get(up, up)
+            i = up
+        return i
 
-    A leaf's worth of members needs no tree: such hubs' pairs are bounded together.
+    kept = []
+    for k, (a, b) in enumerate(zip(label[x].tolist(), label[y].tolist())):
+        a, b = find(a), find(b)
+        if a != b:
+            root[a] = b
+            kept.append(k)
+    return np.array(kept, int)
+
+
+def _thinned(a: np.ndarray, b: np.ndarray, rows: dict[str, np.ndarray], turn: int) -> np.ndarray:
+    """A spanning forest of the pairs: of the likeliest ones in the first turn, of any in the next."""
+    if turn:
+        order = np.argsort(mixed((rows["node"][a] ^ rows["node"][b]).view(np.uint64)))
+    else:
+        share = np.concatenate([_bound(rows["vec"][a[i : i + 100_000]], rows["vec"][b[i : i + 100_000]]) for i in range(0, len(a), 100_000)])
+        order = np.argsort(-share / (rows["n"][a] + rows["n"][b]), kind="stable")
+    return order[spanning(a[order], b[order], rows["label"])]
+
+
+def _hub_pairs(rows: dict[str, np.ndarray], percent: int, turn: int = FOREST_TURNS):
+    """Pairs of nodes in different components whose bound reaches the threshold, hub by hub; and the hubs that have more.
+
+    A leaf's worth of members needs no tree: such hubs' pairs are bounded together. Before the last turn a dense hub
+    gives a spanning forest of its pairs.
     """
     cut = np.flatnonzero(np.r_[True, (rows["hub"][1:] != rows["hub"][:-1]) | (rows["cell"][1:] != rows["cell"][:-1])])
     sizes = np.diff(np.r_[cut, len(rows["hub"])])
     if rows["vec"].max(initial=0) < 1 << 16 and rows["n"].max(initial=0) < 1 << 16:
         rows["vec"] = rows["vec"].astype(np.uint16)
     rows["coarse"] = coarse(rows["vec"])
-    found = []
+    found, more = [], []
     for m in np.unique(sizes):
         starts = cut[sizes == m]
         if m <= LEAF:
@@ -210,22 +264,26 @@ def _hub_pairs(rows: dict[str, np.ndarray], percent: int):
         else:
             for s in starts:
                 a, b = RTree({c: rows[c][s : s + m] for c in ("vec", "coarse", "n", "label")}).pairs(percent)
-                found.append(_finer(a + s, b + s, rows, percent))
+                a, b = _finer(a + s, b + s, rows, percent)
+                if turn < FOREST_TURNS and len(a) > DENSE * m:
+                    more.append(rows["hub"][s])
+                    some = _thinned(a, b, rows, turn)
+                    a, b = a[some], b[some]
+                found.append((a, b))
     node = rows["node"]
     both = np.concatenate([np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], 1) for a, b in found]) if found else np.zeros((0, 2), np.int64)
-    return np.unique(both, axis=0)
+    return np.unique(both, axis=0), np.unique(np.array(more, np.int64))
 
 
-def _tree_join(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b) pairs from rows (hub, cell, node, label, n, vec, fine) sorted by hub and cell."""
+def _tree_join(rows: DataFrame, percent: int, turn: int) -> DataFrame:
+    """(a, b, null) pairs from rows (hub, cell, node, label, n, vec, fine) sorted by hub and cell; (null, null, hub) of a hub that has more."""
 
     def run(batches):
-        held, unpack = None, zstandard.ZstdDecompressor().decompress
+        held = None
         names = ["hub", "cell", "node", "label", "n"]
         for batch in batches:
             new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
-            new["vec"] = np.frombuffer(b"".join(batch.column("vec").to_pylist()), "<u4").reshape(-1, GROUPS)
-            new["fine"] = np.array([*(x and unpack(x) for x in batch.column("fine").to_pylist()), None], object)[:-1]
+            new["vec"], new["fine"] = unpacked(batch.column("vec").to_pylist(), batch.column("fine").to_pylist())
             if held is not None:
                 new = {c: np.concatenate([held[c], new[c]]) for c in new}
             last = np.flatnonzero((new["hub"] != new["hub"][-1]) | (new["cell"] != new["cell"][-1]))
@@ -237,10 +295,11 @@ def _tree_join(rows: DataFrame, percent: int) -> DataFrame:
             yield emit(held)
 
     def emit(rows):
-        pairs = _hub_pairs(rows, percent)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        pairs, more = _hub_pairs(rows, percent, turn)
+        a, b = (pa.concat_arrays([pa.array(pairs[:, i]), pa.nulls(len(more), pa.int64())]) for i in (0, 1))
+        return pa.RecordBatch.from_arrays([a, b, pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(more)])], names=["a", "b", "more"])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long, more long").distinct()
 
 
 def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -248,15 +307,15 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, GROUPS) for c in ("vec", "_vec"))
+            a, b = (unpacked(batch.column(v).to_pylist(), batch.column(f).to_pylist())[0] for v, f in (("vec", "fine"), ("_vec", "_fine")))
             ok = enough(_bound(a, b), batch.column("n").to_numpy() + batch.column("_n").to_numpy(), percent)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    one = points.select(F.col("node").alias("a"), "n", "vec")
-    two = points.select(F.col("node").alias("b"), F.col("n").alias("_n"), F.col("vec").alias("_vec"))
+    one = points.select(F.col("node").alias("a"), "n", "vec", "fine")
+    two = points.select(F.col("node").alias("b"), F.col("n").alias("_n"), F.col("vec").alias("_vec"), F.col("fine").alias("_fine"))
     near = (100 * F.least("n", "_n") >= percent * F.greatest("n", "_n"))
     close = pairs.join(one, "a").join(two, "b").where(near)
-    return staged(close.select("a", "b", "n", "_n", "vec", "_vec").mapInArrow(run, "a long, b long"), "close")
+    return staged(close.select("a", "b", "n", "_n", "vec", "fine", "_vec", "_fine").mapInArrow(run, "a long, b long"), "close")
 
 
 def _by_hub(close: DataFrame) -> DataFrame:
@@ -307,6 +366,29 @@ def _verify(between: DataFrame, points: DataFrame, rows: DataFrame, width: int,
     return texts.groupBy("_group", "_cell").cogroup(between.groupBy("group", "cell")).applyInArrow(linked, "a long, b long").distinct()
 
 
+def _split_hubs(members: DataFrame, label: DataFrame, points: DataFrame) -> DataFrame:
+    """hub, cell, node, label, n, vec, fine of the (hub, node) whose hub's members are in more than one component, sorted by hub and cell.
+
+    Blocks of a hub's members meet pair by pair: block i stands in the cells (i, j) and (j, i) of all j.
+    """
+    known = members.join(label, "node", "left").select("hub", "node", F.coalesce("label", "node").alias("label"))
+    split = known.groupBy("hub").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count("*").alias("_rows")).where("_lo < _hi")
+    blocks = F.ceil(F.col("_rows") / BLOCK_POINTS).cast("int")
+    mine = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
+    cells = F.transform(
+        F.sequence(F.lit(0), F.col("_blocks") - 1),
+        lambda j: F.least(j, F.col("_mine")).cast("long") * F.col("_blocks") + F.greatest(j, F.col("_mine")),
+    )
+    left = (
+        known.join(split, "hub")
+        .withColumn("_blocks", blocks)
+        .withColumn("_mine", mine)
+        .select("hub", "node", "label", F.explode(cells).alias("cell"))
+        .join(points.select("node", "n", "vec", "fine"), "node")
+    )
+    return left.repartition("hub", "cell").sortWithinPartitions("hub", "cell").select("hub", "cell", "node", "label", "n", "vec", "fine")
+
+
 def join(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text); other columns are ignored.
 
@@ -329,31 +411,19 @@ def join(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
     close = _bounded(star, points, percent)
     links = staged(_verify(_by_hub(close), points, rows, width, percent), "links")
 
-    label = components(links, "a", "b")
-    # Hubs whose members are still in more than one component.
     members = star.select(F.col("b").alias("hub"), F.col("a").alias("node"))
     members = members.unionByName(star.select(F.col("b").alias("hub"), F.col("b").alias("node")).distinct())
-    known = members.join(label, "node", "left").select("hub", "node", F.coalesce("label", "node").alias("label"))
-    split = known.groupBy("hub").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count("*").alias("_rows")).where("_lo < _hi")
-    # Blocks of a hub's members meet pair by pair: block i stands in the cells (i, j) and (j, i) of all j.
-    blocks = F.ceil(F.col("_rows") / BLOCK_POINTS).cast("int")
-    mine = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
-    cells = F.transform(
-        F.sequence(F.lit(0), F.col("_blocks") - 1),
-        lambda j: F.least(j, F.col("_mine")).cast("long") * F.col("_blocks") + F.greatest(j, F.col("_mine")),
-    )
-    left = (
-        known.join(split, "hub")
-        .withColumn("_blocks", blocks)
-        .withColumn("_mine", mine)
-        .select("hub", "node", "label", F.explode(cells).alias("cell"))
-        .join(points.select("node", "n", "vec", "fine"), "node")
-    )
-    left = left.repartition("hub", "cell").sortWithinPartitions("hub", "cell").select("hub", "cell", "node", "label", "n", "vec", "fine")
-    more = _tree_join(left, percent)
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = staged(more.join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = staged(links.unionByName(_verify(_by_group(more), points, rows, width, percent)), "links")
+    for turn in range(FOREST_TURNS + 1):
+        label = components(links, "a", "b")
+        found = staged(_tree_join(_split_hubs(members, label, points), percent, turn), "pairs")
+        more = found.where("more is null").select("a", "b").join(tried, ["a", "b"], "left_anti")
+        links = staged(links.unionByName(_verify(_by_group(more), points, rows, width, percent)), "links")
+        # Hubs that have named all their pairs are done.
+        dense = found.where("more is not null").select(F.col("more").alias("hub")).distinct()
+        if turn == FOREST_TURNS or dense.isEmpty():
+            break
+        members, tried = members.join(dense, "hub"), tried.unionByName(more)
     label = components(links, "a", "b")
 
     member = some.select("doc_id", "node").join(label, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))

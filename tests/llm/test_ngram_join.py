@@ -85,3 +85,46 @@ def test_finer_bound_is_never_below_the_intersection(sizes):
         assert len(common) <= bound <= min(len(a), len(b))
         if shared == 0.5:
             assert not N.enough(np.array([bound]), np.array([len(a) + len(b)]), 80)[0] or sizes[0] > N.MOST_GROUPS
+
+
+def test_dense_hub_names_a_forest_first():
+    # 60 near copies with vectors of 100 shingles that are all within the bound of each other, in components of their own.
+    rng = np.random.default_rng(2)
+    vec = np.tile(rng.poisson(1, N.GROUPS) + 1, (60, 1)).astype("<u4")
+    vec[np.arange(60), np.arange(60)] += 1
+    rows = {"hub": np.full(60, 9), "cell": np.zeros(60, np.int64), "node": np.arange(60) * 7, "label": np.arange(60) * 7, "n": vec.sum(axis=1).astype(np.int64), "vec": vec, "fine": np.full(60, None, object)}
+    for turn in range(N.FOREST_TURNS):
+        pairs, more = N._hub_pairs(dict(rows), 80, turn)
+        assert len(pairs) == 59 and more.tolist() == [9]
+    pairs, more = N._hub_pairs(dict(rows), 80)
+    assert len(pairs) == 60 * 59 // 2 and not len(more)
+
+
+def test_many_near_copies_whose_hub_is_another_text_cost_few_pairs(spark, monkeypatch):
+    # All share a long passage with each other; chains of edits make groups that only some members link.
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(150):
+        own = list(base)
+        for at in rng.choice(40, 3, replace=False):
+            own[at * 5] = f"x{rng.integers(0, 10**9)}"
+        texts.append(" ".join(own))
+    texts += [" ".join(base[:30] + [f"y{i}_{j}" for j in range(170)]) for i in range(40)]
+    rows = list(enumerate(texts))
+    seen, verify = [], N._verify
+    monkeypatch.setattr(N, "_verify", lambda between, *rest: seen.append(between.count()) or verify(between, *rest))
+    got = N.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(repr((r.doc_id, r.n_shingles, r.component_id)) for r in got) == brute(rows)
+    assert sum(seen[1:]) <= 10 * len(rows)
+
+
+@pytest.mark.parametrize("n", [1, 100, 128, 129, 3000])
+def test_packed_vectors_come_back(n):
+    h = np.unique(np.random.default_rng(n).integers(0, 1 << 63, n, dtype=np.uint64))
+    fine = N.fine_counts(h)
+    vec, back = N.unpacked([None if fine else N.counts(h)], [fine])
+    assert vec[0].tolist() == np.bincount((h % np.uint64(N.GROUPS)).astype(int), minlength=N.GROUPS).tolist()
+    assert back[0] is None if fine is None else len(back[0]) > N.GROUPS
+    same = np.full(500, 3, np.uint64)
+    assert N.unpacked([N.counts(same)], [None])[0][0, 3] == 500
