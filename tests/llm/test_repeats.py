@@ -69,3 +69,29 @@ def test_odd_rows(odd_docs, no_docs):
     want = brute([(r.text or "").encode() for r in rows], 400)
     assert sorted(map(repr, [(r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got.collect()])) == sorted(map(repr, want))
     assert R.removed(no_docs).count() == 0
+
+
+def test_runs_that_share_a_window_stay_and_others_leave():
+    rng = random.Random(4)
+    least, gram, keys, parts = 80, 8, [], []
+    for _ in range(60):
+        core = bytes(rng.choice(b"abcdefgh") for _ in range(90))
+        for cut in (0, 3, 40):  # with 40 bytes of the core, two runs share no window
+            data = bytes(rng.choice(b"ijkl") for _ in range(60)) + core[cut:] + bytes(rng.choice(b"ijkl") for _ in range(60))
+            found, _ = R.window_keys(np.frombuffer(data, np.uint8), least, gram)
+            key = R.window_keys(np.frombuffer(core[3:83], np.uint8), least, gram)[0][0] if cut < 40 else found[50]
+            keys.append(int(key.view(np.int64)))
+            parts.append(data)
+    kept = R.sharing(keys, parts, least, gram)
+    count = windows(parts, least)
+    twice = [any(count[p[i : i + least]] > 1 for i in range(len(p) - least + 1)) for p in parts]
+    assert all(k for k, t in zip(kept, twice) if t) and sum(twice) == 120
+    assert not kept[2::3].any()
+
+
+def test_search_begins_where_sorting_ended():
+    text = np.array([2 + b for b in b"abcabcabxabcabcaby" * 30] + [1, 0], np.uint16)
+    order, known, starts = R.suffix_order(text, 60)
+    assert known == 56 and 1 < starts.sum() < len(text)
+    first = [text[i : i + known].tolist() for i in order]
+    assert [a != b for a, b in zip(first[1:], first)] == starts[1:].tolist()
