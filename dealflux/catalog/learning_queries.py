@@ -31,6 +31,7 @@ FUND = """fu AS (SELECT c.id AS company_id, age, ecosystem_name, primary_tag, co
   coalesce(sum(amount::DECIMAL(28,6))::DOUBLE / nullif(count(amount), 0), 0) AS avg_deal_size FROM companies c LEFT JOIN deals d ON c.id = d.company_id GROUP BY 1, 2, 3, 4)"""
 INPUTS = ["age", "ecosystem_id", "primary_tag_id"]
 ROUND_INPUTS = ["round_ordinal", "amount", "previous_amount", "age_at_deal", "weekday", "month"]
+ROUND_CATEGORIES = ["ecosystem_name", "sector_group"]
 MARKET = ["age", "total_funding", "deal_count", "avg_deal_size"]
 
 
@@ -112,9 +113,9 @@ def _(t):
     return M.score(model, c).select("company_id", "total_funding", "is_test", "prediction")
 
 
-def next_rounds(t):
+def next_rounds(t, **kw):
     # Deals that have a next one are split; the last deal's next round is unknown and is scored as a test row.
-    rows = X.next_round_examples(t.deals, t.companies).withColumn("_known", F.col("next_amount").isNotNull())
+    rows = X.next_round_examples(t.deals, t.companies, **kw).withColumn("_known", F.col("next_amount").isNotNull())
     return cut(X.stratified_split(rows, "_known", "id").withColumn("is_test", F.col("is_test") | ~F.col("_known")))
 
 
@@ -127,8 +128,8 @@ def _(t):
 
 @query("ml_regressor_random_forest")
 def _(t):
-    rows = next_rounds(t)
-    model = G.fit(learnt(rows), ROUND_INPUTS, "next_amount", "id")
+    rows = next_rounds(t, counted=True)
+    model = G.fit(learnt(rows), [*ROUND_INPUTS, "previous_rounds"], "next_amount", "id", categories=ROUND_CATEGORIES)
     return G.predict(model, rows).select("id", "next_amount", "is_test", "prediction")
 
 

@@ -68,6 +68,26 @@ def neighbours(
     return joined.withColumn(out, found).drop("_chunk", "_rn", "_near", "_carry")
 
 
+def earlier_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, chunk: Column | None = None, out: str = "earlier") -> DataFrame:
+    """Add ``out``: how many rows of its group stand before each row; rows equal in ``order`` have the same number.
+
+    ``order`` starts with the time stamp, null first. Rows with a null key are dropped.
+    """
+    keys = list(keys)
+    for k in keys:
+        df = df.where(F.col(k).isNotNull())
+    base = df.withColumn("_chunk", chunk if chunk is not None else chunk_of(order[0]))
+    inside = F.rank().over(Window.partitionBy(*keys, "_chunk").orderBy(*order)) - 1
+    chunks = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = base.groupBy(*keys, F.col("_chunk").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_c", F.coalesce(F.sum("_n").over(chunks), F.lit(0)).alias("_before"))
+    same = F.col("_chunk").eqNullSafe(F.col("_c"))
+    for i, k in enumerate(keys):
+        same = same & (F.col(k) == F.col(f"_k{i}"))
+    joined = base.withColumn("_inside", inside).join(sizes, same)
+    return joined.withColumn(out, (F.col("_before") + F.col("_inside")).cast("bigint")).select(*df.columns, out)
+
+
 def following(df: DataFrame, keys: Sequence[str], order: Sequence[str], payload: Sequence[str], **kw) -> DataFrame:
     """The next row's payload as columns prefixed ``next_`` (null at the end of the group)."""
     wide = neighbours(df, keys, order, payload, n=1, out="_next", **kw)

@@ -68,3 +68,36 @@ def test_one_label_and_no_rows(spark):
     assert len(got) == 20 and all(abs(r.prediction - 3.0) < 1e-9 for r in got)
     with pytest.raises(ValueError):
         G.fit(df.where("a < 0"), ["a"], "y", "id")
+
+
+def test_each_category_is_a_feature(spark):
+    rng = np.random.default_rng(3)
+    names = ["ash", "birch", "cedar", "elm", None]
+    data = [(i, float(rng.uniform(0, 1)), names[i % 5], f"s{int(rng.integers(0, 3))}") for i in range(2000)]
+    # Neither the middle name nor none of them is the end of an order that a number could give.
+    data = [(*r, 100.0 * (r[2] == "birch") - 40.0 * (r[2] is None) + float(rng.normal(0, 0.1))) for r in data]
+    df = spark.createDataFrame(data, "id long, a double, tree string, other string, y double")
+    model = G.fit(df, ["a"], "y", "id", categories=["tree", "other"], trees=30, depth=6)
+    assert model.categories == [("tree", ["ash", "birch", "cedar", "elm"]), ("other", ["s0", "s1", "s2"])]
+    new = spark.createDataFrame([(1, 0.5, "birch", "s0"), (2, 0.5, "ash", "s1"), (3, 0.5, "elm", None), (4, None, "ash", "s0"), (5, 0.5, "birch", "new")], df.drop("y").schema)
+    got = {r.id: r.prediction for r in G.predict(model, new).collect()}
+    assert got[4] is None and got[1] > 80 and got[5] > 80 and abs(got[2]) < 30 and abs(got[3]) < 30
+    one = G.fit(df.coalesce(1), ["a"], "y", "id", categories=["tree", "other"], trees=30, depth=6)
+    assert (one.feature == model.feature).all() and (one.bound == model.bound).all()
+
+
+def test_sums_by_category_are_those_of_columns_of_0_and_1():
+    rng = np.random.default_rng(4)
+    coded, codes = rng.integers(0, 9, (500, 2)).astype(np.uint8), rng.integers(0, 4, (500, 2)).astype(np.uint16)
+    y, h = rng.normal(size=500), rng.integers(0, 1 << 62, 500).astype(np.uint64)
+    split = np.arange(6).reshape(2, 3), np.zeros((2, 3), np.uint8), np.zeros((2, 7))
+    one = G.Forest(["a", "b"], [], 2, *split, categories=[("c", ["x", "y", "z"]), ("d", ["u", "v", "w"])])
+    two = G.Forest([*"abcdefgh"], [], 2, *split)
+    asked = np.array([[[1, 3, 7], [0, 1, 5]], [[2, 4, 6], [0, 4, 7]]])
+    found = []
+    for model, parts in ((one, (coded, codes)), (two, (one.wide(coded, codes), None))):
+        layout = G.Layout(model, asked)
+        sums = [np.zeros((2, n)) for n in layout.start[:, -1]]
+        G._tally(model, layout, asked, 1, *parts, y, h, 42, sums)
+        found.append([layout.unfolded(side[layout.start[t, i] : layout.start[t, i + 1]], layout.n[t, i], asked[t, i]) for t in (0, 1) for i in (0, 1) for side in sums[t]])
+    assert np.allclose(*found) and all(f.any(axis=1).all() for f in found[0])

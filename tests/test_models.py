@@ -368,3 +368,38 @@ def test_moments_are_one_aggregate(spark):
     for r in sums.collect():
         own = x[int(r.k[1]) :: 3]
         assert r.rows == len(own) and np.allclose(np.reshape(r.gram, (4, 4)), own.T @ own)
+
+
+def test_examples_count_the_rounds_before(make):
+    """Rounds of one week and of several, of unknown amount too; a deal of unknown type is no round, equal rows count alike."""
+    day = lambda d: dt.date(2024, 1, d)
+    deals = [(1, 7, day(1), 1.0, "Seed"), (2, 7, day(2), None, "Seed"), (3, 7, day(2), 3.0, None), (4, 7, day(3), 4.0, "Series A"), (5, 7, day(20), 5.0, "Grant"),
+             (6, 7, None, 6.0, "Seed"), (7, 8, day(20), 7.0, "Seed"), (8, None, day(20), 8.0, "Seed"), (9, 8, day(21), 9.0, "Seed"), (9, 8, day(21), 9.0, "Seed"), (10, 8, day(22), 1.0, "Seed")]
+    deals = make(deals, "id long, company_id long, date date, amount double, round_type string")
+    companies = make([(7, "here", "a-1", None), (8, None, None, day(1))], "id long, ecosystem_name string, primary_tag string, date_founded date")
+    got = sorted((r.id, r.previous_rounds) for r in X.next_round_examples(deals, companies, counted=True).collect())
+    assert got == [(1, 1), (4, 3), (5, 4), (6, 0), (7, 0), (9, 1), (9, 1), (10, 3)]
+    plain = X.next_round_examples(deals, companies)
+    assert "previous_rounds" not in plain.columns and plain.count() == len(got)
+
+
+def test_round_forest_learns_from_rounds_places_and_sectors(spark, tmp_path, monkeypatch):
+    from dealflux.catalog import learning_queries, registry
+
+    registry.load()
+    at = dt.datetime(1995, 1, 1)
+    made = {
+        "region": ([(0, "R")], "r_regionkey int, r_name string"),
+        "nation": ([(0, "HERE", 0), (1, "THERE", 0)], "n_nationkey int, n_name string, n_regionkey int"),
+        "customer": ([(i, f"c{i}", i % 2, 0.0, ["AUTO", "BIO"][i // 2 % 2]) for i in range(1, 9)], "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"),
+        "orders": ([(i, i % 8 + 1, "O", 10.0 * i, at + dt.timedelta(days=i), "1") for i in range(1, 200)],
+                   "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"),
+    }
+    for name, (rows, schema) in made.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    fit, seen = learning_queries.G.fit, []
+    monkeypatch.setattr(learning_queries.G, "fit", lambda *a, **kw: seen.append(fit(*a, **kw, trees=3, depth=3)) or seen[-1])
+    out = registry.QUERIES["ml_regressor_random_forest"](spark, str(tmp_path)).collect()
+    assert {"round_ordinal", "previous_rounds", "age_at_deal", "weekday", "month"} <= set(seen[0].features)
+    assert seen[0].categories == [("ecosystem_name", ["HERE", "THERE"]), ("sector_group", ["AUTO", "BIO"])]
+    assert len(out) == 199 - 2 - 2 and all(r.prediction is not None for r in out)
