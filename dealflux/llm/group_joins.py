@@ -10,7 +10,8 @@ HEAVY = 1 / 1000
 #: Largest bitmap that is broadcast, and bits in it for each key.
 BITMAP_BYTES = 64 << 20
 BITS_A_KEY = 16
-BUCKET = 32768
+#: Words of 64 bits in a row of the bitmap.
+BUCKET = 64
 
 
 def join_counted(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, total: int, how: str = "left") -> DataFrame:
@@ -35,13 +36,16 @@ def mark_members(rows: DataFrame, wanted: DataFrame, keys: list[str], out: str,
     if bits // 8 > limit:
         return rows.join(wanted.select(*keys, F.lit(True).alias(out)), keys, "left").withColumn(out, F.coalesce(out, F.lit(False)))
     place = F.pmod(F.xxhash64(*keys), F.lit(bits))
-    maps = (
+    word, bit = F.shiftright("_place", 6) % BUCKET, (F.col("_place") % 64).cast("int")
+    bucket = F.shiftright("_place", 6 + BUCKET.bit_length() - 1)
+    words = (
         wanted.select(place.alias("_place"))
-        .groupBy(F.floor(F.col("_place") / BUCKET).alias("_bucket"))
-        .agg(F.bitmap_construct_agg(F.col("_place") % BUCKET).alias("_map"))
+        .groupBy(bucket.alias("_bucket"), word.cast("int").alias("_word"))
+        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_bits"))
     )
-    bit = F.col("_place") % BUCKET
-    byte = F.conv(F.hex(F.substr(F.col("_map"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-    placed = rows.withColumn("_place", place).withColumn("_bucket", F.floor(F.col("_place") / BUCKET))
-    found = placed.join(F.broadcast(maps), "_bucket", "left")
-    return found.withColumn(out, F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))).drop("_place", "_bucket", "_map")
+    maps = words.groupBy("_bucket").agg(F.map_from_entries(F.collect_list(F.struct("_word", "_bits"))).alias("_map"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(BUCKET - 1)), lambda i: F.coalesce(F.try_element_at("_map", i), F.lit(0).cast("long")))
+    placed = rows.withColumn("_place", place).withColumn("_bucket", bucket)
+    found = placed.join(F.broadcast(maps.select("_bucket", every.alias("_map"))), "_bucket", "left")
+    held = F.getbit(F.get("_map", word.cast("int")), bit) == 1
+    return found.withColumn(out, F.coalesce(held, F.lit(False))).drop("_place", "_bucket", "_map")

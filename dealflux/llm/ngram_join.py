@@ -24,8 +24,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dealflux.llm.common import WordHashes, mixed, shingle_set, slices, staged, words
-from dealflux.llm.components import components
+from dealflux.llm.common import mixed, shingle_sets, slices, staged
+from dealflux.llm.components import ONE_TASK, components
 from dealflux.llm.group_joins import mark_members
 
 #: Shingle groups: the dimensions of a point; their sums over COARSE of them are bounded first.
@@ -98,13 +98,11 @@ def _features(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, text_hash, n, node (hash of the set), sig (least hashes), vec or fine (group counts)."""
 
     def run(batches):
-        cache = WordHashes()
         for batch in batches:
             for a, b in slices(pa.compute.binary_length(batch.column("text")).to_pylist(), 2_000_000):
                 part = batch.slice(a, b - a)
                 n, node, sig, vec, fine, ends = [], [], [], [], [], [0]
-                for text in part.column("text").to_pylist():
-                    h = shingle_set(cache.of(words(text)), width)
+                for h in shingle_sets(part.column("text").to_pylist(), width):
                     n.append(len(h))
                     node.append(int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "big", signed=True))
                     least = h[: prefix_length(len(h), percent)] if len(h) else h
@@ -246,9 +244,9 @@ def _thinned(a: np.ndarray, b: np.ndarray, rows: dict[str, np.ndarray], turn: in
 
 
 def _hub_pairs(rows: dict[str, np.ndarray], percent: int, turn: int = FOREST_TURNS):
-    """Pairs of nodes in different components whose bound reaches the threshold, hub by hub; and the hubs that have more.
+    """Pairs (a, b, hub, cell) of nodes in different components whose bound reaches the threshold, once each; and the hubs that have more.
 
-    A leaf's worth of members needs no tree: such hubs' pairs are bounded together. Before the last turn a dense hub
+    Texts of a hub's pairs meet in a cell for each pair of blocks of them that has a pair. A leaf's worth of members needs no tree: such hubs' pairs are bounded together. Before the last turn a dense hub
     gives a spanning forest of its pairs.
     """
     cut = np.flatnonzero(np.r_[True, (rows["hub"][1:] != rows["hub"][:-1]) | (rows["cell"][1:] != rows["cell"][:-1])])
@@ -260,7 +258,8 @@ def _hub_pairs(rows: dict[str, np.ndarray], percent: int, turn: int = FOREST_TUR
     for m in np.unique(sizes):
         starts = cut[sizes == m]
         if m <= LEAF:
-            found.append(_finer(*passing(*_small(starts, int(m)), rows, percent), rows, percent))
+            a, b = _finer(*passing(*_small(starts, int(m)), rows, percent), rows, percent)
+            found.append((a, b, rows["cell"][a] << 32))
         else:
             for s in starts:
                 a, b = RTree({c: rows[c][s : s + m] for c in ("vec", "coarse", "n", "label")}).pairs(percent)
@@ -269,14 +268,17 @@ def _hub_pairs(rows: dict[str, np.ndarray], percent: int, turn: int = FOREST_TUR
                     more.append(rows["hub"][s])
                     some = _thinned(a, b, rows, turn)
                     a, b = a[some], b[some]
-                found.append((a, b))
-    node = rows["node"]
-    both = np.concatenate([np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], 1) for a, b in found]) if found else np.zeros((0, 2), np.int64)
-    return np.unique(both, axis=0), np.unique(np.array(more, np.int64))
+                block = (np.unique(np.concatenate([a, b]), return_inverse=True)[1] // BLOCK_TEXTS).reshape(2, -1)
+                found.append((a, b, (rows["cell"][a] << 32) + (block.min(axis=0) << 16) + block.max(axis=0)))
+    node, hub = rows["node"], rows["hub"]
+    both = [np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), hub[a], cell], 1) for a, b, cell in found]
+    both = np.concatenate([np.zeros((0, 4), np.int64), *both])
+    both = both[np.unique(both[:, :2], axis=0, return_index=True)[1]]
+    return both, np.unique(np.array(more, np.int64))
 
 
 def _tree_join(rows: DataFrame, percent: int, turn: int) -> DataFrame:
-    """(a, b, null) pairs from rows (hub, cell, node, label, n, vec, fine) sorted by hub and cell; (null, null, hub) of a hub that has more."""
+    """(a, b, null, (group, cell)) pairs from rows (hub, cell, node, label, n, vec, fine) sorted by hub and cell; (null, null, hub, null) of a hub that has more."""
 
     def run(batches):
         held = None
@@ -296,10 +298,11 @@ def _tree_join(rows: DataFrame, percent: int, turn: int) -> DataFrame:
 
     def emit(rows):
         pairs, more = _hub_pairs(rows, percent, turn)
-        a, b = (pa.concat_arrays([pa.array(pairs[:, i]), pa.nulls(len(more), pa.int64())]) for i in (0, 1))
-        return pa.RecordBatch.from_arrays([a, b, pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(more)])], names=["a", "b", "more"])
+        a, b, hub, cell = (pa.concat_arrays([pa.array(pairs[:, i]), pa.nulls(len(more), pa.int64())]) for i in range(4))
+        return pa.RecordBatch.from_arrays([a, b, pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(more)]), hub, cell], names=["a", "b", "more", "hub", "cell"])
 
-    return rows.mapInArrow(run, "a long, b long, more long").distinct()
+    found = rows.mapInArrow(run, "a long, b long, more long, hub long, cell long")
+    return found.groupBy("a", "b", "more").agg(F.min(F.struct("hub", "cell")).alias("at"))
 
 
 def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -325,32 +328,17 @@ def _by_hub(close: DataFrame) -> DataFrame:
     return close.join(size, F.col("b") == F.col("_hub")).select(F.col("b").alias("group"), cell.alias("cell"), "a", "b")
 
 
-def _by_group(close: DataFrame) -> DataFrame:
-    """(group, cell, a, b): pairs that hang together share their texts, block by block."""
-    group = staged(components(close, "a", "b"), "candidates")
-    size = group.groupBy("label").agg(F.ceil(F.count("*") / BLOCK_TEXTS).cast("int").alias("_blocks"))
-    placed = group.join(size, "label").withColumn("_mine", F.pmod(F.xxhash64("node"), F.col("_blocks")))
-    ends = placed.select(F.col("node").alias("a"), "label", "_blocks", F.col("_mine").alias("_i"))
-    other = placed.select(F.col("node").alias("b"), F.col("_mine").alias("_j"))
-    cell = F.least("_i", "_j") * F.col("_blocks") + F.greatest("_i", "_j")
-    return close.join(ends, "a").join(other, "b").select(F.col("label").alias("group"), cell.alias("cell"), "a", "b")
-
-
 def _verify(between: DataFrame, points: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
     """The (a, b) of pairs (group, cell, a, b) whose sets reach the threshold; a text goes once to each cell it has a pair in."""
 
     def linked(texts, between):
-        cache, sets = WordHashes(), {}
-        text = dict(zip(texts.column("node").to_pylist(), texts.column("text").to_pylist()))
-
-        def of(node):
-            if node not in sets:
-                sets[node] = shingle_set(cache.of(words(text[node])), width)
-            return sets[node]
-
+        nodes, text, sets = texts.column("node").to_pylist(), texts.column("text").to_pylist(), []
+        for i, j in slices([len(t) for t in text], 2_000_000):
+            sets += shingle_sets(text[i:j], width)
+        sets = dict(zip(nodes, sets))
         found = [], []
         for x, y in zip(between.column("a").to_pylist(), between.column("b").to_pylist()):
-            left, right = of(x), of(y)
+            left, right = sets[x], sets[y]
             both = len(np.intersect1d(left, right, assume_unique=True))
             if 100 * both >= percent * (len(left) + len(right) - both):
                 found[0].append(x)
@@ -372,7 +360,9 @@ def _split_hubs(members: DataFrame, label: DataFrame, points: DataFrame) -> Data
     Blocks of a hub's members meet pair by pair: block i stands in the cells (i, j) and (j, i) of all j.
     """
     known = members.join(label, "node", "left").select("hub", "node", F.coalesce("label", "node").alias("label"))
-    split = known.groupBy("hub").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count("*").alias("_rows")).where("_lo < _hi")
+    split = known.groupBy("hub").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count("*").alias("_rows"))
+    # A hub and its only member have been tried.
+    split = split.where("_lo < _hi and _rows > 2")
     blocks = F.ceil(F.col("_rows") / BLOCK_POINTS).cast("int")
     mine = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
     cells = F.transform(
@@ -405,26 +395,31 @@ def join(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
     points = some.groupBy("node").agg(F.min("n").alias("n"), F.min("vec").alias("vec"), F.min("fine").alias("fine"), F.min(F.struct("doc_id", "text_hash")).alias("first"))
     points = staged(points.select("node", "n", "vec", "fine", "first.doc_id", "first.text_hash"), "points")
     postings = some.select(F.explode("sig").alias("sig"), "node")
-    hubs = postings.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("_top")).where("hub < _top").drop("_top")
-    meets = postings.join(hubs, "sig").where("node != hub")
-    star = staged(meets.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "star")
-    close = _bounded(star, points, percent)
+    hubs = postings.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("_top"), (F.count("*") > 2).alias("many"))
+    hubs = staged(hubs.where("hub < _top").drop("_top"), "hubs")
+    # Most hashes are one set's alone: their postings stay where they are.
+    shared = mark_members(postings, hubs.select("sig"), ["sig"], "_shared").where("_shared")
+    meets = shared.join(hubs, "sig").where("node != hub")
+    star = staged(meets.groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.max("many").alias("many")), "star")
+    close = _bounded(star.select("a", "b"), points, percent)
     links = staged(_verify(_by_hub(close), points, rows, width, percent), "links")
 
-    members = star.select(F.col("b").alias("hub"), F.col("a").alias("node"))
-    members = members.unionByName(star.select(F.col("b").alias("hub"), F.col("b").alias("node")).distinct())
+    # A hash of two sets has no pair besides that with its hub: both stand in a tree only for a hash of more.
+    some_more = star.where("many")
+    members = some_more.select(F.col("b").alias("hub"), F.col("a").alias("node"))
+    members = members.unionByName(some_more.select(F.col("b").alias("hub"), F.col("b").alias("node")).distinct())
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for turn in range(FOREST_TURNS + 1):
-        label = components(links, "a", "b")
+        label = staged(components(links, "a", "b", ONE_TASK), "label")
         found = staged(_tree_join(_split_hubs(members, label, points), percent, turn), "pairs")
-        more = found.where("more is null").select("a", "b").join(tried, ["a", "b"], "left_anti")
-        links = staged(links.unionByName(_verify(_by_group(more), points, rows, width, percent)), "links")
+        more = found.where("more is null").select("a", "b", F.col("at.hub").alias("group"), "at.cell").join(tried, ["a", "b"], "left_anti")
+        links = staged(links.unionByName(_verify(more.select("group", "cell", "a", "b"), points, rows, width, percent)), "links")
         # Hubs that have named all their pairs are done.
         dense = found.where("more is not null").select(F.col("more").alias("hub")).distinct()
         if turn == FOREST_TURNS or dense.isEmpty():
             break
-        members, tried = members.join(dense, "hub"), tried.unionByName(more)
-    label = components(links, "a", "b")
+        members, tried = members.join(dense, "hub"), tried.unionByName(more.select("a", "b"))
+    label = staged(components(links, "a", "b", ONE_TASK), "label")
 
     member = some.select("doc_id", "node").join(label, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
     named = member.groupBy("label").agg(F.min("doc_id").alias("component_id"))

@@ -7,6 +7,7 @@ import pytest
 import zstandard
 from llm_fixtures import near_texts, no_docs, odd_docs  # noqa: F401
 
+from dealflux.llm import common, components
 from dealflux.llm import ngram_join as N
 
 
@@ -128,3 +129,40 @@ def test_packed_vectors_come_back(n):
     assert back[0] is None if fine is None else len(back[0]) > N.GROUPS
     same = np.full(500, 3, np.uint64)
     assert N.unpacked([N.counts(same)], [None])[0][0, 3] == 500
+
+
+def test_words_of_many_texts_are_hashed_at_once(monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [None, "", "  ", "A b\tc\x0bD é", "a\x00 a \x00a", *("".join(rng.choice([*"abC \n\r\x1c\x85"], rng.integers(0, 80))) for _ in range(60))]
+    want = [t.encode().lower().split() if t else [] for t in texts]
+    for block in (1 << 18, 5):
+        monkeypatch.setattr(common, "HASH_BLOCK", block)
+        hashes, ends = common.word_hashes(texts)
+        assert ends.tolist() == np.cumsum([len(w) for w in want]).tolist() and len(hashes) == ends[-1]
+        of = dict(zip((w for ws in want for w in ws), hashes.tolist()))
+        assert [of[w] for ws in want for w in ws] == hashes.tolist() and len(set(of.values())) == len(of)
+        sets = common.shingle_sets(texts)
+        assert [len(s) for s in sets] == [len(shingles(t)) for t in texts] and all((np.diff(s.astype(object)) > 0).all() for s in sets)
+    assert [len(s) for s in common.shingle_sets([])] == []
+
+
+def test_components_end_in_one_task_as_in_rounds(spark):
+    rng = np.random.default_rng(8)
+    for n, m in ((40, 0), (40, 30), (300, 200), (50, 400)):
+        edges = spark.createDataFrame([(int(a) * 7 - 50, int(b) * 7 - 50) for a, b in rng.integers(0, n, (m, 2))] + [(1, 1), (None, 3)], "a long, b long")
+        one, two = (sorted(map(tuple, components.components(edges, "a", "b", most).collect())) for most in (1 << 20, 0))
+        assert one == two
+    chain = np.random.default_rng(9).permutation(5000)
+    node, label = components.least_reached(chain[1:], chain[:-1])
+    assert node.tolist() == list(range(5000)) and not label.any()
+
+
+def test_sets_that_meet_by_one_hash_of_two_enter_no_tree(spark, monkeypatch):
+    # Each text shares five words with the next one only; of the last three, all share most.
+    texts = [" ".join([f"p{i}_{j}" for j in range(5)] + [f"p{i + 1}_{j}" for j in range(5)]) for i in range(30)]
+    texts += [" ".join([f"q{j}" for j in range(60)] + [f"r{i}"]) for i in range(3)]
+    seen, split = [], N._split_hubs
+    monkeypatch.setattr(N, "_split_hubs", lambda *a: seen.append(split(*a).cache()) or seen[-1])
+    got = N.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(repr((r.doc_id, r.n_shingles, r.component_id)) for r in got) == brute(list(enumerate(texts)))
+    assert sum(s.count() for s in seen) == 0
